@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..context import with_position
 from .ranking import quantiles
 
 # The metric suffixes of a wide run file, longest match first.
@@ -212,12 +213,20 @@ def overhead_summary(df: DataFrame, components: Sequence[str], wall: str, infere
 
 def cpu_percent(df: DataFrame, key: str, order: str, cpu: str = "cpu", system: str = "system",
                 cpus: str = "cpus") -> DataFrame:
-    """Processor share between consecutive counter readings of a key; 0 unless both grew."""
-    before = Window.partitionBy(key).orderBy(order)
-    used = F.col(cpu) - F.lag(cpu).over(before)
-    passed = F.col(system) - F.lag(system).over(before)
-    share = F.when((used > 0) & (passed > 0), used / passed * F.col(cpus) * 100.0).otherwise(F.lit(0.0))
-    return df.withColumn("cpu_percent", share)
+    """Processor share between consecutive counter readings of a key; 0 unless both grew.
+
+    The reading before is found by its position in the order of (key, order),
+    so a key with most of the readings is spread like any other rows. A reading
+    is identified by key and ``order``.
+    """
+    placed = with_position(df, key, order, name="_pos")
+    before = placed.select((F.col("_pos") + 1).alias("_pos"), F.col(key).alias("_key"),
+                           F.col(cpu).alias("_cpu"), F.col(system).alias("_system"))
+    both = placed.join(before, "_pos", "left")
+    used, passed = F.col(cpu) - F.col("_cpu"), F.col(system) - F.col("_system")
+    grew = (F.col("_key") == F.col(key)) & (used > 0) & (passed > 0)
+    share = F.when(grew, used / passed * F.col(cpus) * 100.0).otherwise(F.lit(0.0))
+    return both.withColumn("cpu_percent", share).drop("_pos", "_key", "_cpu", "_system")
 
 
 def memory_delta(df: DataFrame, run: str, order: str, value: str = "bytes") -> DataFrame:

@@ -26,23 +26,22 @@ def _ending(path: Column, order: tuple[str, ...]) -> Column:
     return place
 
 
-def scan_images(spark: SparkSession, folder: str, n_dirs: int, per_dir: int, offset: int = 0,
-                min_files: int = MIN_FILES, order: tuple[str, ...] = PNG_FIRST,
-                count_all: bool = True) -> DataFrame:
+def pick_images(files: DataFrame, n_dirs: int, per_dir: int, offset: int = 0, min_files: int = MIN_FILES,
+                order: tuple[str, ...] = PNG_FIRST, count_all: bool = True) -> DataFrame:
     """``(dir_no, label, n, path)``: files ``[offset, offset + per_dir)`` of ``n_dirs`` folders.
 
     Folders with at least ``min_files`` files are taken by name and used again
     from the first when there are too few. ``count_all`` counts every file of a
-    folder towards the minimum, otherwise images only. The file bytes are not read.
+    folder towards the minimum, otherwise images only.
     """
-    files = read_files(spark, folder).select("path").withColumn("label", parent_label(F.col("path")))
+    files = files.select("path", parent_label(F.col("path")).alias("label"))
     files = files.withColumn("_ending", _ending(F.col("path"), order))
     counted = files if count_all else files.where("_ending is not null")
     dirs = counted.groupBy("label").agg(F.count(F.lit(1)).alias("_files")).where(F.col("_files") >= min_files)
     placed = with_position(dirs.select("label"), "label", name="_pos", start=0)
     found = placed.count()
     if not found:
-        raise ValueError(f"no folder below {folder} has {min_files} files")
+        raise ValueError(f"no folder has {min_files} files")
     # Folder slot s shows folder s modulo the number of folders.
     rounds = F.sequence(F.lit(0), F.lit((n_dirs - 1) // found))
     slots = (placed.withColumn("_round", F.explode(rounds))
@@ -54,23 +53,34 @@ def scan_images(spark: SparkSession, folder: str, n_dirs: int, per_dir: int, off
     return slots.join(listed, "label").select("dir_no", "label", "n", "path")
 
 
-def attach_blobs(df: DataFrame, path_col: str, folder: str, out: str = "content") -> DataFrame:
-    """Attach the file bytes to rows by path."""
-    blobs = read_files(df.sparkSession, folder).select(F.col("path").alias("_path"), F.col("content").alias(out))
+def scan_images(spark: SparkSession, folder: str, n_dirs: int, per_dir: int, **options) -> DataFrame:
+    """``pick_images`` over a folder; lists files without reading their bytes."""
+    return pick_images(read_files(spark, folder).select("path"), n_dirs, per_dir, **options)
+
+
+def join_blobs(df: DataFrame, path_col: str, files: DataFrame, out: str = "content") -> DataFrame:
+    """Attach file bytes ``(path, content)`` to rows by path."""
+    blobs = files.select(F.col("path").alias("_path"), F.col("content").alias(out))
     return df.join(blobs, df[path_col] == F.col("_path")).drop("_path")
 
 
-def image_corpus(spark: SparkSession, folder: str, limit: int, seed: int = 42,
-                 shuffle: bool = True) -> DataFrame:
+def attach_blobs(df: DataFrame, path_col: str, folder: str, out: str = "content") -> DataFrame:
+    return join_blobs(df, path_col, read_files(df.sparkSession, folder), out)
+
+
+def recycle_images(files: DataFrame, limit: int, seed: int = 42, shuffle: bool = True) -> DataFrame:
     """``limit`` image rows ``(pos, path)`` in hash order, used again when there are too few."""
-    images = (read_files(spark, folder).select("path")
-              .where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$")))
+    images = files.select("path").where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("path")).cast("binary")) if shuffle else F.col("path")
     placed = with_position(images.withColumn("_order", order), "_order", "path", name="_pos", start=0)
     found = placed.count()
     if not found:
-        raise ValueError(f"no images below {folder}")
+        raise ValueError("no images found")
     rounds = F.sequence(F.lit(0), F.lit((limit - 1) // found))
     return (placed.withColumn("_round", F.explode(rounds))
             .select((F.col("_pos") + F.col("_round") * found).alias("pos"), "path")
             .where(F.col("pos") < limit))
+
+
+def image_corpus(spark: SparkSession, folder: str, limit: int, **options) -> DataFrame:
+    return recycle_images(read_files(spark, folder), limit, **options)

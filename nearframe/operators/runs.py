@@ -104,8 +104,8 @@ def aggregate_by_size(long: DataFrame, keys: Sequence[str] = GROUP, value: str =
 
 
 def one_decimal(value: Column) -> Column:
-    """One decimal as text, rounded half up on the decimal digits."""
-    return F.format_string("%.1f", value)
+    """One decimal as text; null stays null."""
+    return F.when(value.isNotNull(), F.format_string("%.1f", value))
 
 
 def format_table(agg: DataFrame, methods: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import pick, stable_number
+from ..functions.vectors import let
 from ..operators.loading import uniform
 from .reviews import CATEGORIES
 
@@ -77,9 +78,13 @@ def generate_commerce(customers: DataFrame, key: str = "customer_id", n_customer
     # The catalogue holds at least 50 products and a list at most 15, so steps of
     # 1, 2 or 3 never come round to the start.
     step = 1 + stable_number(s, "step", c) % 3
-    purchases = buyers.select(c.alias("customer_id"), "tier", F.posexplode(F.transform(
-        F.sequence(F.lit(0), wanted - 1), lambda j: (start + j * step) % n_products + 1)
-    ).alias("line", "product_id"))
+    def walk(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), w["wanted"] - 1),
+                           lambda j: (w["start"] + j * w["step"]) % n_products + 1)
+
+    chosen = let(F.struct(wanted.alias("wanted"), start.alias("start"), step.alias("step")), walk)
+    purchases = (buyers.withColumn("_chosen", chosen)
+                 .select(c.alias("customer_id"), "tier", F.posexplode("_chosen").alias("line", "product_id")))
     out = {"products": products, "customers": buyers,
            "purchases": purchases.select("customer_id", "line", "product_id")}
     if with_reviews:

@@ -57,10 +57,12 @@ def read_runs(spark: SparkSession, folder: str, runs: bool = True) -> DataFrame:
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated ``(line_no, epoch_us, label, n)``; broken lines are dropped.
 
-    ``line_no`` grows with the position in the file, so the last line of a label
-    can be told.
+    ``line_no`` orders lines by file name and place in the file, however the
+    files are split over tasks, so the last line of a label can be told.
     """
-    return parse_telemetry(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return parse_telemetry(spark.read.text(path).withColumn("line_no", place))
 
 
 def parse_telemetry(lines: DataFrame, line: str = "value") -> DataFrame:

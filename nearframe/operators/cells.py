@@ -92,7 +92,7 @@ def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: s
             gap = gaps[np.arange(len(cell)), cell]
             yield pa.StructArray.from_arrays([pa.array(cell), pa.array(gap)], ["cell", "gap"])
 
-    place = F.arrow_udf(nearest, "cell int, gap double")
+    place = F.arrow_udf(nearest, "cell int, gap double").asNondeterministic()
     placed = items.where(F.col(vector).isNotNull()).withColumn("_place", place(F.col(vector)))
     return placed.select(*items.columns, "_place.cell", "_place.gap")
 

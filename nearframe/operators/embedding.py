@@ -81,7 +81,9 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()),
                                            mask=pa.array(~valid))
 
-    return F.arrow_udf(encode, VECTOR)
+    # Otherwise the optimizer copies the call into filters it derives, and every
+    # vector is computed twice.
+    return F.arrow_udf(encode, VECTOR).asNondeterministic()
 
 
 def embed_column(df: DataFrame, text: str, backend: str = "hash", model: str = "hash-64",

@@ -141,12 +141,18 @@ def keep_top(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _bounded(df: DataFrame, vector: str) -> bool:
-    """Whether all vectors fit the broadcast limit as doubles."""
-    first = df.select(F.size(vector).alias("width")).first()
-    if first is None:
-        return True
-    return at_most(df, BROADCAST_BYTES // (8 * first["width"] + 64))
+def _bounded(df: DataFrame, width: int | None) -> bool:
+    """Whether all vectors fit the broadcast limit as doubles.
+
+    Only rows are counted, so a vector that is computed on the fly is not
+    computed for it when its width is known.
+    """
+    if width is None:
+        first = df.where("vector is not null").select(F.size("vector").alias("width")).first()
+        if first is None:
+            return True
+        width = first["width"]
+    return at_most(df, BROADCAST_BYTES // (8 * width + 64))
 
 
 def _with_broadcast_items(q: DataFrame, x: DataFrame, k: int, metric: str) -> DataFrame:
@@ -223,26 +229,28 @@ def _with_grid(q: DataFrame, x: DataFrame, k: int, metric: str, block_rows: int)
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2",
              query_id: str = "query_id", item_id: str = "item_id",
              query_vector: str = "embedding", item_vector: str = "embedding",
-             strategy: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
+             strategy: str = "auto", width: int | None = None,
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest items of every query: ``(query_id, item_id, dist, rank)``.
 
     A side that is counted to fit the broadcast limit is sent to the tasks and
     the other is streamed past it where it lies. When neither fits, both are
     cut into blocks and each pair of blocks is searched by its own task.
-    Null vectors take no part. Ids identify a row on their side.
+    Null vectors take no part. Ids identify a row on their side. ``width`` is
+    the vector length where the caller knows it.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     x = items.select(F.col(item_id).alias("item_id"), F.col(item_vector).alias("vector"))
-    q, x = q.where("vector is not null"), x.where("vector is not null")
     if strategy == "auto":
-        if _bounded(x, "vector"):
+        if _bounded(x, width):
             strategy = "items"
-        elif _bounded(q, "vector"):
+        elif _bounded(q, width):
             strategy = "queries"
         else:
             strategy = "grid"
+    q, x = q.where("vector is not null"), x.where("vector is not null")
     if strategy == "items":
         return _with_broadcast_items(q, x, k, metric)
     if strategy == "queries":

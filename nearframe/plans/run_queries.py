@@ -247,12 +247,12 @@ def _(t):
 
 
 @query("average_and_ratio", """
-    WITH m AS (SELECT event_type AS method, avg(1 / value) AS mean FROM events GROUP BY 1)
+    WITH m AS (SELECT event_type AS method, avg(1 / (1 + value)) AS mean FROM events GROUP BY 1)
     SELECT a.method AS numerator, b.method AS denominator, round(a.mean, 6) AS numerator_mean, round(b.mean, 6) AS denominator_mean,
            round(a.mean / b.mean, 6) AS ratio FROM m a, m b
     WHERE (a.method, b.method) IN (('click', 'view'), ('error', 'view'), ('signup', 'purchase'))""")
 def _(t):
-    rates = t.events.select(F.col("event_type").alias("method"), (1 / F.col("value")).alias("throughput"))
+    rates = t.events.select(F.col("event_type").alias("method"), (1 / (1 + F.col("value"))).alias("throughput"))
     out = M.average_and_ratio(rates, [("click", "view"), ("error", "view"), ("signup", "purchase")])
     return rounded(out, "numerator_mean", "denominator_mean", "ratio")
 

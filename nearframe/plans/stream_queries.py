@@ -42,7 +42,8 @@ def _(t):
     turns = arriving(t, "conversations").select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "text")
     turns = embed_column(turns, "text").drop("text")
-    finished(jobs.stream_knn_vote(turns, corpus.drop("text"), path, checkpoint, "spam", query_id="id", item_id="id"))
+    finished(jobs.stream_knn_vote(turns, corpus.drop("text"), path, checkpoint, "spam",
+                                  query_id="id", item_id="id", width=64))
     return t.spark.read.parquet(path).drop("batch")
 
 

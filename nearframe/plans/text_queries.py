@@ -59,8 +59,8 @@ E.register_backend("character_shares", character_shares, {"four": 4})
                       length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS d,
                       length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS l,
                       length(text) - length(replace(text, ' ', '')) AS s, length(text) AS a FROM documents)
-    SELECT id, round(d / n, 5) AS digits, round(l / n, 5) AS letters, round(s / n, 5) AS spaces,
-           round((a - d - l - s) / n, 5) AS rest FROM c""")
+    SELECT id, round(CAST(CAST(d / n AS FLOAT) AS DOUBLE), 5) AS digits, round(CAST(CAST(l / n AS FLOAT) AS DOUBLE), 5) AS letters, round(CAST(CAST(s / n AS FLOAT) AS DOUBLE), 5) AS spaces,
+           round(CAST(CAST((a - d - l - s) / n AS FLOAT) AS DOUBLE), 5) AS rest FROM c""")
 def _(t):
     v = E.embed_column(docs(t), "text", "character_shares", "four")
     names = ("digits", "letters", "spaces", "rest")

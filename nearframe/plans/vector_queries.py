@@ -123,7 +123,7 @@ VOTE = S.with_(
 def knn_vote(t):
     corpus = embed_column(views.labelled_documents(t), "text").withColumn("spam", F.col("spam").cast("boolean"))
     arriving = embed_column(views.messages(t), "text")
-    return R.knn_vote(arriving.drop("text"), corpus.drop("text"), "spam", 5, 3, "id", "id")
+    return R.knn_vote(arriving.drop("text"), corpus.drop("text"), "spam", 5, 3, "id", "id", width=64)
 
 
 FACES = "face AS (SELECT *, '/img/p' || label || '/' || id || '.png' AS path FROM vec)"

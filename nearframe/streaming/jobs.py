@@ -39,10 +39,10 @@ def stream_embed_append(stream: DataFrame, path: str, checkpoint: str, text: str
 
 def stream_knn_vote(stream: DataFrame, items: DataFrame, path: str, checkpoint: str, label: str = "label",
                     k: int = 5, min_votes: int = 3, query_id: str = "query_id", item_id: str = "item_id",
-                    once: bool = True) -> StreamingQuery:
+                    once: bool = True, **options) -> StreamingQuery:
     """Classify arriving vectors against a static collection."""
     def run(batch: DataFrame, number: int) -> None:
-        votes = knn_vote(batch, items, label, k, min_votes, query_id, item_id)
+        votes = knn_vote(batch, items, label, k, min_votes, query_id, item_id, **options)
         votes.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return _start(stream, run, checkpoint, once)

@@ -51,7 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
+    files = len(df._jdf.inputFiles())  # counted in the JVM, names are not fetched
     return df.repartition(cores) if 0 < files < cores else df
 
 

@@ -1,12 +1,14 @@
 """Approximate nearest neighbours through an index table of k-means cells.
 
-The index is a Parquet table of items partitioned by cell, next to a small table
-of centroids. Centroids stay frozen while rows are added, so adding a batch only
-assigns and appends it.
+The index is a Parquet table of items partitioned by batch and cell, next to small
+tables of centroids and of rows and radius per batch and cell. Centroids stay frozen
+while rows are added, so adding a batch only assigns and appends it and looks at no
+row that is already there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -35,17 +37,17 @@ class CellIndex:
     centroids: np.ndarray
 
     def items(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/items")
+        return spark.read.parquet(f"{self.path}/items").drop("batch")
 
     def cells(self, spark: SparkSession) -> DataFrame:
         """Rows and radius of every cell that holds items."""
-        return self.items(spark).groupBy("cell").agg(
-            F.count(F.lit(1)).alias("rows"), F.max("gap").alias("radius"))
+        return spark.read.parquet(f"{self.path}/stats").groupBy("cell").agg(
+            F.sum("rows").alias("rows"), F.max("radius").alias("radius"))
 
     def needs_training(self, spark: SparkSession) -> bool:
         """Whether the rows have doubled since the centroids were fitted."""
         trained = spark.read.parquet(f"{self.path}/centroids").agg(F.max("trained_on")).first()[0]
-        return self.items(spark).count() >= 2 * trained
+        return (self.cells(spark).agg(F.sum("rows")).first()[0] or 0) >= 2 * trained
 
 
 def _unit(v: np.ndarray, metric: str) -> np.ndarray:
@@ -77,7 +79,7 @@ def fit_centroids(items: DataFrame, vector: str, cells: int, metric: str = "l2",
         values = l2_normalize(values)
         train = train.where(values.isNotNull())
     train = train.select(array_to_vector(values).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=20).fit(train)
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(train)
     return np.array(model.clusterCenters())
 
 
@@ -97,15 +99,21 @@ def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: s
     return placed.select(*items.columns, "_place.cell", "_place.gap")
 
 
-def _write_items(placed: DataFrame, path: str, mode: str) -> None:
+def _write_batch(placed: DataFrame, path: str, batch: str) -> None:
+    """Write one batch; writing it again replaces it."""
     # Rows of one cell go to several files when the cell is large: AQE splits
     # the rebalanced partitions by size.
-    placed.hint("rebalance", F.col("cell")).write.mode(mode).partitionBy("cell").parquet(path)
+    items = f"{path}/items/batch={batch}"
+    placed.hint("rebalance", F.col("cell")).write.mode("overwrite").partitionBy("cell").parquet(items)
+    # Reads two narrow columns of this batch only.
+    stats = placed.sparkSession.read.parquet(items).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("gap").alias("radius"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
 
 
 def build_index(items: DataFrame, path: str, cells: int | None = None, metric: str = "l2",
                 item_id: str = "item_id", vector: str = "embedding", seed: int = 7) -> CellIndex:
-    """Fit centroids, assign all items and write the index tables."""
+    """Fit centroids, assign all items and write the index tables to a new path."""
     spark = items.sparkSession
     table = items.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
     table = table.where("embedding is not null")
@@ -115,8 +123,8 @@ def build_index(items: DataFrame, path: str, cells: int | None = None, metric: s
     spark.createDataFrame(
         [(i, [float(v) for v in c], metric, rows) for i, c in enumerate(centroids)],
         "cell int, center array<double>, metric string, trained_on bigint",
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    _write_items(assign_cells(table, "embedding", centroids, metric), f"{path}/items", "overwrite")
+    ).coalesce(1).write.mode("errorifexists").parquet(f"{path}/centroids")
+    _write_batch(assign_cells(table, "embedding", centroids, metric), path, "first")
     return CellIndex(path, metric, centroids)
 
 
@@ -125,12 +133,15 @@ def open_index(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(path, rows[0]["metric"], np.array([r["center"] for r in rows]))
 
 
-def append_to_index(index: CellIndex, batch: DataFrame, item_id: str = "item_id",
-                    vector: str = "embedding") -> None:
-    """Add rows to an existing index, each to the cell of its nearest centroid."""
-    table = batch.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
-    _write_items(assign_cells(table, "embedding", index.centroids, index.metric),
-                 f"{index.path}/items", "append")
+def append_to_index(index: CellIndex, rows: DataFrame, item_id: str = "item_id",
+                    vector: str = "embedding", batch: str | None = None) -> None:
+    """Add rows to an index, each to the cell of its nearest centroid.
+
+    A batch with a name can be repeated without adding its rows twice.
+    """
+    table = rows.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
+    placed = assign_cells(table, "embedding", index.centroids, index.metric)
+    _write_batch(placed, index.path, batch or uuid.uuid4().hex)
 
 
 def ingest(items: DataFrame, path: str, index: str = "deferred", cells: int | None = None,

@@ -13,12 +13,18 @@ from ..context import cut_lineage
 BUFFER_ROWS = 2_000_000
 
 
-def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out: str,
+               buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """Running sum of ``weight`` in order of ``value`` within the keys.
 
-    A key is cut into bands of the value, summed apart and put together through
-    band totals, so that no task has to order a whole key.
+    A key with more rows than a task should order is cut into bands of the
+    value, summed apart and put together through band totals.
     """
+    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= buffer_rows:
+        return counts.withColumn(out, F.sum(weight).over(upto.partitionBy(*keys)))
+
     bands = 256
     bounds = counts.groupBy(*keys).agg(
         F.percentile_approx(value, F.lit([i / bands for i in range(1, bands)]), F.lit(10 * bands))
@@ -31,9 +37,7 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out:
     before = (banded.groupBy(*keys, "_band").agg(F.sum(weight).alias("_sum"))
               .withColumn("_before", F.coalesce(F.sum("_sum").over(by_band), F.lit(0)))
               .drop("_sum"))
-    inside = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (banded.withColumn("_inside", F.sum(weight).over(inside))
+    return (banded.withColumn("_inside", F.sum(weight).over(upto.partitionBy(*keys, "_band")))
             .join(before, [*keys, "_band"])
             .withColumn(out, F.col("_before") + F.col("_inside"))
             .drop("_band", "_before", "_inside"))
@@ -55,7 +59,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float]
         return present.groupBy(*keys).agg(F.percentile(value, wanted).alias(out))
 
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = cumulative(counts, keys, value, "_w", "_upto").withColumn("_from", F.col("_upto") - F.col("_w"))
+    ranked = cumulative(counts, keys, value, "_w", "_upto", buffer_rows).withColumn("_from", F.col("_upto") - F.col("_w"))
     place = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"))
              for i, p in enumerate(probs)]
     spots = (sizes.withColumn("_spot", F.explode(F.array(*place)))

@@ -189,12 +189,8 @@ def telemetry_gaps(df: DataFrame, by: Sequence[str], spec: dict[str, tuple[str,
     """Named intervals per call: stamp of the second checkpoint minus the first,
     each taken from its last line; null if either is missing."""
     names = sorted({n for pair in spec.values() for n in pair})
-    latest = df.where(F.col(label).isin(names)).groupBy(*by).agg(*[
-        F.max_by(stamp, F.when(F.col(label) == n, F.col(line))).alias(f"_at_{i}") for i, n in enumerate(names)])
-    at = {n: F.col(f"_at_{i}") for i, n in enumerate(names)}
-    calls = df.select(*by).distinct()
-    gaps = [(at[b] - at[a]).alias(out) for out, (a, b) in spec.items()]
-    return calls.join(latest, list(by), "left").select(*by, *gaps)
+    at = {n: F.max_by(stamp, F.when(F.col(label) == n, F.col(line))) for n in names}
+    return df.groupBy(*by).agg(*[(at[b] - at[a]).alias(out) for out, (a, b) in spec.items()])
 
 
 def overhead_summary(df: DataFrame, components: Sequence[str], wall: str, inference: str,

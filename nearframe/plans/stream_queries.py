@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
@@ -26,23 +28,37 @@ def finished(stream):
     return stream
 
 
+def docs(t):
+    return arriving(t, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 @query("stream_embed_append", EMBEDDED)
 def _(t):
-    index = build_index(embed_column(t.benchmark, "text"), scratch_path(t.spark, "index"), item_id="item_id")
     path, checkpoint = scratch_path(t.spark, "stream"), scratch_path(t.spark, "progress")
-    docs = arriving(t, "documents").select(F.col("doc_id").alias("id"), "text")
-    finished(jobs.stream_embed_append(docs, path, checkpoint, index=index))
+    finished(jobs.stream_embed_append(docs(t), path, checkpoint))
     return views.long_form(t.spark.read.parquet(path), "id", "embedding")
 
 
+@query("stream_embed_index", EMBEDDED)
+def _(t):
+    """The stream feeds an index whose centroids were fitted on other texts."""
+    trained = build_index(embed_column(t.benchmark, "text"), scratch_path(t.spark, "index"), item_id="item_id")
+    index = replace(trained, path=scratch_path(t.spark, "index"))
+    finished(jobs.stream_embed_append(docs(t), index.path, scratch_path(t.spark, "progress"), index=index, item_id="id"))
+    return views.long_form(index.items(t.spark).withColumnRenamed("item_id", "id"), "id", "embedding")
+
+
 @query("stream_knn_vote", VOTE)
 def _(t):
+    # The collection is stored with its vectors, so a batch only embeds its own rows.
+    stored = scratch_path(t.spark, "corpus")
     corpus = embed_column(views.labelled_documents(t), "text").withColumn("spam", F.col("spam").cast("boolean"))
+    corpus.drop("text").write.parquet(stored)
     path, checkpoint = scratch_path(t.spark, "votes"), scratch_path(t.spark, "progress")
     turns = arriving(t, "conversations").select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "text")
     turns = embed_column(turns, "text").drop("text")
-    finished(jobs.stream_knn_vote(turns, corpus.drop("text"), path, checkpoint, "spam",
+    finished(jobs.stream_knn_vote(turns, t.spark.read.parquet(stored), path, checkpoint, "spam",
                                   query_id="id", item_id="id", width=64))
     return t.spark.read.parquet(path).drop("batch")
 

@@ -18,7 +18,7 @@ def metrics_wide(long: DataFrame, methods: Sequence[str], metrics: Sequence[str]
     with ``mean, std, median, q1, q3``. Metrics nobody reports get no columns.
     """
     if metrics is None:
-        reported = {r["metric"] for r in long.select("metric").distinct().collect()}
+        reported = {r["metric"] for r in long.where(F.col("metric").isin(*METRICS)).select("metric").distinct().collect()}
         metrics = [m for m in METRICS if m in reported]
     parts = ([("", "mean"), ("_std", "std"), ("_median", "median"), ("_q1", "q1"), ("_q3", "q3")]
              if with_stats else [("", "value")])

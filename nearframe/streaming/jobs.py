@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.cells import CellIndex, assign_cells
+from ..operators.cells import CellIndex, append_to_index
 from ..operators.embedding import embed_column
 from ..operators.retrieval import knn_vote
 from ..sources.points import upsert_points
@@ -23,16 +23,17 @@ def _start(stream: DataFrame, run, checkpoint: str, once: bool) -> StreamingQuer
 
 def stream_embed_append(stream: DataFrame, path: str, checkpoint: str, text: str = "text",
                         backend: str = "hash", model: str = "hash-64", index: CellIndex | None = None,
-                        once: bool = True) -> StreamingQuery:
-    """Embed arriving rows and append them, with their cell if an index is given.
+                        item_id: str = "item_id", once: bool = True) -> StreamingQuery:
+    """Embed arriving rows and append them to a table, or to an index if one is given.
 
-    A batch overwrites the folder of its own number, so a replay adds nothing.
+    A batch replaces what an earlier try of the same batch wrote.
     """
     def run(batch: DataFrame, number: int) -> None:
         rows = embed_column(batch, text, backend, model)
         if index is not None:
-            rows = assign_cells(rows, "embedding", index.centroids, index.metric)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            append_to_index(index, rows, item_id, batch=f"stream{number}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return _start(stream, run, checkpoint, once)
 

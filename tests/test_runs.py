@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearframe.operators import runs as M
-from nearframe.operators.ranking import quantiles
+from nearframe.operators.ranking import cumulative, quantiles
 
 
 def long(spark, rows):
@@ -135,3 +135,30 @@ def test_ratios_and_caps(spark):
     assert [(r["numerator_mean"], r["ratio"]) for r in out] == [(20.0, 4.0), (20.0, None)]
     capped = M.apply_size_cap(df.select("size", "method"), df, {"a": 1}).collect()
     assert {(r["method"], r["size"]): r["throughput"] for r in capped} == {("a", 1): 10.0, ("a", 2): None, ("b", 1): 5.0}
+
+
+# Published throughputs of ten runs at size 1024, to two decimals,
+# and the published table cells and speed-ups made from them.
+PUBLISHED = {
+    "gpu_base": [289.80, 297.70, 299.68, 291.83, 293.19, 292.65, 297.31, 293.60, 297.70, 292.87],
+    "cpu_base": [53.42, 52.33, 53.67, 52.79, 53.55, 53.51, 53.44, 52.73, 54.03, 52.11],
+    "gpu_large": [87.69, 88.85, 88.55, 88.44, 88.33, 88.53, 88.53, 88.18, 88.75, 88.01],
+    "cpu_large": [7.11, 7.20, 7.19, 7.19, 7.18, 7.20, 7.21, 7.16, 7.17, 7.15],
+}
+
+
+def test_published_table_is_reproduced(spark):
+    df = long(spark, [(1024, m, "throughput", v) for m, values in PUBLISHED.items() for v in values])
+    agg = M.aggregate_by_size(df).cache()
+    row = M.format_table(agg, list(PUBLISHED)).first().asDict()
+    assert row == {"size": 1024, "gpu_base": "294.6 (3.0)", "cpu_base": "53.2 (0.6)",
+                   "gpu_large": "88.4 (0.3)", "cpu_large": "7.2 (0.0)"}
+    fast = {r["method"]: (round(r["speedup"], 1), r["flag"]) for r in M.speedup(agg, "cpu_base").collect()}
+    assert fast == {"gpu_base": (5.5, True), "gpu_large": (1.7, False), "cpu_large": (0.1, False)}
+
+
+def test_running_sums_in_bands_equal_plain_ones(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("k"),
+                                  (F.col("id") * 7919 % 3001).alias("v"), (F.col("id") % 4).alias("w"))
+    a, b = (cumulative(df, ["k"], "v", "w", "s", n).collect() for n in (10**6, 0))
+    assert {(r["k"], r["v"]): r["s"] for r in a} == {(r["k"], r["v"]): r["s"] for r in b} and len(a) == len(b) == 3000

@@ -112,9 +112,9 @@ def _(t):
 @query("image_corpus", S.with_(PATHS, """
     img AS (SELECT path, row_number() OVER (ORDER BY md5('42|' || path), path) - 1 AS pos, count(*) OVER () AS n
             FROM path WHERE path NOT LIKE '%.txt')""") +
-       "SELECT CAST(pos + r * n AS BIGINT) AS pos, path FROM img, range(10) AS x(r) WHERE pos + r * n < 1000")
+       "SELECT CAST(pos + r * n AS BIGINT) AS pos, path FROM img, range(10) AS x(r) WHERE pos + r * n < 2 * (SELECT count(*) FROM embeddings)")
 def _(t):
-    return I.recycle_images(image_paths(t), 1000)
+    return I.recycle_images(image_paths(t), 2 * t.embeddings.count())
 
 
 RULES = [

@@ -82,13 +82,17 @@ def _(t):
     return rounded(M.summarize_throughput(views.runs(t)), *names)
 
 
-def wide_runs(t):
-    """One wide row per user: the longest time and the largest memory figure of every method."""
-    long = t.events.select(
+def user_runs(t):
+    """Users as sizes: a time and a memory figure per event."""
+    return t.events.select(
         F.col("user_id").alias("size"), F.col("event_type").alias("method"), F.inline(F.array(
             F.struct(F.lit("time_s").alias("metric"), F.col("value").alias("value")),
             F.struct(F.lit("sys_mem").alias("metric"), F.length("props").cast("double").alias("value")))))
-    return run_files.metrics_wide(long, METHODS, ["time_s", "sys_mem"])
+
+
+def wide_runs(t):
+    """One wide row per user: the longest time and the largest memory figure of every method."""
+    return run_files.metrics_wide(user_runs(t), METHODS, ["time_s", "sys_mem"])
 
 
 LONGEST = """
@@ -118,6 +122,16 @@ def _(t):
     return rounded(t.spark.read.csv(path, header=True, schema=schema, enforceSchema=False), *names)
 
 
+@query("concat_runs", S.with_(LONGEST) + _wide_sql("longest", [("", "value")]))
+def _(t):
+    # One run file per group of users, read back as one table.
+    path = scratch_path(t.spark, "runs")
+    for n in range(4):
+        part = user_runs(t).where(F.col("size") % 4 == n)
+        run_files.write_metrics_wide(part, f"{path}/benchmark_{n}_run.csv", METHODS, ["time_s", "sys_mem"])
+    return run_files.read_runs(t.spark, path)
+
+
 @query("aggregate_by_size", S.with_(LONG, STATS) + """
     SELECT size, method, metric, n, round(mean, 6) AS mean, round(pop, 6) AS std, round(median, 6) AS median,
            round(q1, 6) AS q1, round(q3, 6) AS q3 FROM stat""")

@@ -88,16 +88,14 @@ def _(t):
     return text_counters(t.documents, "text", "lang")
 
 
-@query("compare_backends", S.with_(DOCS, """
-    cut AS (SELECT doc_id AS id, array_to_string(list_slice(list_filter(
-            string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), 1, 64), ' ') AS text FROM documents)""",
-    S.hashed("dv", "doc"), S.hashed("cv", "cut")) + """
+@query("compare_backends", S.with_(DOCS, "asked AS (SELECT doc_id AS id, 'passage: ' || text AS text FROM documents)",
+    S.hashed("dv", "doc"), S.hashed("cv", "asked")) + """
     SELECT dv.id, round(list_cosine_similarity(dv.v, cv.v), 6) AS cosine FROM dv JOIN cv ON dv.id = cv.id
-    WHERE abs(1 - list_cosine_similarity(dv.v, cv.v)) > 0.1""")
+    WHERE abs(1 - list_cosine_similarity(dv.v, cv.v)) > 0.001""")
 def _(t):
-    whole = E.embed_column(docs(t), "text")
-    cut = E.embed_column(docs(t).withColumn("text", with_options(F.col("text"), 64)), "text")
-    return E.compare_backends(whole, cut, "id", 0.1).withColumn("cosine", F.round("cosine", 6))
+    plain = E.embed_column(docs(t), "text")
+    asked = E.embed_column(docs(t).withColumn("text", with_options(F.col("text"), prompt="passage: ")), "text")
+    return E.compare_backends(plain, asked, "id", 0.001).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("embed_images", """

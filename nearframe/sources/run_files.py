@@ -38,13 +38,14 @@ def read_runs(spark: SparkSession, folder: str, runs: bool = True) -> DataFrame:
     """All run files below a folder as one table.
 
     ``runs`` takes the files of single runs (``benchmark_*_run*.csv``), otherwise
-    the joined files without them. Copies below ``correct_output`` are left out.
-    The header of the first file, by path, names the columns of all of them.
+    the joined files without them. Either may be a file or a folder that Spark
+    wrote under that name. Copies below ``correct_output`` are left out. The
+    header of the first file, by path, names the columns of all of them.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "benchmark_*.csv").load(folder).select("path")
-    is_run = F.element_at(F.split("path", "/"), -1).contains("_run")
-    wanted = found.where(is_run if runs else ~is_run).where(~F.col("path").contains("/correct_output/"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.regexp_extract("path", r"/(benchmark_[^/]*\.csv)(/part-[^/]*)?$", 1)
+    is_run = name.contains("_run")
+    wanted = found.where((name != "") & (is_run if runs else ~is_run) & ~F.col("path").contains("/correct_output/"))
     # Names of files, not rows: one short line per run.
     paths = [r["path"] for r in wanted.orderBy("path").toLocalIterator()]
     if not paths:

@@ -60,3 +60,15 @@ def test_training_is_due_when_rows_have_doubled(spark, items, tmp_path):
     assert not index.needs_training(spark)
     C.append_to_index(index, items.selectExpr("id + 10000 as id", "v", "label"), "id", "v")
     assert index.needs_training(spark)
+
+
+def test_every_item_is_stored_once_in_its_nearest_cell(spark, items, tmp_path):
+    index = C.build_index(items, str(tmp_path / "ix"), cells=7, item_id="id", vector="v")
+    stored = index.items(spark).collect()
+    assert sorted(r["item_id"] for r in stored) == sorted(r["id"] for r in items.where("v is not null").collect())
+    for r in stored:
+        gaps = np.linalg.norm(index.centroids - np.array(r["embedding"]), axis=1)
+        assert gaps[r["cell"]] == pytest.approx(gaps.min(), abs=1e-6) and r["gap"] == pytest.approx(gaps.min(), abs=1e-6)
+    cells = {r["cell"]: r for r in index.cells(spark).collect()}
+    assert sum(c["rows"] for c in cells.values()) == len(stored)
+    assert all(cells[r["cell"]]["radius"] >= r["gap"] for r in stored)

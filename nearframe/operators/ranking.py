@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import cut_lineage
@@ -13,17 +13,18 @@ from ..context import cut_lineage
 BUFFER_ROWS = 2_000_000
 
 
-def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out: str,
+def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out: str, total: str,
                buffer_rows: int = BUFFER_ROWS) -> DataFrame:
-    """Running sum of ``weight`` in order of ``value`` within the keys.
+    """Running sum of ``weight`` in order of ``value`` within the keys, and the sum per key.
 
     A key with more rows than a task should order is cut into bands of the
     value, summed apart and put together through band totals.
     """
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    key = Window.partitionBy(*keys)
+    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
     if largest <= buffer_rows:
-        return counts.withColumn(out, F.sum(weight).over(upto.partitionBy(*keys)))
+        upto = key.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn(out, F.sum(weight).over(upto)).withColumn(total, F.sum(weight).over(key))
 
     bands = 256
     bounds = counts.groupBy(*keys).agg(
@@ -33,42 +34,50 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out:
         counts.join(bounds, keys)
         .withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
         .drop("_bounds"))
-    by_band = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = key.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     before = (banded.groupBy(*keys, "_band").agg(F.sum(weight).alias("_sum"))
-              .withColumn("_before", F.coalesce(F.sum("_sum").over(by_band), F.lit(0)))
+              .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+              .withColumn(total, F.sum("_sum").over(key))
               .drop("_sum"))
-    return (banded.withColumn("_inside", F.sum(weight).over(upto.partitionBy(*keys, "_band")))
+    inside = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (banded.withColumn("_inside", F.sum(weight).over(inside))
             .join(before, [*keys, "_band"])
             .withColumn(out, F.col("_before") + F.col("_inside"))
             .drop("_band", "_before", "_inside"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float],
-              out: str = "quantiles", buffer_rows: int = BUFFER_ROWS) -> DataFrame:
-    """Exact quantiles per key with linear interpolation, as one array per key.
+              out: str = "quantiles", others: Sequence[Column] = (),
+              buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+    """Exact quantiles per key with linear interpolation, as one array per key,
+    next to the ``others`` aggregates of the key. Nulls are not counted; a key
+    without values has no array.
 
     Spark's ``percentile`` keeps all distinct values of a key in one buffer. It
-    is used when the largest key is counted to be small; otherwise the two
-    order statistics around each quantile are found from running counts.
+    is used, in one pass with the others, when the largest key is counted to be
+    small; otherwise the two order statistics around each quantile are found
+    from running counts.
     """
-    present = df.where(F.col(value).isNotNull())
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    rows = df.groupBy(*keys).agg(F.count(value).alias("_rows"))
+    largest = rows.agg(F.max("_rows")).first()[0] or 0
     if largest <= buffer_rows:
-        wanted = [float(p) for p in probs]
-        return present.groupBy(*keys).agg(F.percentile(value, wanted).alias(out))
+        wanted = F.percentile(value, [float(p) for p in probs])
+        return df.groupBy(*keys).agg(*others, wanted.alias(out))
 
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = cumulative(counts, keys, value, "_w", "_upto", buffer_rows).withColumn("_from", F.col("_upto") - F.col("_w"))
-    place = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"))
-             for i, p in enumerate(probs)]
-    spots = (sizes.withColumn("_spot", F.explode(F.array(*place)))
-             .select(*keys, F.col("_spot.i").alias("_i"), F.col("_spot.at").alias("_at")))
-    # The value at zero-based position r is the one with _from <= r < _upto.
-    below, above = F.floor("_at"), F.ceil("_at")
-    near = (ranked.join(spots, keys)
-            .where((F.col("_from") <= above) & (F.col("_upto") > below)))
-    ends = near.groupBy(*keys, "_i", "_at").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    exact = F.col("_lo") + (F.col("_at") - below) * (F.col("_hi") - F.col("_lo"))
-    return (ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", exact.alias("_q")))).alias("_all"))
-            .select(*keys, F.col("_all._q").alias(out)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    # The value at zero-based position r is the one with _from <= r < _upto. Each
+    # quantile needs the positions below and above its exact place.
+    ranked = cumulative(counts, keys, value, "_w", "_upto", "_n", buffer_rows).withColumn(
+        "_from", F.col("_upto") - F.col("_w"))
+    parts = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        near = (F.col("_from") <= F.ceil(at)) & (F.col("_upto") > F.floor(at))
+        low, high = (f(F.when(near, F.col(value))).alias(f"_{n}{i}") for f, n in ((F.min, "low"), (F.max, "high")))
+        parts += [low, high, F.max(at - F.floor(at)).alias(f"_share{i}")]
+    exact = [F.col(f"_low{i}") + F.col(f"_share{i}") * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+             for i in range(len(probs))]
+    cuts = ranked.groupBy(*keys).agg(*parts).select(*keys, F.array(*exact).alias(out))
+    every = df.groupBy(*keys).agg(*others) if others else df.select(*keys).distinct()
+    return every.join(cuts, keys, "left")

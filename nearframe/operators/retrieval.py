@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..context import cut_lineage
 from .neighbours import knn_join
 from .ranking import cumulative
 
@@ -63,7 +64,8 @@ def _bought(neighbours: DataFrame, purchases: DataFrame, per_query: bool) -> Dat
     pairs = purchases.select("customer_id", "product_id")
     if not per_query:
         return semi_join_ids(pairs, neighbours, "customer_id", "item_id").select("product_id").distinct()
-    matched = neighbours.select("query_id", F.col("item_id").alias("customer_id"))
+    # Used twice; k rows per query are written so that the search runs once.
+    matched = cut_lineage(neighbours.select("query_id", F.col("item_id").alias("customer_id")))
     pairs = semi_join_ids(pairs, matched, "customer_id").distinct()
     return matched.join(pairs, "customer_id").select("query_id", "product_id").distinct()
 
@@ -95,23 +97,21 @@ def price_range(products: DataFrame, fractions: Sequence[float], category: str =
 
     Low is the cheapest price, high the n-th cheapest with
     ``n = max(1, round(fraction * products))``, halves rounded to even. Prices
-    are counted first, so a category is ranked over its distinct prices and cut
-    into price bands that are ranked apart.
+    are counted first, so a category is ranked over its distinct prices.
     """
     counts = (products.where(F.col(price).isNotNull()).groupBy(category, price)
               .agg(F.count(F.lit(1)).alias("_n")))
-    upto = cumulative(counts, [category], price, "_n", "_upto")
-    total = (counts.groupBy(category)
-             .agg(F.sum("_n").alias("in_category"), F.min(price).alias("low")))
-    wanted = F.array(*[F.lit(float(f)) for f in fractions])
-    ranks = (total.withColumn("fraction", F.explode(wanted))
-             .withColumn("wanted", F.greatest(F.lit(1), F.bround(F.col("fraction") * F.col("in_category"))
-                                              .cast("bigint"))))
-    high = (ranks.join(upto, category)
-            .where(F.col("_upto") >= F.least("wanted", "in_category"))
-            .groupBy(category, "fraction").agg(F.min(price).alias("high")))
-    return ranks.join(high, [category, "fraction"]).select(
-        F.col(category).alias("category"), "fraction", "low", "high", "in_category")
+    ranked = cumulative(counts, [category], price, "_n", "_upto", "_total")
+
+    def high(fraction: float) -> Column:
+        wanted = F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.col("_total")))
+        return F.min(F.when(F.col("_upto") >= F.least(wanted, F.col("_total")), F.col(price)))
+
+    ranges = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), high(float(f)).alias("high")) for f in fractions])
+    return (ranked.groupBy(F.col(category).alias("category"))
+            .agg(F.min(price).alias("low"), F.max("_total").alias("in_category"), ranges.alias("_ranges"))
+            .select("category", F.inline("_ranges"), "low", "in_category")
+            .select("category", "fraction", "low", "high", "in_category"))
 
 
 def fraction_sweep(neighbours: DataFrame, purchases: DataFrame, products: DataFrame,

@@ -27,27 +27,25 @@ def sample_stddev(value: str) -> Column:
     return F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(F.lit(0.0))
 
 
-def quartiles(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """``(n, median, q1, q3, iqr)`` per key with inclusive quartiles.
+def quartiles(df: DataFrame, keys: list[str], value: str = "value", others: Sequence[Column] = ()) -> DataFrame:
+    """``(n, median, q1, q3, iqr)`` per key with inclusive quartiles, after the ``others`` aggregates.
 
     With fewer than four values both quartiles are the median and the range is 0;
     without any, all are 0.
     """
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    cuts = quantiles(df, keys, value, (0.25, 0.5, 0.75), "_q")
+    cuts = quantiles(df, keys, value, (0.25, 0.5, 0.75), "_q", [F.count(value).alias("n"), *others])
+    kept = [c for c in cuts.columns if c not in (*keys, "n", "_q")]
     few = F.col("n") < 4
     mid = F.coalesce(F.col("_q")[1], F.lit(0.0))
     q1 = F.when(few, mid).otherwise(F.col("_q")[0])
     q3 = F.when(few, mid).otherwise(F.col("_q")[2])
-    return sizes.join(cuts, keys, "left").select(
-        *keys, "n", mid.alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"))
+    return cuts.select(*keys, *kept, "n", mid.alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"))
 
 
 def summarize_runs(long: DataFrame, keys: Sequence[str] = GROUP, value: str = "value") -> DataFrame:
     """Mean, sample deviation, median, quartiles and their range per key."""
-    keys = list(keys)
-    moments = long.groupBy(*keys).agg(F.avg(value).alias("mean"), sample_stddev(value).alias("std"))
-    return quartiles(long, keys, value).join(moments, keys).select(
+    moments = [F.avg(value).alias("mean"), sample_stddev(value).alias("std")]
+    return quartiles(long, list(keys), value, moments).select(
         *keys, "n", "mean", "std", "median", "q1", "q3", "iqr")
 
 
@@ -94,11 +92,8 @@ def unpivot_metrics(wide: DataFrame, metrics: Sequence[str] = METRICS, size: str
 
 def aggregate_by_size(long: DataFrame, keys: Sequence[str] = GROUP, value: str = "value") -> DataFrame:
     """Mean, population deviation, median and quartiles per size, method and metric."""
-    keys = list(keys)
-    moments = long.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    cuts = quantiles(long, keys, value, (0.25, 0.5, 0.75), "_q")
-    return moments.where("n > 0").join(cuts, keys).select(
+    moments = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
+    return quantiles(long, list(keys), value, (0.25, 0.5, 0.75), "_q", moments).where("n > 0").select(
         *keys, "n", "mean", "std", F.col("_q")[1].alias("median"),
         F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"))
 

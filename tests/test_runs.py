@@ -160,5 +160,5 @@ def test_published_table_is_reproduced(spark):
 def test_running_sums_in_bands_equal_plain_ones(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("k"),
                                   (F.col("id") * 7919 % 3001).alias("v"), (F.col("id") % 4).alias("w"))
-    a, b = (cumulative(df, ["k"], "v", "w", "s", n).collect() for n in (10**6, 0))
-    assert {(r["k"], r["v"]): r["s"] for r in a} == {(r["k"], r["v"]): r["s"] for r in b} and len(a) == len(b) == 3000
+    a, b = (cumulative(df, ["k"], "v", "w", "s", "t", n).collect() for n in (10**6, 0))
+    assert {(r["k"], r["v"]): (r["s"], r["t"]) for r in a} == {(r["k"], r["v"]): (r["s"], r["t"]) for r in b} and len(a) == len(b) == 3000

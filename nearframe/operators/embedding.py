@@ -77,9 +77,7 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
                 blocks.append(block)
             flat = np.concatenate(blocks).ravel() if blocks else np.empty(0, np.float32)
             valid = np.asarray(batch.is_valid())
-            ends = np.concatenate([[0], np.cumsum(valid) * dims]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()),
-                                           mask=pa.array(~valid))
+            yield _lists(pa.array(flat, pa.float32()), valid * dims, valid)
 
     # Otherwise the optimizer copies the call into filters it derives, and every
     # vector is computed twice.
@@ -93,10 +91,57 @@ def embed_column(df: DataFrame, text: str, backend: str = "hash", model: str = "
     return spread(df).withColumn(out, encode(F.col(text)))
 
 
-def register_sql(spark: SparkSession, backend: str = "hash", model: str = "hash-64") -> None:
-    """Let SQL text call ``embed_text(x)`` and ``embed_image(bytes)``."""
-    spark.udf.register("embed_text", embedding_function(backend, model))
-    spark.udf.register("embed_image", embedding_function("byte_histogram", "bytes-256"))
+def _lists(flat: pa.Array, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Cut ``flat`` into lists of the given sizes; rows that are not valid are null."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~valid))
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Let SQL text embed and measure, with all backends registered so far:
+
+    ``embed_texts(backend, model, texts)``, ``embed_text(backend, model, text)``,
+    ``embed_image(backend, model, bytes)``, ``l2_distance(a, b)``,
+    ``cosine_similarity(a, b)`` and ``cosine_distance(a, b)``.
+    """
+    known = dict(_BACKENDS)
+
+    def encode(names: pa.Array, models: pa.Array, inputs: pa.Array) -> pa.Array:
+        """Vectors of a column of inputs; a call names one backend and model."""
+        used = set(zip(names.to_pylist(), models.to_pylist()))
+        if len(used) > 1:
+            raise ValueError("backend and model have to be the same for all rows")
+        valid = np.asarray(inputs.is_valid())
+        present = inputs.drop_null()
+        if not len(present):
+            return pa.nulls(len(inputs), pa.list_(pa.float32()))
+        (name, model), = used
+        if name not in known or model not in known[name].models:
+            raise ValueError(f"unknown embedding backend or model: {name!r}, {model!r}")
+        encoder = known[name].factory(model)
+        block = np.asarray(encoder(present if known[name].takes_arrow else present.to_pylist()), dtype=np.float32)
+        return _lists(pa.array(block.ravel()), valid * block.shape[1], valid)
+
+    def encode_arrays(names: pa.Array, models: pa.Array, texts: pa.Array) -> pa.Array:
+        valid = np.asarray(texts.is_valid())
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(texts), 0))
+        flat = pc.list_flatten(texts)
+        row = pc.list_parent_indices(texts)
+        return _lists(encode(names.take(row), models.take(row), flat), sizes, valid)
+
+    one = F.arrow_udf(encode, VECTOR).asNondeterministic()
+    spark.udf.register("embed_text", one)
+    spark.udf.register("embed_image", one)
+    spark.udf.register("embed_texts", F.arrow_udf(encode_arrays, T.ArrayType(VECTOR)).asNondeterministic())
+    pair = "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN "
+    dot = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, x) -> s + x)".format
+    length = f"sqrt({dot('a', 'a')}) * sqrt({dot('b', 'b')})"
+    cosine = f"CASE WHEN {length} = 0 THEN 0D ELSE {dot('a', 'b')} / ({length}) END"
+    for name, body in (
+        ("l2_distance", "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"),
+        ("cosine_similarity", cosine), ("cosine_distance", f"1D - {cosine}"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{pair}{body}")
 
 
 def embed_images(df: DataFrame, content: str = "content", backend: str = "byte_histogram",

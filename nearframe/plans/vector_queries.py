@@ -228,10 +228,16 @@ def _(t):
     return R.semi_join_ids(t.orders.select("o_orderkey", "o_custkey"), near, "o_custkey", "item_id")
 
 
-@query("build_ann_index")
+@query("build_ann_index", "SELECT vec_id AS item_id, true AS in_nearest_cell, true AS within_radius FROM embeddings")
 def _(t):
+    """What holds for every item of an index, whatever its cells are."""
     index = build_index(views.vectors(t), scratch_path(t.spark, "index"), item_id="id")
-    return index.cells(t.spark).select("cell", "rows", F.round("radius", 6).alias("radius"))
+    centers = F.lit([[float(x) for x in c] for c in index.centroids])
+    nearest = F.array_min(F.transform(centers, lambda c: V.l2_distance(F.col("embedding"), c)))
+    own = V.l2_distance(F.col("embedding"), F.get(centers, F.col("cell")))
+    stored = index.items(t.spark).join(index.cells(t.spark), "cell")
+    return stored.select("item_id", (own <= nearest + 1e-9).alias("in_nearest_cell"),
+                         (own <= F.col("radius") + 1e-6).alias("within_radius"))
 
 
 @query("ann_search", S.with_(S.VECTORS, S.nearest("near", "vec", "vec")) + NEIGHBOURS)
@@ -248,11 +254,15 @@ def _(t):
     return shown(ann_search(index, views.profiles(t), 5, nprobe=1, exact=True, query_id="id"))
 
 
-@query("ann_search_probes")
+@query("ann_search_probes", "SELECT vec_id AS query_id, CAST(5 AS BIGINT) AS found, true AS self_first FROM embeddings")
 def _(t):
+    """Which other neighbours the probed cells hold depends on the cells; that a
+    stored vector finds itself first, among k, does not."""
     v = views.vectors(t)
     index = build_index(v, scratch_path(t.spark, "index"), item_id="id")
-    return shown(ann_search(index, v, 5, nprobe=4, query_id="id"))
+    near = ann_search(index, v, 5, nprobe=4, query_id="id")
+    first = F.max((F.col("rank") == 1) & (F.col("item_id") == F.col("query_id")))
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), first.alias("self_first"))
 
 
 STORED = S.with_(S.VECTORS) + "SELECT id AS item_id, label FROM vec"

@@ -86,9 +86,32 @@ def test_vector_is_computed_once(spark):
 
 def test_sql_functions(spark):
     E.register_sql(spark)
-    row = spark.sql("select embed_text('the cat sat') t, embed_image(cast('ab' as binary)) i").first()
-    assert np.allclose(row["t"], by_hand("the cat sat", 64))
+    row = spark.sql("""
+        select embed_text('hash', 'hash-64', 'the cat sat') t, embed_text('hash', 'hash-64', cast(null as string)) none,
+               embed_image('byte_histogram', 'bytes-256', cast('ab' as binary)) i""").first()
+    assert np.allclose(row["t"], by_hand("the cat sat", 64)) and row["none"] is None
     assert row["i"][ord("a")] == pytest.approx(2 ** -0.5) and sum(x > 0 for x in row["i"]) == 2
+    with pytest.raises(Exception, match="unknown embedding backend"):
+        spark.sql("select embed_text('nope', 'm', 'x')").collect()
+
+
+def test_sql_array_form_keeps_order_and_zips_by_position(spark):
+    E.register_sql(spark)
+    spark.createDataFrame([(1, ["a", None, "b c"]), (2, []), (3, None), (4, ["a"])], "k int, texts array<string>") \
+        .createOrReplaceTempView("calls")
+    out = {r["k"]: r["v"] for r in spark.sql("select k, embed_texts('hash', 'hash-32', texts) v from calls").collect()}
+    assert out[2] == [] and out[3] is None and out[1][1] is None and out[1][0] == out[4][0]
+    assert np.allclose(out[1][2], by_hand("b c", 32))
+    rows = spark.sql("""select k, inline(arrays_zip(texts, v)) as (t, e)
+                        from (select k, texts, embed_texts('hash', 'hash-32', texts) v from calls)""").collect()
+    assert all(r["e"] is None or np.allclose(r["e"], by_hand(r["t"], 32)) for r in rows) and len(rows) == 4
+
+
+def test_sql_distances(spark):
+    E.register_sql(spark)
+    row = spark.sql("""select l2_distance(array(3, 4), array(0, 8)) l, cosine_similarity(array(3f, 4f), array(0f, 8f)) c,
+                       cosine_distance(array(0, 0), array(1, 0)) z""").first()
+    assert tuple(row) == pytest.approx((5.0, 0.8, 1.0))
 
 
 def test_images_follow_their_bytes(spark):

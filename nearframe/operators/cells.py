@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..context import BROADCAST_BYTES, cut_lineage, spread
 from ..functions.text import stable_number
-from .neighbours import BLOCK_ROWS, block_of, cell_search, keep_top, matrix
+from .neighbours import BLOCK_ROWS, MATRIX_ENTRIES, block_of, cell_search, keep_top, matrix
 
 # Training rows per centroid; more do not move the centroids noticeably.
 TRAIN_PER_CELL = 256
@@ -63,6 +63,13 @@ def _gaps(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square - 2.0 * (v @ centroids.T), 0.0))
 
 
+def _slices(batch, width: int):
+    """Pieces of a batch whose distances to ``width`` centroids fit one matrix."""
+    step = max(1, MATRIX_ENTRIES // max(width, 1))
+    for at in range(0, len(batch), step):
+        yield at, batch.slice(at, step)
+
+
 def fit_centroids(items: DataFrame, vector: str, cells: int, metric: str = "l2", seed: int = 7,
                   key: str = "item_id", rows: int | None = None) -> np.ndarray:
     """k-means centroids from a hash-chosen training share of the items."""
@@ -89,9 +96,11 @@ def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: s
 
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            gaps = _gaps(_unit(matrix(batch), metric), shared.value) if len(batch) else np.empty((0, 1))
-            cell = gaps.argmin(axis=1).astype(np.int32)
-            gap = gaps[np.arange(len(cell)), cell]
+            cell, gap = np.empty(len(batch), np.int32), np.empty(len(batch))
+            for at, part in _slices(batch, len(shared.value)):
+                gaps = _gaps(_unit(matrix(part), metric), shared.value)
+                rows = slice(at, at + len(part))
+                cell[rows], gap[rows] = gaps.argmin(axis=1), gaps.min(axis=1)
             yield pa.StructArray.from_arrays([pa.array(cell), pa.array(gap)], ["cell", "gap"])
 
     place = F.arrow_udf(nearest, "cell int, gap double").asNondeterministic()
@@ -177,24 +186,27 @@ def _probe(queries: DataFrame, index: CellIndex, cells: list, nprobe: int | None
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, radius, centers = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gaps = _gaps(_unit(matrix(batch["vector"]), metric), centers)
-            near = np.argsort(gaps, axis=1, kind="stable")
-            wanted = np.zeros(gaps.shape, dtype=bool)
-            if nprobe is not None:
-                np.put_along_axis(wanted, near[:, :nprobe], True, axis=1)
-            else:
-                bound = batch["bound"].to_numpy(zero_copy_only=False)[:, None]
-                seen = np.asarray(batch["seen"])[0]
-                np.put_along_axis(wanted, near[:, seen:], True, axis=1)
-                wanted &= gaps - radius <= bound + 1e-6
-            r, c = np.nonzero(wanted)
-            rows = pa.array(r)
-            yield pa.RecordBatch.from_pydict({"query_id": batch["query_id"].take(rows),
-                                              "vector": batch["vector"].take(rows),
-                                              "cell": pa.array(known[c], pa.int32())})
+        longest = np.linalg.norm(centers, axis=1).max()
+        for whole in batches:
+            for _, batch in _slices(whole, len(known)):
+                v = _unit(matrix(batch["vector"]), metric)
+                gaps = _gaps(v, centers)
+                near = np.argsort(gaps, axis=1, kind="stable")
+                wanted = np.zeros(gaps.shape, dtype=bool)
+                if nprobe is not None:
+                    np.put_along_axis(wanted, near[:, :nprobe], True, axis=1)
+                else:
+                    bound = batch["bound"].to_numpy(zero_copy_only=False)[:, None]
+                    seen = np.asarray(batch["seen"])[0]
+                    np.put_along_axis(wanted, near[:, seen:], True, axis=1)
+                    # Room for the rounding of the distances to centroids.
+                    slack = 1e-6 * (1 + np.linalg.norm(v, axis=1)[:, None] + longest)
+                    wanted &= gaps - radius <= bound + slack
+                r, c = np.nonzero(wanted)
+                rows = pa.array(r)
+                yield pa.RecordBatch.from_pydict({"query_id": batch["query_id"].take(rows),
+                                                  "vector": batch["vector"].take(rows),
+                                                  "cell": pa.array(known[c], pa.int32())})
 
     fields = {f.name: f.dataType for f in queries.schema}
     schema = (T.StructType().add("query_id", fields["query_id"])

@@ -45,8 +45,11 @@ def knn_payload(queries: DataFrame, items: DataFrame, payload: Sequence[str], k:
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str, ids_key: str | None = None) -> DataFrame:
-    """Rows whose key is among the ids, each once however often the id occurs."""
-    wanted = ids.select(F.col(ids_key or key).alias("_wanted"))
+    """Rows whose key is among the ids, each once however often the id occurs.
+
+    Ids are made distinct first, so a frequent one is a single row in the join.
+    """
+    wanted = ids.select(F.col(ids_key or key).alias("_wanted")).distinct()
     return df.join(wanted, df[key] == F.col("_wanted"), "left_semi")
 
 

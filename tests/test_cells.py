@@ -20,12 +20,13 @@ def rows(df):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-def test_exact_search_through_the_index_equals_full_search(spark, items, tmp_path, metric):
+def test_exact_search_through_the_index_equals_full_search(spark, items, tmp_path, monkeypatch, metric):
     C.build_index(items, str(tmp_path / "ix"), cells=9, metric=metric, item_id="id", vector="v")
     index = C.open_index(spark, str(tmp_path / "ix"))
     q = items.where("id % 7 = 0").selectExpr("id as query_id", "v as embedding")
     want = rows(N.knn_join(q, items, 5, metric, item_id="id", item_vector="v"))
     assert rows(C.ann_search(index, q, 5, nprobe=1, exact=True, block_rows=64)) == want
+    monkeypatch.setattr(C, "MATRIX_ENTRIES", 30)  # three rows at a time
     assert rows(C.ann_search(index, q, 5, nprobe=99)) == want
 
 
@@ -72,3 +73,19 @@ def test_every_item_is_stored_once_in_its_nearest_cell(spark, items, tmp_path):
     cells = {r["cell"]: r for r in index.cells(spark).collect()}
     assert sum(c["rows"] for c in cells.values()) == len(stored)
     assert all(cells[r["cell"]]["radius"] >= r["gap"] for r in stored)
+
+
+def test_exact_search_far_from_the_origin(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in 1e5 + rng.normal(size=4)]) for i in range(300)]
+    items = spark.createDataFrame(rows, "id int, v array<double>")
+    index = C.build_index(items, str(tmp_path / "ix"), cells=8, item_id="id", vector="v")
+    q = items.selectExpr("id as query_id", "v as embedding")
+    want = sorted((r["query_id"], r["rank"], r["item_id"]) for r in
+                            N.knn_join(q, items, 4, item_id="id", item_vector="v").collect())
+    got = sorted((r["query_id"], r["rank"], r["item_id"]) for r in C.ann_search(index, q, 4, nprobe=1, exact=True).collect())
+    assert got == want
+    x = np.array([v for _, v in rows])
+    for i in (0, 7, 299):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 9)
+        assert [t for q_, _, t in want if q_ == i] == list(np.lexsort((np.arange(300), d))[:4])

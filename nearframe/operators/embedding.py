@@ -201,18 +201,19 @@ def _hash_encoder(model: str) -> Encoder:
     """
     dims = int(model.rsplit("-", 1)[1])
 
-    def slot(token: str) -> int:
-        if not token:
-            return -1
-        digest = hashlib.md5(token.encode()).digest()
-        return int.from_bytes(digest[:4]) % dims * 2 + (digest[4] >> 4) % 2
+    def slots(words: pa.Array) -> np.ndarray:
+        """Twice the position plus the sign of every distinct token; -1 for the empty one."""
+        raw = words.cast(pa.binary()).to_pylist()
+        digest = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in raw]), np.uint8).reshape(-1, 16)
+        number = digest[:, :4].copy().view(">u4").ravel().astype(np.int64)
+        slot = number % dims * 2 + (digest[:, 4] >> 4) % 2
+        return np.where(np.asarray(pc.binary_length(words)) > 0, slot, -1)
 
     def encode_block(texts: pa.Array) -> np.ndarray:
         words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         row = np.asarray(pc.list_parent_indices(words))
         coded = pc.dictionary_encode(pc.list_flatten(words))
-        slots = np.array([slot(t) for t in coded.dictionary.to_pylist()], dtype=np.int64)
-        code = slots[np.asarray(coded.indices)] if len(row) else np.empty(0, np.int64)
+        code = slots(coded.dictionary)[np.asarray(coded.indices)] if len(row) else np.empty(0, np.int64)
         keep = code >= 0
         counts = np.bincount(row[keep] * (2 * dims) + code[keep],
                              minlength=len(texts) * 2 * dims).reshape(len(texts), dims, 2)

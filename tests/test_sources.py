@@ -8,7 +8,7 @@ from nearframe.sources import run_files as U
 
 
 def test_review_file_with_quotes_pipes_and_line_breaks(spark, tmp_path):
-    path = tmp_path / "Review.psv"
+    path = tmp_path / "reviews.csv"
     path.write_text('"ID"|"spam"|"text"\n"1"|"0"|"plain"\n"2"|"1"|"a ""quoted"" | pipe\nand line"\n')
     assert [tuple(r) for r in R.read_reviews(spark, str(path)).orderBy("id").collect()] == [
         (1, 0, "plain"), (2, 1, 'a "quoted" | pipe\nand line')]
@@ -16,7 +16,7 @@ def test_review_file_with_quotes_pipes_and_line_breaks(spark, tmp_path):
 
 
 def test_generated_reviews_stand_in_for_a_missing_file(spark, tmp_path):
-    out = R.reviews_or_synthetic(spark, str(tmp_path / "none.psv"), 500)
+    out = R.reviews_or_synthetic(spark, str(tmp_path / "none.csv"), 500)
     rows = out.collect()
     assert len(rows) == 500 and {r["spam"] for r in rows} == {0} and len({r["text"] for r in rows}) > 100
     assert not any("{" in r["text"] for r in rows)

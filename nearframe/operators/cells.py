@@ -63,6 +63,13 @@ def _gaps(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square - 2.0 * (v @ centroids.T), 0.0))
 
 
+def _share(spark: SparkSession, centroids: np.ndarray, *more):
+    """Send centroids to the tasks, within the broadcast limit."""
+    if centroids.nbytes > BROADCAST_BYTES:
+        raise ValueError("too many centroids to send to every task; build fewer cells")
+    return spark.sparkContext.broadcast((centroids, *more))
+
+
 def _slices(batch, width: int):
     """Pieces of a batch whose distances to ``width`` centroids fit one matrix."""
     step = max(1, MATRIX_ENTRIES // max(width, 1))
@@ -92,13 +99,14 @@ def fit_centroids(items: DataFrame, vector: str, cells: int, metric: str = "l2",
 
 def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
     """Add the nearest centroid as ``cell`` and the distance to it as ``gap``."""
-    shared = items.sparkSession.sparkContext.broadcast(centroids)
+    shared = _share(items.sparkSession, centroids)
 
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        centers, = shared.value
         for batch in batches:
             cell, gap = np.empty(len(batch), np.int32), np.empty(len(batch))
-            for at, part in _slices(batch, len(shared.value)):
-                gaps = _gaps(_unit(matrix(part), metric), shared.value)
+            for at, part in _slices(batch, len(centers)):
+                gaps = _gaps(_unit(matrix(part), metric), centers)
                 rows = slice(at, at + len(part))
                 cell[rows], gap[rows] = gaps.argmin(axis=1), gaps.min(axis=1)
             yield pa.StructArray.from_arrays([pa.array(cell), pa.array(gap)], ["cell", "gap"])
@@ -181,11 +189,11 @@ def _probe(queries: DataFrame, index: CellIndex, cells: list, nprobe: int | None
     within the bound."""
     known = np.array([c["cell"] for c in cells])
     radius = np.array([c["radius"] for c in cells])
-    shared = queries.sparkSession.sparkContext.broadcast((known, radius, index.centroids[known]))
+    shared = _share(queries.sparkSession, index.centroids[known], known, radius)
     metric = index.metric
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, radius, centers = shared.value
+        centers, known, radius = shared.value
         longest = np.linalg.norm(centers, axis=1).max()
         for whole in batches:
             for _, batch in _slices(whole, len(known)):
@@ -247,8 +255,6 @@ def ann_search(index: CellIndex, queries: DataFrame, k: int = 5, nprobe: int = 8
     than the k-th found so far; the result equals a full search.
     """
     spark = queries.sparkSession
-    if index.centroids.nbytes > BROADCAST_BYTES:
-        raise ValueError("too many centroids to send to every task; build fewer cells")
     cells = index.cells(spark).collect()
     q = spread(queries).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     q = q.where("vector is not null")

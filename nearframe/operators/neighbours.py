@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import BROADCAST_BYTES, at_most
-from ..functions.vectors import cosine_distance, l2_distance
+from ..functions.vectors import check_width, cosine_distance, l2_distance
 
 DECIMALS = 9
 # Rows of one side that meet in one task of the grid strategy.
@@ -251,6 +251,9 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
         else:
             strategy = "grid"
     q, x = q.where("vector is not null"), x.where("vector is not null")
+    if width is not None:
+        # The size check relied on it.
+        q, x = (side.withColumn("vector", check_width(F.col("vector"), width)) for side in (q, x))
     if strategy == "items":
         return _with_broadcast_items(q, x, k, metric)
     if strategy == "queries":

@@ -26,7 +26,7 @@ def shown(near):
 def against_profile(t):
     """Every vector next to the mean vector of its label."""
     means = views.profiles(t).select(F.col("id").alias("label"), F.col("embedding").alias("mean"))
-    return views.vectors(t).join(F.broadcast(means), "label")
+    return views.vectors(t).join(means, "label")
 
 
 PAIRS = S.with_(S.VECTORS, S.PROFILES) + "SELECT vec.id, {0} AS {1} FROM vec JOIN profile ON vec.label = profile.id"

@@ -123,3 +123,10 @@ def test_single_vector(sides):
     vector = q.first()["embedding"]
     want = [(r["item_id"], r["dist"]) for r in N.knn_join(q, x, 5).where("query_id = 0").orderBy("rank").collect()]
     assert [(r["item_id"], r["dist"]) for r in N.knn_single(x, vector, 5).collect()] == want
+
+
+def test_a_wrong_width_is_refused(sides):
+    q, x = sides
+    assert rows(N.knn_join(q, x, 2, width=6)) == rows(N.knn_join(q, x, 2))
+    with pytest.raises(Exception, match="expected 5 values, found 6"):
+        N.knn_join(q, x, 2, width=5).collect()

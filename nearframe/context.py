@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,16 +14,27 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+# Stands in for ``spark.checkpoint.dir`` in a one-machine session that has none; removed at exit.
+_local_root: str | None = None
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as named by the cluster."""
+    """Folder that every executor can reach, as named by the cluster.
+
+    On a cluster the setting needs a scheme (``hdfs://``, ``s3a://``, ``file://``
+    for a mounted share), since a plain path is most often a local disk.
+    """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not one_machine and not (root and "://" in root):
+        raise RuntimeError("set spark.checkpoint.dir to a URI of a folder shared by all executors")
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="nearframe-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if _local_root is None:
+        _local_root = tempfile.mkdtemp(prefix="nearframe-")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+    return _local_root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

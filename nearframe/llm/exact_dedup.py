@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import free_names, stored
+from .words import slices
 
 # Text bytes that one table may hold.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 # Spill files per level; each level looks at the next four bits of the hash.
 FAN_OUT, LEVEL_BITS = 16, 4
 _ENTRY_BYTES = 200
@@ -171,14 +172,18 @@ class GraceFold:
         return whole.combine_chunks().to_batches()[0]
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], name: str, text: str) -> Iterator[pa.RecordBatch]:
     """Add a number that no other row of the job has."""
     at = TaskContext.get().partitionId() << 40
-    for batch in batches:
+    for batch in _cut(batches, text):
         yield batch.append_column(name, pa.array(range(at, at + batch.num_rows), pa.int64()))
         at += batch.num_rows
 
 
+def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    return (part for whole in batches for part in slices(whole, text))
+
+
 def _hash(df: DataFrame, text: str):
     """Where a text goes: equal texts have equal values."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -192,11 +197,11 @@ def drop_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", table
     fold = GraceFold(text, doc_id, row, None, table_bytes)
 
     def local(batches):
-        for _, (rows, *_) in fold.run(_numbered(batches, row)):
+        for _, (rows, *_) in fold.run(_numbered(batches, row, text)):
             yield rows
 
     def over_all(batches):
-        for _, (rows, *_) in fold.run(batches):
+        for _, (rows, *_) in fold.run(_cut(batches, text)):
             yield rows.select(list(range(width)))
 
     near = df.mapInArrow(local, T.StructType([*schema.fields, T.StructField(row, T.LongType())]))
@@ -218,7 +223,7 @@ def copy_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", table
 
     def local(batches):
         fold = GraceFold("text", "doc_id", "row", None, table_bytes)
-        for kind, (rows, keys, *more) in fold.run(_numbered(batches, "row"), members=True):
+        for kind, (rows, keys, *more) in fold.run(_numbered(batches, "row", "text"), members=True):
             n, best = rows.num_rows, kind == "best"
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("row"),
@@ -231,7 +236,7 @@ def copy_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", table
     def over_all(batches):
         # The row of a text in this step is its key in its task; the best row's own number rides along.
         fold = GraceFold("text", "doc_id", "key", "size", table_bytes)
-        for _, (rows, keys, sizes, digests) in fold.run(batches, gather=True):
+        for _, (rows, keys, sizes, digests) in fold.run(_cut(batches, "text"), gather=True):
             ids, winners = rows.column("doc_id").to_pylist(), rows.column("row").to_pylist()
             flat = [(k, ids[i], winners[i], sizes[i], digests[i]) for i in range(len(keys)) for k in keys[i]]
             yield pa.RecordBatch.from_arrays(

@@ -3,12 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from ..context import scratch_path
+from . import chat, exact_dedup, mixing, warc
 from .tables import query, table
 
 # A-Z to a-z and nothing else, unlike lower().
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
+@query("op3_warc", """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                      sha256(coalesce(html, '')) AS payload_digest FROM pages),
+         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest)
+                              ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f""")
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive_pages(table(spark, folder, "pages"), path)
+    return warc.archived_pages(spark, path)
+
+
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+@query("op4_chat_format", f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '{TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{TRICKY}'),
+         l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+                      replace(replace(role, '~', '~0'), '<|', '<~1') AS safe_role,
+                      replace(replace(text, '~', '~0'), '<|', '<~1') AS safe_text FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+             AS loss_sha256,
+           sum(length(safe_text) + CASE WHEN before IS DISTINCT FROM role OR before IS NULL
+               THEN length('<|start|>') + length(safe_role) + length('<|text|>') + length('<|end|>')
+               ELSE length('<|next|>') END)::BIGINT AS formatted_chars
+    FROM l GROUP BY conv_id""")
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_chats(turns.unionByName(extra)))
 
 
 @query("op6_exact_dedup", f"""
@@ -18,3 +62,36 @@ LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
     FROM d WINDOW w AS (PARTITION BY t)""")
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, folder, "documents"))
+
+
+# One step of the shares at a time: words, sources, levels, targets, ranks, what fits.
+MIX_SQL = f"""
+    WITH d AS (SELECT doc_id, source, coalesce(len({WORDS.format("text")}), 0)::BIGINT AS size,
+                      (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE)
+                      / 4503599627370496::DOUBLE AS u FROM documents),
+         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+         w AS (SELECT *, 3 * source_size AS most, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
+                      sum(source_size) OVER () AS total FROM s),
+         l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                         / sum(weight) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST
+                            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+         t AS (SELECT source, source_size, least(most::DOUBLE, max(level) OVER () * weight) AS target FROM l),
+         e AS (SELECT d.*, source_size, target,
+                      least(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END, 3::DOUBLE) AS expected
+               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+         r AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p FROM e),
+         q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank,
+                      target - sum(whole * size) OVER (PARTITION BY source) AS rest FROM r),
+         c AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size END) OVER (PARTITION BY source ORDER BY rank, doc_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running FROM q)
+    SELECT doc_id, size, source_size, target,
+           ((whole + CASE WHEN p > 0 AND 2 * running + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+    FROM c"""
+
+
+@query("op10_mixing", MIX_SQL)
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target",
+                                   (F.col("copies") * F.col("size")).alias("taken"))

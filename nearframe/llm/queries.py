@@ -6,14 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from . import chat, exact_dedup, mixing, warc
-from .tables import query, table
+from . import chat, decontaminate, exact_dedup, html_text, mixing, quality, warc
+from .tables import query, remainder, table
 
 # A-Z to a-z and nothing else, unlike lower().
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query("op3_warc", """
     WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
                       sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -64,6 +79,21 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, folder, "documents"))
 
 
+@query("op9_decontaminate", f"""
+    WITH w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+         v AS (SELECT item_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+         d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+         b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+               FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM v)),
+         n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+    SELECT doc_id, item_id, item_shingles, count(*) AS found, count(*)::DOUBLE / item_shingles AS containment
+    FROM d JOIN b USING (s) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id, item_shingles HAVING 10 * count(*) >= 8 * item_shingles""")
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # One step of the shares at a time: words, sources, levels, targets, ranks, what fits.
 MIX_SQL = f"""
     WITH d AS (SELECT doc_id, source, coalesce(len({WORDS.format("text")}), 0)::BIGINT AS size,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix, runs, slices
+from .words import Words, mix, runs, slices, whole_run
 
 # Bytes of item texts in the tasks' memory at a time.
 BLOCK_BYTES = 8 << 20
@@ -101,7 +101,7 @@ class Items:
                 # Runs as long as the item, which of items below the shingle's size is the whole sequence.
                 hashes, where, bounds = runs(words, single, width)
                 if width < self.size:
-                    hashes = _as_whole(words, single, where, width)
+                    hashes = whole_run(single, where, width)
                 by_width[width] = hashes, where, bounds
             hashes, where, bounds = by_width[width]
             large = np.repeat(np.diff(bounds) >= least, np.diff(bounds))
@@ -125,15 +125,6 @@ class Items:
                     yield row, item, sum(map(len, own.values())), len(seen)
 
 
-def _as_whole(words: Words, single: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of runs the way :func:`runs` makes those of short whole texts."""
-    from .words import _C
-    value = np.full(len(where), width, np.uint64)
-    for i in range(width):
-        value = mix(value * _C + single[where + i])
-    return value
-
-
 def _words(words: Words, first: int, n: int) -> bytes:
     return b" ".join(words.data[words.starts[i]:words.ends[i]].tobytes() for i in range(first, first + n))
 

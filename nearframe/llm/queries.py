@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from . import chat, decontaminate, exact_dedup, html_text, mixing, quality, warc
+from . import chat, decontaminate, exact_dedup, html_text, mixing, quality, substring_dedup, warc
 from .tables import query, remainder, table
 
 # A-Z to a-z and nothing else, unlike lower().
@@ -79,6 +79,22 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, folder, "documents"))
 
 
+@query("op7_substring_dedup", f"""
+    WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+         s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS run
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+         m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS least FROM s),
+         c AS (SELECT doc_id, list(DISTINCT j) AS gone
+               FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM m WHERE least < doc_id) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+                  [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(gone, k)] END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id)""")
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op9_decontaminate", f"""
     WITH w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
          v AS (SELECT item_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),

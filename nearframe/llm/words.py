@@ -102,40 +102,60 @@ class Words:
         return out
 
 
-def runs(words: Words, hashes: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``n`` words inside one text.
-
-    Returns the hashes, the first word of each run and the bounds per text.
-    With ``short`` a text of fewer words, but at least one, has its whole
-    sequence as its one run.
-    """
-    span, total, parts, width = hashes, None, 0, 1
-    rest = n
+def spans(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of ``n`` consecutive words from every word on, across texts; the last words start none."""
+    span, total, parts, width, rest = hashes, None, 0, 1, n
     while rest:
         if rest & 1:
             if total is None:
                 total, parts = span, width
             else:
-                size = max(0, len(total) - width)
+                size = max(0, min(len(total), len(span) - parts))
                 total, parts = mix(total[:size] * _A + span[parts:parts + size]), parts + width
         rest >>= 1
         if rest:
             size = max(0, len(span) - width)
             span = mix(span[:size] * _A + span[width:width + size])
             width *= 2
-    counts = np.maximum(words.counts - n + 1, 0)
-    few = (words.counts > 0) & (words.counts < n) if short else np.zeros(len(counts), bool)
-    sizes = counts + few
+    return total
+
+
+def inside(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all runs of ``n`` words inside one text, and their bounds per text."""
+    sizes = np.maximum(words.counts - n + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    where = np.arange(bounds[-1]) + np.repeat(words.first[:-1] - bounds[:-1], sizes)
-    if not few.any():
+    return np.arange(bounds[-1]) + np.repeat(words.first[:-1] - bounds[:-1], sizes), bounds
+
+
+def whole_run(hashes: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of runs of ``width`` words, made as :func:`runs` makes those of short texts."""
+    value = np.full(len(where), width, np.uint64)
+    for i in range(width):
+        value = mix(value * _C + hashes[where + i])
+    return value
+
+
+def runs(words: Words, hashes: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` words inside one text.
+
+    Returns the hashes, the first word of each run and the bounds per text.
+    With ``short`` a text of fewer words, but at least one, has its whole
+    sequence as its one run.
+    """
+    where, bounds = inside(words, n)
+    total = spans(hashes, n)
+    few = np.flatnonzero((words.counts > 0) & (words.counts < n)) if short else []
+    if not len(few):
         return total[where], where, bounds
+    sizes = np.diff(bounds)
+    sizes[few] = 1
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    where = np.arange(bounds[-1]) + np.repeat(words.first[:-1] - bounds[:-1], sizes)
     out = np.empty(len(where), np.uint64)
-    whole = np.repeat(few, sizes)
-    out[~whole] = total[where[~whole]]
-    for i in np.flatnonzero(few):
-        value = np.uint64(words.counts[i])
-        for h in hashes[words.first[i]:words.first[i + 1]]:
-            value = mix(np.array([value]) * _C + h)[0]
-        out[bounds[i]] = value
+    long = np.ones(len(where), bool)
+    long[bounds[few]] = False
+    out[long] = total[where[long]]
+    for width in np.unique(words.counts[few]):
+        some = few[words.counts[few] == width]
+        out[bounds[some]] = whole_run(hashes, words.first[some], width)
     return out, where, bounds

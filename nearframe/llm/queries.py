@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from . import chat, decontaminate, exact_dedup, html_text, mixing, quality, substring_dedup, warc
+from . import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, substring_dedup, warc
 from .tables import query, remainder, table
 
 # A-Z to a-z and nothing else, unlike lower().
@@ -95,6 +95,27 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op8_near_dedup", f"""
+    WITH RECURSIVE
+         d AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i
+                     FROM d)),
+         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+               FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+         l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+               WHERE 100 * common >= 85 * (x.n + y.n - common)),
+         r(doc_id, other) AS (SELECT doc_id, doc_id FROM d
+                              UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id,
+           doc_id = min(other) AS kept
+    FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, folder, "documents"), size=3, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op9_decontaminate", f"""
     WITH w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
          v AS (SELECT item_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from . import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, substring_dedup, warc
+from . import chat, decontaminate, exact_dedup, html_text, lm_score, mixing, near_dedup, quality, substring_dedup, warc
 from .tables import query, remainder, table
 
 # A-Z to a-z and nothing else, unlike lower().
@@ -70,6 +70,13 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(extra)))
 
 
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scores = lm_score.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score", "bits_per_byte")
+
+
 @query("op6_exact_dedup", f"""
     WITH d AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

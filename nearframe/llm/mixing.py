@@ -9,8 +9,8 @@ hash of seed and id, so reruns and lost tasks give the same mix.
 
 The only things computed per source are its size, its target and the rank of the
 last row taken. That rank is found without sorting a source in one task: ranks
-are cut into buckets of about ``BUCKET_ROWS`` rows, whose sums are added up, and
-only the bucket in which the target is reached is sorted.
+are cut into as many buckets as a bucket has rows, the bucket sums are added up,
+and only the bucket in which the target is reached is sorted.
 
 Defined results
 ---------------
@@ -28,9 +28,6 @@ from pyspark.sql import functions as F
 
 from .tables import WORD, free_names, stored
 
-# Rows of one source that are sorted together to find where it ends.
-BUCKET_ROWS = 20_000
-
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -114,7 +111,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3
 def _ends(thin: DataFrame, targets: DataFrame, preference: Column | None, max_copies: int) -> DataFrame:
     """Add to each source the rank, id and tie of the last row that gets an extra copy."""
     expected = _expected(preference, max_copies)
-    buckets = F.ceil(F.col("rows") / BUCKET_ROWS)
+    buckets = F.ceil(F.sqrt(F.col("rows")))
     rows = (thin.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
             .withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
             .withColumn("rank", _rank(F.col("u"), F.col("p")))

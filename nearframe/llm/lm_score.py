@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from .tables import stored
 from .words import Words, slices
 
-DEPTH = 4
-# Input bytes of a slab; larger ones repeat fewer words and grams.
-SLAB_BYTES = 32 << 20
+DEPTH = 5
+# Input bytes of a slab; larger ones repeat fewer words and grams. Small input splits share a task for that.
+SLAB_BYTES, SPLITS = 96 << 20, 4
+# Distinct keys of a slab's parts that are held before they are put together.
+HELD_KEYS = 1 << 20
 MARK = 0xFF  # before and after every text; no byte of UTF-8
 WORD_KEY, GRAM_KEY, TEXT = 0, 1, 2
 # Entries of the direct table that a slab's grams are looked up in; above, they are searched.
@@ -113,7 +115,7 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _slab_rows(chunk, kind, len(key), key=pa.array(key.view(np.int64)), count=pa.array(count))
             parts.clear()
 
-    for batch in (piece for whole in batches for piece in slices(whole)):
+    for batch in (piece for whole in batches for piece in slices(whole, limit=2 << 20)):
         words = Words(batch.column("text"), lower=True)
         train = np.asarray(batch.column("train").fill_null(False).cast(pa.int8())).astype(bool)
         text, starts = padded(words)
@@ -123,6 +125,8 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, found, flag in ((WORD_KEY, words.hashes(), train[words.text()]),
                                   (GRAM_KEY, grams(text)[inside], of_text)):
             held[kind].append(_distinct(found, flag))
+            if sum(len(key) for key, _ in held[kind][1:]) > HELD_KEYS:
+                held[kind] = [_counted(*(np.concatenate(c) for c in zip(*held[kind])))]
         yield _slab_rows(part + slab, TEXT, batch.num_rows, doc_id=batch.column("doc_id"),
                          train=pa.array(train), text=batch.column("text").cast(pa.string()))
         size += len(words.data)
@@ -335,7 +339,7 @@ class _Lookup:
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Score texts; per slab the numbers of its words and grams come first."""
     chunk, parts, ready = None, {WORD_KEY: [], GRAM_KEY: []}, None
-    for batch in (piece for whole in batches for piece in slices(whole)):
+    for batch in (piece for whole in batches for piece in slices(whole, limit=2 << 20)):
         chunks, kinds = np.asarray(batch.column("chunk")), np.asarray(batch.column("kind"))
         cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -383,7 +387,9 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", doc_id: str
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"),
                          F.col(text).alias("text"))
-    slabs = stored(narrow.mapInArrow(_slabs, SLABS), "slabs", compression="zstd")
+    splits = narrow.rdd.getNumPartitions()
+    fewer = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS))
+    slabs = stored((narrow.coalesce(fewer) if fewer < splits else narrow).mapInArrow(_slabs, SLABS), "slabs", compression="zstd")
 
     def summed(kind: int) -> DataFrame:
         return stored(slabs.where(F.col("kind") == kind).groupBy("key").agg(F.sum("count").alias("count")), "counts")

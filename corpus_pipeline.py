@@ -1,11 +1,22 @@
-"""A training-data pipeline over ``documents`` in stages, each written and read again."""
+"""A training-data pipeline over ``documents`` in stages, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but
+the last return the columns they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearframe.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
+from nearframe.llm.tables import free_names, remainder, stored, table
+
 
-from nearframe.llm import exact_dedup
-from nearframe.llm.tables import stored, table
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from labels outside the held-out fold."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return quality.keep_good(docs, model, threshold=0.3)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +24,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
+    return near_dedup.drop_near_copies(docs, size=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the mix with how often it takes them, ``copies``."""
+    copies, = free_names(docs, "copies")
+    return mixing.mix(docs).where(F.col(copies) > 0)
+
+
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("source mixing", mix_sources),
+]
 
-# The classifier and the sketches are not expressible in SQL; tests compare the stages with brute force.
+# The classifier is not expressible in SQL; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 

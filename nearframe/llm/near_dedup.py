@@ -132,92 +132,98 @@ def entries(symbols: np.ndarray) -> np.ndarray:
     return out.reshape(n, -1)
 
 
-def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, crowd). Of a key with a crowd in one batch, only the first node is handed
-    on, and the others become edges to it (rows without a key)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = entries(_matrix(batch.column("signature")))
-        nodes = np.repeat(np.asarray(batch.column("node")), keys.shape[1])
-        keys = keys.ravel()
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(head, len(keys)))
-        crowd = np.repeat(size > CROWD, size)
-        first = np.zeros(len(keys), bool)
-        first[head] = True
-        least = np.repeat(nodes[head], size)
-        send, link = ~crowd | first, crowd & ~first
-        yield _rows(["key", "node", "crowd"], keys[send].view(np.int64), nodes[send], np.where(crowd[send], -1, -2))
-        if link.any():
-            yield _rows(["key", "node", "crowd"], mix(nodes[link].view(np.uint64)).view(np.int64), nodes[link], least[link])
+def _enter(limit: int):
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, node, crowd). Of a key with a crowd in one batch, only the first node is handed
+        on, and the others become edges to it (rows without a key)."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = entries(_matrix(batch.column("signature")))
+            nodes = np.repeat(np.asarray(batch.column("node")), keys.shape[1])
+            keys = keys.ravel()
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(head, len(keys)))
+            crowd = np.repeat(size > limit, size)
+            first = np.zeros(len(keys), bool)
+            first[head] = True
+            least = np.repeat(nodes[head], size)
+            send, link = ~crowd | first, crowd & ~first
+            yield _rows(["key", "node", "crowd"], keys[send].view(np.int64), nodes[send], np.where(crowd[send], -1, -2))
+            if link.any():
+                yield _rows(["key", "node", "crowd"], mix(nodes[link].view(np.uint64)).view(np.int64), nodes[link], least[link])
+
+    return enter
 
 
 def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in columns], names=names)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b, sure) from rows sorted by key and node; ``sure`` edges need no look at their distance.
-
-    Of an unfinished key only the first ``CROWD`` nodes and their number are carried on.
-    """
-    carried = None  # key, smallest node, first nodes, whether a crowd
-    for batch in batches:
-        key, node, crowd = (np.asarray(batch.column(c)) for c in ("key", "node", "crowd"))
-        ready = crowd >= 0
-        if ready.any():
-            yield _rows(["a", "b", "sure"], node[ready], crowd[ready], np.ones(ready.sum()))
-            key, node, crowd = key[~ready], node[~ready], crowd[~ready]
-        if not len(key):
-            continue
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(head[1:], len(key))
-        a, b, sure = [], [], []
-
-        def finish(members, flagged, least):
-            if not flagged and len(members) <= CROWD:
-                x, y = np.triu_indices(len(members), 1)
-                a.append(members[x])
-                b.append(members[y])
-                sure.append(np.zeros(len(x)))
-            else:
-                rest = members[members != least]
-                a.append(rest)
-                b.append(np.full(len(rest), least))
-                sure.append(np.ones(len(rest)))
-
-        # Keys of one node that end in this batch lead nowhere.
-        busy = np.flatnonzero((ends - head > 1) | (head == 0) | (ends == len(key)))
-        for i in busy:
-            members, flagged = np.unique(node[head[i]:ends[i]]), bool((crowd[head[i]:ends[i]] == -1).any())
-            least = members[0]
-            if carried is not None:
-                if carried[0] == key[head[i]]:
-                    least, flagged = min(least, carried[1]), flagged or carried[3]
-                    members = np.unique(np.concatenate([carried[2], members]))
+def _meet(limit: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (a, b, sure) from rows sorted by key and node; ``sure`` edges need no look at their distance.
+
+        Of an unfinished key only the first ``limit`` nodes and their number are carried on.
+        """
+        carried = None  # key, smallest node, first nodes, whether a crowd
+        for batch in batches:
+            key, node, crowd = (np.asarray(batch.column(c)) for c in ("key", "node", "crowd"))
+            ready = crowd >= 0
+            if ready.any():
+                yield _rows(["a", "b", "sure"], node[ready], crowd[ready], np.ones(ready.sum()))
+                key, node, crowd = key[~ready], node[~ready], crowd[~ready]
+            if not len(key):
+                continue
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            ends = np.append(head[1:], len(key))
+            a, b, sure = [], [], []
+
+            def finish(members, flagged, least):
+                if not flagged and len(members) <= limit:
+                    x, y = np.triu_indices(len(members), 1)
+                    a.append(members[x])
+                    b.append(members[y])
+                    sure.append(np.zeros(len(x)))
+                else:
+                    rest = members[members != least]
+                    a.append(rest)
+                    b.append(np.full(len(rest), least))
+                    sure.append(np.ones(len(rest)))
+
+            # Keys of one node that end in this batch lead nowhere.
+            busy = np.flatnonzero((ends - head > 1) | (head == 0) | (ends == len(key)))
+            for i in busy:
+                members, flagged = np.unique(node[head[i]:ends[i]]), bool((crowd[head[i]:ends[i]] == -1).any())
+                least = members[0]
+                if carried is not None:
+                    if carried[0] == key[head[i]]:
+                        least, flagged = min(least, carried[1]), flagged or carried[3]
+                        members = np.unique(np.concatenate([carried[2], members]))
+                    else:
+                        finish(carried[2], carried[3], carried[1])
+                    carried = None
+                if ends[i] < len(key):
+                    finish(members, flagged, least)
+                elif flagged or len(members) > limit:
+                    finish(members, True, least)
+                    carried = key[head[i]], least, np.array([least]), True
                 else:
-                    finish(carried[2], carried[3], carried[1])
-                carried = None
-            if ends[i] < len(key):
-                finish(members, flagged, least)
-            elif flagged or len(members) > CROWD:
-                finish(members, True, least)
-                carried = key[head[i]], least, np.array([least]), True
+                    carried = key[head[i]], least, members, flagged
+            if a:
+                yield _rows(["a", "b", "sure"], np.concatenate(a), np.concatenate(b), np.concatenate(sure))
+        if carried is not None and len(carried[2]) > 1:
+            members = carried[2]
+            if carried[3] or len(members) > limit:
+                rest = members[members != carried[1]]
+                yield _rows(["a", "b", "sure"], rest, np.full(len(rest), carried[1]), np.ones(len(rest)))
             else:
-                carried = key[head[i]], least, members, flagged
-        if a:
-            yield _rows(["a", "b", "sure"], np.concatenate(a), np.concatenate(b), np.concatenate(sure))
-    if carried is not None and len(carried[2]) > 1:
-        members = carried[2]
-        if carried[3] or len(members) > CROWD:
-            rest = members[members != carried[1]]
-            yield _rows(["a", "b", "sure"], rest, np.full(len(rest), carried[1]), np.ones(len(rest)))
-        else:
-            x, y = np.triu_indices(len(members), 1)
-            yield _rows(["a", "b", "sure"], members[x], members[y], np.zeros(len(x)))
+                x, y = np.triu_indices(len(members), 1)
+                yield _rows(["a", "b", "sure"], members[x], members[y], np.zeros(len(x)))
+
+    return meet
 
 
 def _close(limit: int):
@@ -296,7 +302,8 @@ def _links(rows: pa.Table, size: int, percent: int, task: tuple) -> Iterator[pa.
         yield _rows(["a", "b"], np.array(a), np.array(b))
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
+                crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, and ``text_hash`` (xxhash64 of the text)."""
     m = chunk_count(percent / 100)
     k, limit = m * WIDTH, 2 * m - 1
@@ -307,8 +314,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
         F.min("row").alias("node"), F.min_by(F.struct("doc_id", "text_hash"), "row").alias("of"), F.first("signature").alias("signature"),
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("least")), "nodes")
 
-    met = (nodes.select("node", "signature").mapInArrow(_enter, "key long, node long, crowd long")
-           .repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a long, b long, sure long"))
+    met = (nodes.select("node", "signature").mapInArrow(_enter(crowd), "key long, node long, crowd long")
+           .repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet(crowd), "a long, b long, sure long"))
     edges = stored(met.groupBy("a", "b").agg(F.max("sure").alias("sure")), "candidates")
     near = (edges.where("sure = 0").select("a", "b")
             .join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
@@ -316,7 +323,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
             .mapInArrow(_close(limit), "a long, b long"))
     clusters = components(near.unionAll(edges.where("sure = 1").select("a", "b")))
 
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     work = (clusters.join(sizes, "component").withColumnRenamed("component", "cluster")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

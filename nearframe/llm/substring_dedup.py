@@ -138,12 +138,12 @@ def _seed_rows(seed, doc, place, n, checks, head) -> pa.RecordBatch:
         names=["seed", "doc_id", "place", "n", "extensions"])
 
 
-def _seeds(length: int):
+def _seeds(length: int, slab_windows: int):
     def make(batches: Iterator[pa.RecordBatch]):
         slab = _Slab(length)
         for batch in (part for whole in batches for part in slices(whole)):
             slab.add(np.asarray(batch.column("key")), batch.column("text"))
-            if slab.size >= SLAB:
+            if slab.size >= slab_windows:
                 yield from slab.rows()
         yield from slab.rows()
 
@@ -243,13 +243,14 @@ def _remove(length: int, names: list[str]):
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id",
+                   slab: int = SLAB) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text, and ``repeats``, the removed spans of words."""
     if length < ANCHOR:
         raise ValueError(f"length has to be {ANCHOR} words at least")
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = narrow.withColumn("key", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    seeds = keyed.select("key", "text").mapInArrow(_seeds(length), SEEDS)
+    seeds = keyed.select("key", "text").mapInArrow(_seeds(length, slab), SEEDS)
     marks = seeds.repartition("seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_extend, MARKS)
     marks = marks.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "n")).alias("marks"))
     rows = keyed.join(marks, "key", "left").select(

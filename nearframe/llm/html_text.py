@@ -81,6 +81,8 @@ LABELLED = [
     (0, 1, 1, 5, 1.0, 60, 0.0, 40, 0.0, 1), (0, 1, 0, 80, 0.0, 4, 1.0, 3, 1.0, 1), (0, 1, 0, 15, 0.0, 15, 0.0, 15, 0.0, 1),
     (0, 1, 0, 2, 1.0, 1, 0.0, 1, 0.0, 1), (0, 1, 0, 7, 1.0, 0, 0.0, 3, 0.2, 1), (0, 1, 0, 30, 1.0, 5, 0.1, 0, 0.0, 1),
     (0, 1, 0, 12, 1.0, 2, 0.0, 2, 1.0, 1), (0, 1, 0, 2, 1.0, 3, 1.0, 12, 0.0, 1), (0, 1, 0, 300, 1.0, 0, 0.0, 0, 0.0, 1),
+    (0, 1, 0, 1, 0.5, 0, 0.0, 10, 1.0, 1), (0, 1, 0, 20, 0.6, 5, 0.0, 3, 1.0, 1), (0, 1, 0, 5, 0.8, 9, 0.0, 4, 1.0, 1),
+    (0, 1, 0, 100, 0.7, 3, 0.3, 50, 1.0, 1), (0, 1, 1, 4, 0.6, 30, 0.0, 12, 1.0, 1), (0, 1, 0, 2, 0.8, 2, 1.0, 90, 1.0, 1),
     # outside the article of a page that has one
     (0, -1, 0, 12, 0.0, 5, 1.0, 7, 0.0, 0), (0, -1, 0, 60, 0.0, 50, 0.0, 0, 0.0, 0), (0, -1, 1, 4, 0.0, 0, 0.0, 30, 0.0, 0),
     (0, -1, 0, 2, 1.0, 3, 1.0, 2, 1.0, 0), (0, -1, 0, 150, 0.0, 90, 0.0, 100, 0.0, 0), (0, -1, 0, 1, 0.0, 1, 0.0, 1, 0.0, 0),
@@ -90,6 +92,8 @@ LABELLED = [
     (0, 0, 0, 5, 0.0, 60, 0.0, 45, 0.0, 1), (0, 0, 0, 3, 0.0, 40, 0.0, 70, 0.0, 1), (0, 0, 0, 8, 0.2, 35, 0.0, 25, 0.0, 1),
     (0, 0, 0, 2, 0.0, 20, 0.0, 19, 0.0, 1), (0, 0, 0, 6, 0.0, 50, 0.0, 0, 0.0, 1), (0, 0, 0, 4, 0.0, 22, 0.0, 3, 0.0, 1),
     (0, 0, 1, 6, 0.0, 3, 1.0, 60, 0.0, 1), (0, 0, 1, 8, 0.0, 0, 0.0, 25, 0.0, 1), (0, 0, 1, 3, 0.0, 5, 1.0, 40, 0.0, 1),
+    (0, 0, 0, 2, 1.0, 20, 0.0, 1, 1.0, 0), (0, 0, 0, 1, 1.0, 30, 0.0, 0, 0.0, 0), (0, 0, 0, 3, 1.0, 2, 1.0, 0, 0.0, 0),
+    (0, 0, 0, 2, 0.5, 20, 0.0, 2, 1.0, 0), (0, 0, 0, 4, 0.8, 40, 0.0, 1, 1.0, 0), (0, 0, 0, 1, 1.0, 0, 0.0, 2, 1.0, 0),
     (0, 0, 0, 30, 0.0, 20, 0.0, 3, 1.0, 1), (0, 0, 0, 18, 0.1, 0, 0.0, 4, 1.0, 1), (0, 0, 0, 45, 0.0, 5, 0.0, 2, 1.0, 1),
     (0, 0, 0, 18, 0.0, 40, 0.0, 1, 1.0, 1), (0, 0, 0, 24, 0.2, 3, 1.0, 2, 1.0, 1), (0, 0, 0, 6, 0.0, 50, 0.0, 4, 1.0, 0),
     (0, 0, 0, 12, 0.0, 3, 0.0, 5, 1.0, 0), (0, 0, 0, 70, 0.3, 0, 0.0, 6, 1.0, 1), (0, 0, 0, 3, 0.0, 30, 0.0, 2, 0.9, 0),

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space, bounded size checks, input spreading."""
+"""Session helpers: shared scratch space, bounded size checks, row numbers."""
 
 from __future__ import annotations
 
@@ -55,17 +55,15 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer files than cores.
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch table and read it back.
 
-    Large tables have many more files than cores and are left as they are, so
-    no row is shuffled for them.
+    What is computed in ``df`` (a vector, say) is computed once, however often
+    the result is used, and a lost executor costs a read.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())  # counted in the JVM, names are not fetched
-    return df.repartition(cores) if 0 < files < cores else df
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_position(df: DataFrame, *order: str, name: str = "pos", start: int = 1) -> DataFrame:

@@ -4,6 +4,10 @@ The index is a Parquet table of items partitioned by batch and cell, next to sma
 tables of centroids and of rows and radius per batch and cell. Centroids stay frozen
 while rows are added, so adding a batch only assigns and appends it and looks at no
 row that is already there.
+
+A batch counts once its rows and radii are written, which happens last; until then
+readers pass over its items. An upsert also writes which (item, batch) pairs it
+replaces; readers leave those out, whatever cell they lie in.
 """
 
 from __future__ import annotations
@@ -17,17 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..context import BROADCAST_BYTES, cut_lineage, spread
+from ..context import BROADCAST_BYTES, cut_lineage, store
 from ..functions.text import stable_number
 from .neighbours import BLOCK_ROWS, MATRIX_ENTRIES, block_of, cell_search, keep_top, matrix
 
-# Training rows per centroid; more do not move the centroids noticeably.
+# Bound of the k-means sample: rows per centroid. All rows then take part in a full update of the centroids.
 TRAIN_PER_CELL = 256
-MAX_CELLS = 4096
+STATS = "cell int, rows bigint, radius double"
+BATCH = "b-"  # in front of batch names, so that none is read as a number
 
 
 @dataclass(frozen=True)
@@ -36,11 +42,27 @@ class CellIndex:
     metric: str
     centroids: np.ndarray
 
+    def batches(self, spark: SparkSession) -> list[str]:
+        """Names of the batches that are complete; one short string per load."""
+        stats = spark.read.parquet(f"{self.path}/stats").select("batch").distinct()
+        return sorted(r["batch"] for r in stats.collect())
+
+    def live(self, spark: SparkSession, without: str | None = None) -> DataFrame:
+        """Items of complete batches that no complete batch has replaced, with their batch.
+
+        ``without`` leaves out one batch and what it has replaced.
+        """
+        known = [b for b in self.batches(spark) if b != without]
+        replaced = (spark.read.parquet(f"{self.path}/replaced").where(F.col("batch").isin(known))
+                    .select("item_id", F.col("old").alias("batch")))
+        items = spark.read.parquet(f"{self.path}/items").where(F.col("batch").isin(known))
+        return items.join(replaced, ["item_id", "batch"], "left_anti").select(*items.columns)
+
     def items(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/items").drop("batch")
+        return self.live(spark).drop("batch")
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        """Rows and radius of every cell that holds items."""
+        """Rows and radius of every cell that holds items; replaced items still count."""
         return spark.read.parquet(f"{self.path}/stats").groupBy("cell").agg(
             F.sum("rows").alias("rows"), F.max("radius").alias("radius"))
 
@@ -79,22 +101,30 @@ def _slices(batch, width: int):
 
 def fit_centroids(items: DataFrame, vector: str, cells: int, metric: str = "l2", seed: int = 7,
                   key: str = "item_id", rows: int | None = None) -> np.ndarray:
-    """k-means centroids from a hash-chosen training share of the items."""
+    """k-means centroids.
+
+    k-means runs on a hash-chosen sample of at most about ``TRAIN_PER_CELL`` rows
+    per centroid. If that is not all of them, every row is then assigned to its
+    cell once and the centroids become the means of their cells.
+    """
+    from ..functions.vectors import l2_normalize
+
     rows = items.count() if rows is None else rows
-    train = items.where(F.col(vector).isNotNull())
-    wanted = cells * TRAIN_PER_CELL
+    every = items.where(F.col(vector).isNotNull())
+    if metric == "cosine":
+        every = every.withColumn(vector, l2_normalize(F.col(vector))).where(F.col(vector).isNotNull())
+    train, wanted = every, cells * TRAIN_PER_CELL
     if rows > wanted:
         share = int(2**32 * wanted / rows)
-        train = train.where(stable_number(str(seed), F.col(key)) < share)
-    values = F.col(vector)
-    if metric == "cosine":
-        from ..functions.vectors import l2_normalize
-
-        values = l2_normalize(values)
-        train = train.where(values.isNotNull())
-    train = train.select(array_to_vector(values).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(train)
-    return np.array(model.clusterCenters())
+        train = every.where(stable_number(str(seed), F.col(key)) < share)
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(train.select(array_to_vector(vector).alias("features")))
+    centroids = np.array(model.clusterCenters())
+    if rows > wanted:
+        means = (assign_cells(every.select(vector), vector, centroids, metric).groupBy("cell")
+                 .agg(Summarizer.mean(array_to_vector(vector)).alias("center")))
+        for r in means.toLocalIterator():  # one row per cell
+            centroids[r["cell"]] = r["center"].toArray()
+    return centroids
 
 
 def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
@@ -116,35 +146,59 @@ def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: s
     return placed.select(*items.columns, "_place.cell", "_place.gap")
 
 
-def _write_batch(placed: DataFrame, path: str, batch: str) -> None:
-    """Write one batch; writing it again replaces it."""
+def _write_batch(placed: DataFrame, path: str, batch: str, replaced: DataFrame | None = None) -> None:
+    """Write one batch; writing it again replaces it. Its statistics come last and make it count."""
+    spark = placed.sparkSession
+    # A batch that is written again is withdrawn first, so no old radius meets new items.
+    spark.createDataFrame([], STATS).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={BATCH}{batch}")
+    if replaced is not None:
+        replaced.write.mode("overwrite").parquet(f"{path}/replaced/batch={BATCH}{batch}")
     # Rows of one cell go to several files when the cell is large: AQE splits
     # the rebalanced partitions by size.
-    items = f"{path}/items/batch={batch}"
+    items = f"{path}/items/batch={BATCH}{batch}"
     placed.hint("rebalance", F.col("cell")).write.mode("overwrite").partitionBy("cell").parquet(items)
     # Reads two narrow columns of this batch only.
-    stats = placed.sparkSession.read.parquet(items).groupBy("cell").agg(
+    stats = spark.read.parquet(items).groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.max("gap").alias("radius"))
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={BATCH}{batch}")
 
 
-def build_index(items: DataFrame, path: str, cells: int | None = None, metric: str = "l2",
-                item_id: str = "item_id", vector: str = "embedding", seed: int = 7) -> CellIndex:
-    """Fit centroids, assign all items and write the index tables to a new path."""
+def _renamed(items: DataFrame, item_id: str, vector: str) -> DataFrame:
+    return items.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
+
+
+def train_index(items: DataFrame, path: str, cells: int | None = None, metric: str = "l2", item_id: str = "item_id",
+                vector: str = "embedding", seed: int = 7) -> CellIndex:
+    """Fit centroids on ``items`` and write an index without items to a new path.
+
+    By default there are as many cells as a cell has rows, unless their
+    centroids would not fit the broadcast limit.
+    """
     spark = items.sparkSession
-    table = items.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
-    table = table.where("embedding is not null")
+    table = store(_renamed(items, item_id, vector).where("embedding is not null").select("item_id", "embedding"), "train")
     rows = table.count()
-    cells = cells or int(min(MAX_CELLS, max(1, rows ** 0.5)))
+    width = table.select(F.size("embedding").alias("n")).first()["n"] if rows else 1
+    cells = cells or int(min(BROADCAST_BYTES // (8 * width), max(1, rows ** 0.5)))
     centroids = fit_centroids(table, "embedding", cells, metric, seed, rows=rows)
     spark.createDataFrame(
         [(i, [float(v) for v in c], metric, rows) for i, c in enumerate(centroids)],
         "cell int, center array<double>, metric string, trained_on bigint",
     ).coalesce(1).write.mode("errorifexists").parquet(f"{path}/centroids")
-    _write_batch(assign_cells(table, "embedding", centroids, metric), path, "first")
+    nothing = table.select("item_id", F.lit("").alias("old")).limit(0)
+    nothing.write.parquet(f"{path}/replaced/batch={BATCH}")
+    spark.createDataFrame([], STATS).coalesce(1).write.parquet(f"{path}/stats/batch={BATCH}")
     return CellIndex(path, metric, centroids)
 
 
+def build_index(items: DataFrame, path: str, cells: int | None = None, metric: str = "l2",
+                item_id: str = "item_id", vector: str = "embedding", seed: int = 7) -> CellIndex:
+    """Fit centroids, assign all items and write the index tables to a new path."""
+    table = store(_renamed(items, item_id, vector).where("embedding is not null"), "items")
+    index = train_index(table, path, cells, metric, seed=seed)
+    _write_batch(assign_cells(table, "embedding", index.centroids, metric), path, "first")
+    return index
+
+
 def open_index(spark: SparkSession, path: str) -> CellIndex:
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     return CellIndex(path, rows[0]["metric"], np.array([r["center"] for r in rows]))
@@ -152,33 +206,49 @@ def open_index(spark: SparkSession, path: str) -> CellIndex:
 
 def append_to_index(index: CellIndex, rows: DataFrame, item_id: str = "item_id",
                     vector: str = "embedding", batch: str | None = None) -> None:
-    """Add rows to an index, each to the cell of its nearest centroid.
+    """Add rows with new ids to an index, each to the cell of its nearest centroid.
 
     A batch with a name can be repeated without adding its rows twice.
     """
-    table = rows.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
-    placed = assign_cells(table, "embedding", index.centroids, index.metric)
+    placed = assign_cells(_renamed(rows, item_id, vector), "embedding", index.centroids, index.metric)
     _write_batch(placed, index.path, batch or uuid.uuid4().hex)
 
 
+def upsert_index(index: CellIndex, rows: DataFrame, batch: str, item_id: str = "item_id",
+                 vector: str = "embedding") -> None:
+    """Add rows or replace those with the same ids. Repeating a batch changes nothing.
+
+    Ids identify a row within ``rows``. Of the index only ids and batches are read.
+    """
+    spark = rows.sparkSession
+    table = store(_renamed(rows, item_id, vector).where("embedding is not null"), "upsert")
+    if index.batches(spark):
+        replaced = (index.live(spark, without=f"{BATCH}{batch}").select("item_id", F.col("batch").alias("old"))
+                    .join(table.select("item_id"), "item_id", "left_semi"))
+    else:
+        replaced = table.select("item_id", F.lit("").alias("old")).limit(0)
+    replaced = store(replaced, "replaced")
+    _write_batch(assign_cells(table, "embedding", index.centroids, index.metric), index.path, batch, replaced)
+
+
 def ingest(items: DataFrame, path: str, index: str = "deferred", cells: int | None = None,
            metric: str = "l2", item_id: str = "item_id", vector: str = "embedding",
-           trained: CellIndex | None = None) -> CellIndex | None:
+           trained: CellIndex | None = None, batch: str | None = None) -> CellIndex | None:
     """Load items under one of three disciplines.
 
-    ``immediate`` adds to the index ``trained``, ``deferred`` loads everything
-    and then indexes it once, ``none`` writes a plain table.
+    ``immediate`` adds to the index ``trained``, replacing rows with the same
+    ids, so a load that is repeated does not double them; ``deferred`` loads
+    everything and then indexes it once; ``none`` writes a plain table.
     """
     if index == "immediate":
         if trained is None:
             raise ValueError("immediate ingest needs a trained index")
-        append_to_index(trained, items, item_id, vector)
+        upsert_index(trained, items, batch or uuid.uuid4().hex, item_id, vector)
         return trained
     if index == "deferred":
         return build_index(items, path, cells, metric, item_id, vector)
     if index == "none":
-        (items.withColumnRenamed(item_id, "item_id").withColumnRenamed(vector, "embedding")
-         .write.mode("overwrite").parquet(f"{path}/items"))
+        _renamed(items, item_id, vector).write.mode("overwrite").parquet(f"{path}/items")
         return None
     raise ValueError("index is 'immediate', 'deferred' or 'none'")
 
@@ -225,6 +295,8 @@ def _probe(queries: DataFrame, index: CellIndex, cells: list, nprobe: int | None
 def _search(probes: DataFrame, index: CellIndex, cells: list, k: int, block_rows: int) -> DataFrame:
     """Search the probed cells; cells and query crowds beyond a block are cut up."""
     spark = probes.sparkSession
+    # Read twice: to count the crowds and to search.
+    probes = store(probes, "probes")
     # One row per cell, so the collected counts are bounded by the cell count.
     crowd = {r["cell"]: r["n"] for r in
              probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
@@ -256,10 +328,12 @@ def ann_search(index: CellIndex, queries: DataFrame, k: int = 5, nprobe: int = 8
     """
     spark = queries.sparkSession
     cells = index.cells(spark).collect()
-    q = spread(queries).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
-    q = q.where("vector is not null")
     if not cells:
         raise ValueError("the index holds no items")
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
+    q = q.where("vector is not null")
+    if exact and nprobe < len(cells):
+        q = store(q, "queries")
     first = _search(_probe(q, index, cells, nprobe), index, cells, k, block_rows)
     if not exact or nprobe >= len(cells):
         return keep_top(first, k)

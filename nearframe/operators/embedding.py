@@ -9,12 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..context import spread
-
 VECTOR = T.ArrayType(T.FloatType(), False)
 # Bytes of text turned into tokens at once; bounds the memory of a task.
 TOKEN_BLOCK = 8 * 1024 * 1024
@@ -24,7 +23,7 @@ Encoder = Callable[[pa.Array], np.ndarray]
 
 @dataclass(frozen=True)
 class Backend:
-    """``factory(model)`` runs once per task and returns the batch encoder.
+    """``factory(model)`` runs once per worker process and returns the batch encoder.
 
     The encoder gets the non-null inputs, as a list of Python values or, with
     ``takes_arrow``, as an Arrow array, and returns one row per input. A remote
@@ -38,6 +37,21 @@ class Backend:
 
 
 _BACKENDS: dict[str, Backend] = {}
+# Encoders that this process has made, by backend, model and the factory that made them.
+_ENCODERS: dict[tuple[str, str, str], Encoder] = {}
+
+
+def _encoder(backend: Backend, model: str) -> Encoder:
+    """The encoder of a model, made once per process: workers are reused by later tasks and calls.
+
+    A backend registered anew under its name has another factory and is made again.
+    """
+    from nearframe.operators import embedding  # this module itself, also where functions came pickled
+
+    key = backend.name, model, hashlib.md5(cloudpickle.dumps(backend.factory)).hexdigest()
+    if key not in embedding._ENCODERS:
+        embedding._ENCODERS[key] = backend.factory(model)
+    return embedding._ENCODERS[key]
 
 
 def register_backend(name: str, factory: Callable[[str], Encoder], models: dict[str, int],
@@ -62,7 +76,7 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
     found, dims = resolve_backend(backend, model)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = found.factory(model)
+        encoder = _encoder(found, model)
         for batch in batches:
             present = batch.drop_null()
             step = batch_size or max(len(present), 1)
@@ -88,7 +102,7 @@ def embed_column(df: DataFrame, text: str, backend: str = "hash", model: str = "
                  batch_size: int | None = None, out: str = "embedding") -> DataFrame:
     """Add the vector of ``text`` to each row."""
     encode = embedding_function(backend, model, batch_size)
-    return spread(df).withColumn(out, encode(F.col(text)))
+    return df.withColumn(out, encode(F.col(text)))
 
 
 def _lists(flat: pa.Array, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
@@ -108,26 +122,26 @@ def register_sql(spark: SparkSession) -> None:
 
     def encode(names: pa.Array, models: pa.Array, inputs: pa.Array) -> pa.Array:
         """Vectors of a column of inputs; a call names one backend and model."""
-        used = set(zip(names.to_pylist(), models.to_pylist()))
-        if len(used) > 1:
+        used = [pc.unique(names).to_pylist(), pc.unique(models).to_pylist()]
+        if max(map(len, used)) > 1:
             raise ValueError("backend and model have to be the same for all rows")
+        return encode_as(*(u[0] if u else None for u in used), inputs)
+
+    def encode_as(name: str | None, model: str | None, inputs: pa.Array) -> pa.Array:
         valid = np.asarray(inputs.is_valid())
         present = inputs.drop_null()
         if not len(present):
             return pa.nulls(len(inputs), pa.list_(pa.float32()))
-        (name, model), = used
         if name not in known or model not in known[name].models:
             raise ValueError(f"unknown embedding backend or model: {name!r}, {model!r}")
-        encoder = known[name].factory(model)
+        encoder = _encoder(known[name], model)
         block = np.asarray(encoder(present if known[name].takes_arrow else present.to_pylist()), dtype=np.float32)
         return _lists(pa.array(block.ravel()), valid * block.shape[1], valid)
 
     def encode_arrays(names: pa.Array, models: pa.Array, texts: pa.Array) -> pa.Array:
         valid = np.asarray(texts.is_valid())
         sizes = np.asarray(pc.fill_null(pc.list_value_length(texts), 0))
-        flat = pc.list_flatten(texts)
-        row = pc.list_parent_indices(texts)
-        return _lists(encode(names.take(row), models.take(row), flat), sizes, valid)
+        return _lists(encode(names, models, pc.list_flatten(texts)), sizes, valid)
 
     one = F.arrow_udf(encode, VECTOR).asNondeterministic()
     spark.udf.register("embed_text", one)
@@ -172,7 +186,7 @@ def embed_missing(df: DataFrame, text: str, backend: str = "hash", model: str =
     """
     encode = embedding_function(backend, model)
     todo = F.when(F.col(column).isNull(), F.col(text))
-    return spread(df).withColumn(column, F.coalesce(F.col(column), encode(todo)))
+    return df.withColumn(column, F.coalesce(F.col(column), encode(todo)))
 
 
 def clear_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -38,12 +38,19 @@ def split_corpus(df: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]
     """The first n rows by key and the rest.
 
     Only the key at position n is looked up; both sides are filters on the
-    source, which reach its file statistics.
+    source, which reach its file statistics. A null key comes after all others,
+    so its rows are in the rest. Keys identify a row.
     """
-    edge = with_position(df.select(key), key, name="_pos").where(F.col("_pos") == n).first()
+    keys = df.select(key).where(F.col(key).isNotNull())
+    if n <= TOP_ROWS:
+        last = keys.orderBy(key).limit(n).agg(F.max(key).alias("edge"), F.count(F.lit(1)).alias("n")).first()
+        edge = last["edge"] if last["n"] == n else None
+    else:
+        row = with_position(keys, key, name="_pos").where(F.col("_pos") == n).first()
+        edge = row[key] if row else None
     if edge is None:
-        return df, df.where(F.lit(False))
-    return df.where(F.col(key) <= edge[key]), df.where(F.col(key) > edge[key])
+        return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    return df.where(F.col(key) <= edge), df.where((F.col(key) > edge) | F.col(key).isNull())
 
 
 def zip_arrays(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:

@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..context import BROADCAST_BYTES, at_most
+from ..context import BROADCAST_BYTES, at_most, scratch_path, store
 from ..functions.vectors import check_width, cosine_distance, l2_distance
 
 DECIMALS = 9
-# Rows of one side that meet in one task of the grid strategy.
+# Rows of one side of a cell that meet in one task.
 BLOCK_ROWS = 32_768
 # Entries of one distance matrix inside a task (32 MB of doubles).
 MATRIX_ENTRIES = 4_000_000
@@ -64,56 +64,68 @@ def _one_of_each(x: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     return np.sort(by_group[np.arange(len(starts)) - first < k])
 
 
-def block_top_k(q: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int,
-                metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k rows of ``x`` for every row of ``q``: (query row, item row, distance).
+class Block:
+    """Items made ready once to be searched for any number of queries."""
 
-    A matrix product finds all rows that could still be in the top k given its
-    rounding error; these few are measured again from the definition and ranked.
-    """
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    if not len(q) or not len(x):
-        return none
-    if q.shape[1] != x.shape[1]:
-        raise ValueError(f"query width {q.shape[1]} does not match item width {x.shape[1]}")
-    _, id_rank = np.unique(x_ids, return_inverse=True)
-    kept = _one_of_each(x, id_rank, k)
-    x, id_rank = x[kept], id_rank[kept]
-
-    scaled_x = x
-    if metric == "cosine":
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        scaled_x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-    x_square = np.einsum("ij,ij->i", x, x)
-    step = max(1, MATRIX_ENTRIES // len(x))
-    found = []
-    for at in range(0, len(q), step):
-        part = q[at:at + step]
+    def __init__(self, x: np.ndarray, x_ids: np.ndarray, k: int, metric: str):
+        self.k, self.metric, self.width = k, metric, x.shape[1] if len(x) else None
+        if not len(x):
+            return
+        _, id_rank = np.unique(x_ids, return_inverse=True)
+        self.kept = _one_of_each(x, id_rank, k)
+        self.x, self.id_rank = x[self.kept], id_rank[self.kept]
+        self.unit = self.x
         if metric == "cosine":
-            length = np.linalg.norm(part, axis=1, keepdims=True)
-            unit = np.divide(part, length, out=np.zeros_like(part), where=length > 0)
-            rough = 1.0 - unit @ scaled_x.T
-            slack = np.full(len(part), 4e-9)
-        else:
-            square = np.einsum("ij,ij->i", part, part)
-            rough = np.maximum(square[:, None] + x_square[None, :] - 2.0 * (part @ x.T), 0.0)
-            slack = 1e-12 * (square + x_square.max()) + 1e-17
-        if len(x) > k:
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            if metric == "l2":
-                slack = slack + 8e-9 * np.sqrt(kth + slack)
-            r, c = np.nonzero(rough <= (kth + slack)[:, None])
-        else:
-            r, c = np.nonzero(np.ones(rough.shape, dtype=bool))
-        dist = np.concatenate([_exact(metric, part[r[i:i + 65536]], x[c[i:i + 65536]])
-                               for i in range(0, len(r), 65536)])
-        dist = np.round(dist, DECIMALS) + 0.0
-        order = np.lexsort((id_rank[c], dist, r))
-        r, c, dist = r[order], c[order], dist[order]
-        starts = np.searchsorted(r, np.arange(len(part)))
-        top = np.arange(len(r)) - starts[r] < k
-        found.append((r[top] + at, kept[c[top]], dist[top]))
-    return tuple(np.concatenate(column) for column in zip(*found))
+            length = np.linalg.norm(self.x, axis=1, keepdims=True)
+            self.unit = np.divide(self.x, length, out=np.zeros_like(self.x), where=length > 0)
+        self.square = np.einsum("ij,ij->i", self.x, self.x)
+
+    def top(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Top k items for every row of ``q``: (query row, item row, distance).
+
+        A matrix product finds all rows that could still be in the top k given its
+        rounding error; these few are measured again from the definition and ranked.
+        """
+        if not len(q) or self.width is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if q.shape[1] != self.width:
+            raise ValueError(f"query width {q.shape[1]} does not match item width {self.width}")
+        x, k, metric = self.x, self.k, self.metric
+        step = max(1, MATRIX_ENTRIES // len(x))
+        found = []
+        for at in range(0, len(q), step):
+            part = q[at:at + step]
+            if metric == "cosine":
+                length = np.linalg.norm(part, axis=1, keepdims=True)
+                unit = np.divide(part, length, out=np.zeros_like(part), where=length > 0)
+                rough = 1.0 - unit @ self.unit.T
+                slack = np.full(len(part), 4e-9)
+            else:
+                square = np.einsum("ij,ij->i", part, part)
+                rough = np.maximum(square[:, None] + self.square[None, :] - 2.0 * (part @ x.T), 0.0)
+                slack = 1e-12 * (square + self.square.max()) + 1e-17
+            if len(x) > k:
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+                if metric == "l2":
+                    slack = slack + 8e-9 * np.sqrt(kth + slack)
+                r, c = np.nonzero(rough <= (kth + slack)[:, None])
+            else:
+                r, c = np.nonzero(np.ones(rough.shape, dtype=bool))
+            dist = np.concatenate([_exact(metric, part[r[i:i + 65536]], x[c[i:i + 65536]])
+                                   for i in range(0, len(r), 65536)])
+            dist = np.round(dist, DECIMALS) + 0.0
+            order = np.lexsort((self.id_rank[c], dist, r))
+            r, c, dist = r[order], c[order], dist[order]
+            starts = np.searchsorted(r, np.arange(len(part)))
+            top = np.arange(len(r)) - starts[r] < k
+            found.append((r[top] + at, self.kept[c[top]], dist[top]))
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def block_top_k(q: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int,
+                metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top k rows of ``x`` for every row of ``q``: (query row, item row, distance)."""
+    return Block(x, x_ids, k, metric).top(q)
 
 
 def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -163,8 +175,9 @@ def _with_broadcast_items(q: DataFrame, x: DataFrame, k: int, metric: str) -> Da
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, ids = shared.value
+        block = Block(vectors, ids, k, metric)
         for batch in batches:
-            found = block_top_k(matrix(batch["vector"]), vectors, ids, k, metric)
+            found = block.top(matrix(batch["vector"]))
             rank = np.arange(len(found[0])) - np.searchsorted(found[0], found[0]) + 1
             yield pa.RecordBatch.from_pydict(
                 hits(ids_of(batch["query_id"]), ids, found, types)
@@ -215,41 +228,53 @@ def block_of(key: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
-def _with_grid(q: DataFrame, x: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
-    """Cut both sides into even blocks by id hash; each pair of blocks is one task."""
-    q_blocks = F.lit(max(1, -(-q.count() // block_rows)))
-    x_blocks = F.lit(max(1, -(-x.count() // block_rows)))
-    left = (q.withColumn("_q", block_of("query_id", q_blocks))
-            .withColumn("_x", F.explode(F.sequence(F.lit(0), x_blocks - 1))))
-    right = (x.withColumn("_x", block_of("item_id", x_blocks))
-             .withColumn("_q", F.explode(F.sequence(F.lit(0), q_blocks - 1))))
-    return keep_top(cell_search(left, right, ["_q", "_x"], k, metric), k)
+def _in_blocks(q: DataFrame, x: DataFrame, k: int, metric: str, width: int | None, block_rows: int | None) -> DataFrame:
+    """Stream the items past one block of queries after the other.
+
+    Both sides are stored first, so every vector is computed once. A block fits
+    the broadcast limit; per block, query and task k rows are shuffled. Each
+    block's result is written before the next one is sent.
+    """
+    spark = q.sparkSession
+    q, x = store(q, "queries"), store(x, "items")
+    if width is None:
+        first = q.select(F.size("vector").alias("width")).first()
+        width = first["width"] if first else 1
+    blocks = max(1, -(-q.count() // (block_rows or max(1, BROADCAST_BYTES // (8 * width + 64)))))
+    parts, found = scratch_path(spark, "query-blocks"), scratch_path(spark, "neighbours")
+    cut = q.withColumn("_block", block_of("query_id", F.lit(blocks)))
+    cut.repartition(blocks, "_block").write.partitionBy("_block").parquet(parts)
+    q = spark.read.schema(cut.schema).parquet(parts)
+    for block in range(blocks):
+        part = q.where(F.col("_block") == block).select("query_id", "vector")
+        near = _with_broadcast_queries(part, x, k, metric)
+        near.write.mode("append").parquet(found)
+    return spark.read.schema(near.schema).parquet(found)
 
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2",
              query_id: str = "query_id", item_id: str = "item_id",
              query_vector: str = "embedding", item_vector: str = "embedding",
              strategy: str = "auto", width: int | None = None,
-             block_rows: int = BLOCK_ROWS) -> DataFrame:
+             block_rows: int | None = None) -> DataFrame:
     """The k nearest items of every query: ``(query_id, item_id, dist, rank)``.
 
     A side that is counted to fit the broadcast limit is sent to the tasks and
-    the other is streamed past it where it lies. When neither fits, both are
-    cut into blocks and each pair of blocks is searched by its own task.
-    Null vectors take no part. Ids identify a row on their side. ``width`` is
-    the vector length where the caller knows it.
+    the other is streamed past it where it lies. When neither fits, the queries
+    are taken in blocks that do. Null vectors take no part. Ids identify a row on
+    their side. ``width`` is the vector length where the caller knows it. A
+    strategy asked for by name is held to the same limit.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
+    if strategy not in ("auto", "items", "queries", "blocks"):
+        raise ValueError("strategy is 'auto', 'items', 'queries' or 'blocks'")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     x = items.select(F.col(item_id).alias("item_id"), F.col(item_vector).alias("vector"))
     if strategy == "auto":
-        if _bounded(x, width):
-            strategy = "items"
-        elif _bounded(q, width):
-            strategy = "queries"
-        else:
-            strategy = "grid"
+        strategy = "items" if _bounded(x, width) else "queries" if _bounded(q, width) else "blocks"
+    elif strategy != "blocks" and not _bounded(x if strategy == "items" else q, width):
+        raise ValueError(f"the {strategy} are too many to send to every task")
     q, x = q.where("vector is not null"), x.where("vector is not null")
     if width is not None:
         # The size check relied on it.
@@ -258,9 +283,7 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
         return _with_broadcast_items(q, x, k, metric)
     if strategy == "queries":
         return _with_broadcast_queries(q, x, k, metric)
-    if strategy == "grid":
-        return _with_grid(q, x, k, metric, block_rows)
-    raise ValueError("strategy is 'auto', 'items', 'queries' or 'grid'")
+    return _in_blocks(q, x, k, metric, width, block_rows)
 
 
 def knn_single(items: DataFrame, vector: list[float], k: int = 5, metric: str = "l2",

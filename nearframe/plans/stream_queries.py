@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from ..operators.cells import build_index
+from ..operators.cells import train_index
 from ..operators.embedding import embed_column
 from ..streaming import jobs
 from . import sql as S
@@ -42,8 +40,7 @@ def _(t):
 @query("stream_embed_index", EMBEDDED)
 def _(t):
     """The stream feeds an index whose centroids were fitted on other texts."""
-    trained = build_index(embed_column(t.benchmark, "text"), scratch_path(t.spark, "index"), item_id="item_id")
-    index = replace(trained, path=scratch_path(t.spark, "index"))
+    index = train_index(embed_column(t.benchmark, "text"), scratch_path(t.spark, "index"), item_id="item_id")
     finished(jobs.stream_embed_append(docs(t), index.path, scratch_path(t.spark, "progress"), index=index, item_id="id"))
     return views.long_form(index.items(t.spark).withColumnRenamed("item_id", "id"), "id", "embedding")
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..context import scratch_path
 from ..functions import vectors as V
 from ..operators import retrieval as R
-from ..operators.cells import ann_search, build_index, fit_centroids, ingest, open_index
+from ..operators.cells import ann_search, build_index, ingest, open_index, train_index, upsert_index
 from ..operators.embedding import embed_column
 from ..operators.neighbours import knn_join, knn_single
 from . import sql as S
 from . import views
 from .registry import query
 
+# The shares of a category that the sweep asks for.
 FRACTIONS = (0.05, 0.10, 0.20, 0.40, 0.80)
 
 
@@ -90,6 +91,13 @@ def _(t):
     return shown(knn_join(v, v, 5, query_id="id", item_id="id"))
 
 
+@query("knn_join_large", S.with_(S.VECTORS, S.nearest("near", "vec", "vec")) + NEIGHBOURS)
+def _(t):
+    """The plan for two sides that are both too large to send, on whole tables."""
+    v = views.vectors(t)
+    return shown(knn_join(v, v, 5, query_id="id", item_id="id", strategy="blocks", block_rows=200))
+
+
 @query("knn_single", S.with_(S.VECTORS, """
     mid AS (SELECT list(x ORDER BY b) AS v FROM (SELECT b, avg(x) AS x FROM (
         SELECT unnest(v) AS x, unnest(range(len(v))) AS b FROM vec) GROUP BY 1))""") + """
@@ -265,28 +273,93 @@ def _(t):
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), first.alias("self_first"))
 
 
-STORED = S.with_(S.VECTORS) + "SELECT id AS item_id, label FROM vec"
+STORED = S.with_(S.VECTORS) + """
+    SELECT id AS item_id, label, CAST(b AS BIGINT) AS dim, round(x, 6) + 0.0 AS value
+    FROM (SELECT id, label, unnest(v) AS x, unnest(range(len(v))) AS b FROM vec)"""
+
+
+def stored(items):
+    """All that a load has stored of an item."""
+    return (items.select("item_id", "label", F.posexplode("embedding").alias("dim", "x"))
+            .select("item_id", "label", F.col("dim").cast("bigint").alias("dim"),
+                    (F.round(F.col("x").cast("double"), 6) + F.lit(0.0)).alias("value")))
 
 
 @query("ingest_indexed", STORED)
 def _(t):
-    from ..operators.cells import CellIndex
-
     v = views.vectors(t).withColumnRenamed("id", "item_id")
-    trained = CellIndex(scratch_path(t.spark, "index"), "l2", fit_centroids(v, "embedding", 16))
-    for label_half in (F.col("label") < 5, F.col("label") >= 5):
-        ingest(v.where(label_half), trained.path, "immediate", trained=trained)
-    return trained.items(t.spark).select("item_id", "label")
+    index = train_index(v, scratch_path(t.spark, "index"), 16)
+    for name, half in (("low", F.col("label") < 5), ("high", F.col("label") >= 5), ("low", F.col("label") < 5)):
+        ingest(v.where(half), index.path, "immediate", trained=index, batch=name)
+    return stored(open_index(t.spark, index.path).items(t.spark))
 
 
 @query("ingest_deferred", STORED)
 def _(t):
     index = ingest(views.vectors(t), scratch_path(t.spark, "index"), "deferred", item_id="id")
-    return index.items(t.spark).select("item_id", "label")
+    return stored(index.items(t.spark))
 
 
 @query("ingest_no_index", STORED)
 def _(t):
     path = scratch_path(t.spark, "plain")
     ingest(views.vectors(t), path, "none", item_id="id")
-    return t.spark.read.parquet(f"{path}/items").select("item_id", "label")
+    return stored(t.spark.read.parquet(f"{path}/items"))
+
+
+UPSERTED = """
+    now AS (SELECT id, v, label FROM vec WHERE label <> 3
+            UNION ALL SELECT id, list_reverse(v), label FROM vec WHERE label = 3
+            UNION ALL SELECT id + 1000000, v, label FROM vec WHERE label = 4)"""
+
+
+def upserted(t):
+    """An index after other vectors for the ids of one label, which lie in other cells, and copies under new ids."""
+    v = views.vectors(t)
+    index = build_index(v, scratch_path(t.spark, "index"), item_id="id")
+    turned = v.where("label = 3").withColumn("embedding", F.reverse("embedding"))
+    copies = v.where("label = 4").withColumn("id", F.col("id") + 1_000_000)
+    for _ in range(2):  # the second time changes nothing
+        upsert_index(index, turned.unionByName(copies), "second", item_id="id")
+    return index
+
+
+@query("index_upsert", S.with_(S.VECTORS, UPSERTED, S.nearest("near", "vec", "now")) + NEIGHBOURS)
+def _(t):
+    return shown(ann_search(upserted(t), views.vectors(t), 5, nprobe=2, exact=True, query_id="id"))
+
+
+@query("index_upsert_items", S.with_(S.VECTORS, UPSERTED) + """
+    SELECT id AS item_id, label, CAST(b AS BIGINT) AS dim, round(x, 6) + 0.0 AS value
+    FROM (SELECT id, label, unnest(v) AS x, unnest(range(len(v))) AS b FROM now)""")
+def _(t):
+    return stored(upserted(t).items(t.spark))
+
+
+@query("ann_vote", S.with_(S.VECTORS, S.nearest("near", "vec", "vec")) + """
+    SELECT query_id, CAST(SUM(CAST(label >= 5 AS INT)) AS BIGINT) AS votes, SUM(CAST(label >= 5 AS INT)) >= 3 AS predicted
+    FROM near JOIN vec ON item_id = vec.id GROUP BY query_id""")
+def _(t):
+    v = views.vectors(t)
+    index = build_index(v, scratch_path(t.spark, "index"), item_id="id")
+    near = ann_search(index, v, 5, nprobe=2, exact=True, query_id="id")
+    labels = index.items(t.spark).select("item_id", (F.col("label") >= 5).alias("label"))
+    return R.vote(near, v, labels, "id", "item_id")
+
+
+@query("ann_payload", S.with_(S.VECTORS, FACES, S.PROFILES, S.nearest("near", "profile", "face")) +
+       "SELECT query_id, item_id, rank, path FROM near JOIN face ON item_id = id")
+def _(t):
+    index = build_index(faces(t), scratch_path(t.spark, "index"), item_id="id")
+    near = ann_search(index, views.profiles(t), 5, nprobe=2, exact=True, query_id="id")
+    return R.attach_payload(near, index.items(t.spark), "item_id", ["path"]).select(
+        "query_id", "item_id", F.col("rank").cast("bigint").alias("rank"), "path")
+
+
+@query("ann_purchases", S.with_(*SHOP, S.nearest("near", "profile", "cust")) + f"""
+    SELECT DISTINCT prod.product_id, name FROM near JOIN bought ON item_id = customer_id
+    JOIN prod USING (product_id) WHERE {RATED}""")
+def _(t):
+    index = build_index(views.customers(t), scratch_path(t.spark, "index"), item_id="id")
+    near = ann_search(index, views.profiles(t), 5, nprobe=2, exact=True, query_id="id")
+    return R.knn_purchases(near, views.purchases(t), views.products(t), views.reviews(t))

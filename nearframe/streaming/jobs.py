@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..context import store
 from ..operators.cells import CellIndex, append_to_index
 from ..operators.embedding import embed_column
 from ..operators.retrieval import knn_vote
@@ -23,28 +24,31 @@ def _start(stream: DataFrame, run, checkpoint: str, once: bool) -> StreamingQuer
 
 def stream_embed_append(stream: DataFrame, path: str, checkpoint: str, text: str = "text",
                         backend: str = "hash", model: str = "hash-64", index: CellIndex | None = None,
-                        item_id: str = "item_id", once: bool = True) -> StreamingQuery:
+                        item_id: str = "item_id", once: bool = True, name: str = "stream") -> StreamingQuery:
     """Embed arriving rows and append them to a table, or to an index if one is given.
 
-    A batch replaces what an earlier try of the same batch wrote.
+    A batch replaces what an earlier try of the same batch wrote. Streams that
+    share a target need names of their own.
     """
     def run(batch: DataFrame, number: int) -> None:
         rows = embed_column(batch, text, backend, model)
         if index is not None:
-            append_to_index(index, rows, item_id, batch=f"stream{number}")
+            append_to_index(index, rows, item_id, batch=f"{name}-{number}")
         else:
-            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={name}-{number}")
 
     return _start(stream, run, checkpoint, once)
 
 
 def stream_knn_vote(stream: DataFrame, items: DataFrame, path: str, checkpoint: str, label: str = "label",
                     k: int = 5, min_votes: int = 3, query_id: str = "query_id", item_id: str = "item_id",
-                    once: bool = True, **options) -> StreamingQuery:
-    """Classify arriving vectors against a static collection."""
+                    once: bool = True, name: str = "stream", **options) -> StreamingQuery:
+    """Classify arriving vectors against a static collection, which is stored once for all batches."""
+    items = store(items, "collection")
+
     def run(batch: DataFrame, number: int) -> None:
         votes = knn_vote(batch, items, label, k, min_votes, query_id, item_id, **options)
-        votes.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        votes.write.mode("overwrite").parquet(f"{path}/batch={name}-{number}")
 
     return _start(stream, run, checkpoint, once)
 

@@ -1,7 +1,12 @@
+import shutil
+import uuid
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearframe.operators import cells as C
+from nearframe.operators import embedding as E
 from nearframe.operators import neighbours as N
 
 
@@ -40,9 +45,11 @@ def test_recall_of_probed_cells(spark, items, tmp_path):
 
 def test_immediate_and_deferred_ingest_hold_the_same_rows(spark, items, tmp_path):
     deferred = C.ingest(items, str(tmp_path / "d"), "deferred", cells=5, item_id="id", vector="v")
-    trained = C.CellIndex(str(tmp_path / "i"), "l2", deferred.centroids)
-    for part in (items.where("label = 0"), items.where("label = 1")):
-        C.ingest(part, trained.path, "immediate", item_id="id", vector="v", trained=trained)
+    C.train_index(items, str(tmp_path / "i"), cells=5, item_id="id", vector="v")
+    trained = C.open_index(spark, str(tmp_path / "i"))
+    for label in (0, 1, 0):  # a load that is repeated, under its name or another, doubles nothing
+        C.ingest(items.where(f"label = {label}"), trained.path, "immediate", item_id="id", vector="v", trained=trained,
+                 batch=None if label else "zero")
 
     def stored(ix):
         return sorted((r["item_id"], r["cell"], r["label"]) for r in ix.items(spark).collect())
@@ -56,6 +63,70 @@ def test_immediate_and_deferred_ingest_hold_the_same_rows(spark, items, tmp_path
         C.ingest(items, "x", "sometimes")
 
 
+def test_every_vector_is_computed_once(spark, tmp_path):
+    """One call of the encoder per input in every step that needs vectors."""
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def factory(_model):
+        def encode(texts):
+            (made / uuid.uuid4().hex).write_text(str(len(texts)))
+            return np.array([[float(len(t)), float(t[0]), 1.0] for t in texts])
+        return encode
+
+    E.register_backend("counting", factory, {"three": 3})
+
+    def counted(run):
+        for f in made.iterdir():
+            f.write_text("0")
+        run().collect()
+        return sum(int(f.read_text()) for f in made.iterdir())
+
+    texts = spark.range(300).selectExpr("id as item_id", "cast((id * 7) % 1000 as string) as text").repartition(3)
+    table = E.embed_column(texts, "text", "counting", "three")
+    queries = table.selectExpr("item_id as query_id", "embedding")
+    index = []
+
+    def build():
+        index.append(C.build_index(table, str(tmp_path / "ix"), cells=9))
+        return spark.range(0)
+
+    assert counted(build) == 300
+    assert counted(lambda: C.ann_search(index[0], queries, 3, nprobe=2)) == 300
+    assert counted(lambda: C.ann_search(index[0], queries, 3, nprobe=2, exact=True)) == 300
+    assert counted(lambda: N.knn_join(queries, table, 3, strategy="blocks", width=3, block_rows=100)) == 600
+
+
+def test_upsert_replaces_across_cells(spark, items, tmp_path):
+    index = C.build_index(items, str(tmp_path / "ix"), cells=9, item_id="id", vector="v")
+    moved = items.where("id % 5 = 0 and v is not null").withColumn("v", F.reverse("v"))
+    for name in ("a", "a", "b"):
+        C.upsert_index(index, moved, name, "id", "v")
+    now = moved.unionByName(items.where("id % 5 <> 0"))
+    q = items.where("id % 7 = 0").selectExpr("id as query_id", "v as embedding")
+    assert index.items(spark).count() == 900
+    assert rows(C.ann_search(index, q, 5, nprobe=1, exact=True)) == rows(N.knn_join(q, now, 5, item_id="id", item_vector="v"))
+
+
+def test_a_batch_counts_once_its_statistics_are_written(spark, items, tmp_path):
+    index = C.build_index(items.where("label = 0"), str(tmp_path / "ix"), cells=4, item_id="id", vector="v")
+    before = index.items(spark).count()
+    C.append_to_index(index, items.where("label = 1"), "id", "v", batch="later")
+    assert index.items(spark).count() == 900
+    shutil.rmtree(tmp_path / "ix" / "stats" / "batch=b-later")
+    assert index.items(spark).count() == before
+
+
+def test_all_rows_move_the_centroids(spark, items, monkeypatch):
+    table = items.where("v is not null")
+    monkeypatch.setattr(C, "TRAIN_PER_CELL", 20)
+    centers = C.fit_centroids(table.withColumnRenamed("id", "item_id"), "v", 6)
+    x = np.array([r["v"] for r in table.collect()])
+    assert centers.shape == (6, 8)
+    assert np.allclose(np.average(centers, axis=0, weights=np.bincount(
+        np.linalg.norm(x[:, None] - centers[None], axis=2).argmin(1), minlength=6)), x.mean(0), atol=0.5)
+
+
 def test_training_is_due_when_rows_have_doubled(spark, items, tmp_path):
     index = C.build_index(items, str(tmp_path / "ix"), cells=4, item_id="id", vector="v")
     assert not index.needs_training(spark)

@@ -85,21 +85,30 @@ def test_all_strategies_agree_with_brute_force(sides, metric):
     want = brute(np.array([r["embedding"] for r in qs]), np.array([r["embedding"] for r in xs]),
                  [r["item_id"] for r in xs], 5, metric)
     want = sorted((qs[i]["query_id"], n % 5 + 1, key, round(d, 7)) for n, (i, key, d) in enumerate(want))
-    for options in ({"strategy": "items"}, {"strategy": "queries"}, {"strategy": "grid", "block_rows": 16}, {}):
+    for options in ({"strategy": "items"}, {"strategy": "queries"}, {"strategy": "blocks", "block_rows": 16}, {}):
         assert rows(N.knn_join(q, x, 5, metric, **options)) == want
 
 
 def test_choice_of_strategy_follows_the_size(sides, monkeypatch):
     q, x = sides
     chosen = []
-    for name in ("_with_broadcast_items", "_with_broadcast_queries", "_with_grid"):
+    for name in ("_with_broadcast_items", "_with_broadcast_queries", "_in_blocks"):
         real = getattr(N, name)
         monkeypatch.setattr(N, name, lambda *a, _n=name, _r=real: chosen.append(_n) or _r(*a))
     want = rows(N.knn_join(q, x, 3))
     for limit in (112 * 60, 112 * 10):
         monkeypatch.setattr(N, "BROADCAST_BYTES", limit)
         assert rows(N.knn_join(q, x, 3)) == want
-    assert chosen == ["_with_broadcast_items", "_with_broadcast_queries", "_with_grid"]
+    # The last one sends its blocks in turn.
+    assert chosen[:3] == ["_with_broadcast_items", "_with_broadcast_queries", "_in_blocks"]
+
+
+def test_a_strategy_by_name_is_held_to_the_limit(sides, monkeypatch):
+    q, x = sides
+    monkeypatch.setattr(N, "BROADCAST_BYTES", 112 * 10)
+    for strategy in ("items", "queries"):
+        with pytest.raises(ValueError, match="too many"):
+            N.knn_join(q, x, 3, strategy=strategy)
 
 
 def test_fewer_items_than_k_and_none(sides, spark):
@@ -107,7 +116,7 @@ def test_fewer_items_than_k_and_none(sides, spark):
     few = x.where("item_id < 'c003'")
     assert {r["query_id"]: r["rank"] for r in N.knn_join(q, few, 5).collect()}.keys() == set(range(40)) | {101}
     assert N.knn_join(q, few, 5).count() == 41 * 3
-    for strategy in ("items", "queries", "grid"):
+    for strategy in ("items", "queries", "blocks"):
         assert N.knn_join(q, x.where("false"), 5, strategy=strategy).count() == 0
 
 

@@ -45,11 +45,11 @@ DEPTH = 5
 # Input bytes of a slab; larger ones repeat fewer words and grams. Small input splits share a task for that.
 SLAB_BYTES, SPLITS = 96 << 20, 4
 # Distinct keys of a slab's parts that are held before they are put together.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
 MARK = 0xFF  # before and after every text; no byte of UTF-8
 WORD_KEY, GRAM_KEY, TEXT = 0, 1, 2
-# Entries of the direct table that a slab's grams are looked up in; above, they are searched.
-TABLE_SIZE = 24 << 20
+# Entries of a direct table that a slab's grams are looked up in; above, they are searched.
+TABLE_SIZE = 8 << 20
 SLABS = "chunk long, kind int, key long, count double, doc_id long, train boolean, text string"
 SCORES = "doc_id long, train boolean, n_words long, known long, log_words double, n_bytes long, score double"
 
@@ -296,44 +296,39 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 # ---- scores
 
 class _Lookup:
-    """Numbers by gram: one step per byte through direct tables, or a search where those get too large."""
+    """Numbers by gram, found one byte at a time: the number of the bytes so far and the next byte give the
+    next number, by a direct table where that is small and by a search among the ones that occur elsewhere."""
 
     def __init__(self, code: np.ndarray, value: np.ndarray):
         order = np.argsort(code)
-        self.code, self.value = code[order], value[order]
+        code, self.value = code[order], value[order].astype(np.float32)
         used = np.zeros(256, bool)
         for i in range(DEPTH + 1):
-            used[((self.code >> np.uint64(8 * i)) & np.uint64(0xFF)).astype(np.int64)] = True
+            used[((code >> np.uint64(8 * i)) & np.uint64(0xFF)).astype(np.int64)] = True
         self.number = (np.cumsum(used) - 1).astype(np.int32)
-        self.base, self.tables = int(used.sum()), []
+        self.base, self.steps = int(used.sum()), []
         at, ids = np.zeros(len(code), np.int64), 1
         for i in range(DEPTH, -1, -1):
-            byte = self.number[((self.code >> np.uint64(8 * i)) & np.uint64(0xFF)).astype(np.int64)]
-            at = at * self.base + byte
-            if ids * self.base > TABLE_SIZE:
-                self.tables = None
-                return
-            if i:
+            at = at * self.base + self.number[((code >> np.uint64(8 * i)) & np.uint64(0xFF)).astype(np.int64)]
+            # The grams are in order, so the numbers of their beginnings are too.
+            known = at[np.append(True, at[1:] != at[:-1])]
+            if ids * self.base <= TABLE_SIZE:
                 table = np.zeros(ids * self.base, np.int32)
-                table[at] = 1
-                table = np.cumsum(table, dtype=np.int32) - 1
-                ids = int(table[-1]) + 1
-                at = table[at].astype(np.int64)
+                table[known] = np.arange(len(known), dtype=np.int32)
+                self.steps.append((True, table))
             else:
-                table = np.zeros(ids * self.base, np.float32)
-                table[at] = self.value
-            self.tables.append(table)
+                self.steps.append((False, known))
+            ids = len(known)
+            at = np.searchsorted(known, at)
 
     def get(self, text: np.ndarray) -> np.ndarray:
         """The numbers of all positions from ``DEPTH`` on; only those of known grams mean anything."""
-        if self.tables is None:
-            return self.value[np.minimum(np.searchsorted(self.code, grams(text)), len(self.code) - 1)]
         byte, n = self.number[text], len(text) - DEPTH
-        at = byte[DEPTH - 1:DEPTH - 1 + n]
-        at = self.tables[0][at]
-        for i in range(2, DEPTH + 1):
-            at = self.tables[i - 1][at * self.base + byte[DEPTH - i:DEPTH - i + n]]
-        return self.tables[DEPTH][at * self.base + byte[DEPTH:]]
+        at = np.zeros(n, np.int64)
+        for i, (direct, step) in zip([*range(1, DEPTH + 1), 0], self.steps):
+            at = at * self.base + byte[DEPTH - i:DEPTH - i + n]
+            at = step[at].astype(np.int64) if direct else np.minimum(np.searchsorted(step, at), len(step) - 1)
+        return self.value[at]
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,9 +13,23 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda t: t != "")
 
 
+# Prompts that a request may ask for by name.
+_PROMPTS: dict[str, str] = {"query": "query: ", "passage": "passage: "}
+
+
+def register_prompt(name: str, prompt: str) -> None:
+    _PROMPTS[name] = prompt
+
+
 def with_options(text: Column, truncate_to: int | None = None, side: str = "right",
-                 prompt: str | None = None) -> Column:
-    """Apply request options: cut tokens off one side, then put a prompt in front."""
+                 prompt: str | None = None, prompt_name: str | None = None) -> Column:
+    """Apply request options: cut tokens off one side, then put a prompt in front, literal or by name."""
+    if prompt is not None and prompt_name is not None:
+        raise ValueError("give a prompt or the name of one")
+    if prompt_name is not None:
+        if prompt_name not in _PROMPTS:
+            raise ValueError(f"unknown prompt {prompt_name!r}; known: {sorted(_PROMPTS)}")
+        prompt = _PROMPTS[prompt_name]
     if side not in ("left", "right"):
         raise ValueError("side is 'left' or 'right'")
     if truncate_to is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ class Backend:
     factory: Callable[[str], Encoder]
     models: dict[str, int]
     takes_arrow: bool = False
+    raw: Callable[[str], Encoder] | None = None  # the factory of vectors that are not brought to unit length
 
 
 _BACKENDS: dict[str, Backend] = {}
@@ -55,9 +56,9 @@ def _encoder(backend: Backend, model: str) -> Encoder:
 
 
 def register_backend(name: str, factory: Callable[[str], Encoder], models: dict[str, int],
-                     takes_arrow: bool = False) -> None:
+                     takes_arrow: bool = False, raw: Callable[[str], Encoder] | None = None) -> None:
     """Make a backend known under ``name``; ``models`` maps model name to width."""
-    _BACKENDS[name] = Backend(name, factory, dict(models), takes_arrow)
+    _BACKENDS[name] = Backend(name, factory, dict(models), takes_arrow, raw)
 
 
 def resolve_backend(name: str, model: str) -> tuple[Backend, int]:
@@ -71,9 +72,18 @@ def resolve_backend(name: str, model: str) -> tuple[Backend, int]:
 
 
 def embedding_function(backend: str = "hash", model: str = "hash-64",
-                       batch_size: int | None = None):
-    """Column function from inputs to vectors. A null input stays null."""
+                       batch_size: int | None = None, normalize: bool | None = None):
+    """Column function from inputs to vectors. A null input stays null.
+
+    ``normalize`` brings vectors to unit length or asks for them as counted;
+    without it they are as the backend makes them. A backend without raw vectors
+    refuses ``normalize=False``.
+    """
     found, dims = resolve_backend(backend, model)
+    if normalize is False:
+        if found.raw is None:
+            raise ValueError(f"backend {backend!r} has unit vectors only")
+        found = replace(found, name=f"{found.name} raw", factory=found.raw)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(found, model)
@@ -88,6 +98,9 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
                 if block.shape != (len(inputs), dims):
                     raise ValueError(f"backend {found.name!r} returned {block.shape}, "
                                      f"expected {(len(inputs), dims)}")
+                if normalize:
+                    length = np.linalg.norm(block, axis=1, keepdims=True)
+                    block = np.divide(block, length, out=np.zeros_like(block), where=length > 0)
                 blocks.append(block)
             flat = np.concatenate(blocks).ravel() if blocks else np.empty(0, np.float32)
             valid = np.asarray(batch.is_valid())
@@ -99,9 +112,9 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
 
 
 def embed_column(df: DataFrame, text: str, backend: str = "hash", model: str = "hash-64",
-                 batch_size: int | None = None, out: str = "embedding") -> DataFrame:
+                 batch_size: int | None = None, out: str = "embedding", normalize: bool | None = None) -> DataFrame:
     """Add the vector of ``text`` to each row."""
-    encode = embedding_function(backend, model, batch_size)
+    encode = embedding_function(backend, model, batch_size, normalize)
     return df.withColumn(out, encode(F.col(text)))
 
 
@@ -206,8 +219,12 @@ def compare_backends(a: DataFrame, b: DataFrame, key: str, eps: float = 1e-4,
     )
 
 
-def _hash_encoder(model: str) -> Encoder:
-    """Signed feature hashing of whitespace tokens, brought to unit length.
+def _raw_hash_encoder(model: str) -> Encoder:
+    return _hash_encoder(model, unit=False)
+
+
+def _hash_encoder(model: str, unit: bool = True) -> Encoder:
+    """Signed feature hashing of whitespace tokens, brought to unit length or as counted.
 
     The MD5 is taken once per distinct token of a block and all counting is
     done on whole arrays. Measured at 5 times less processor time than the same
@@ -232,6 +249,8 @@ def _hash_encoder(model: str) -> Encoder:
         counts = np.bincount(row[keep] * (2 * dims) + code[keep],
                              minlength=len(texts) * 2 * dims).reshape(len(texts), dims, 2)
         sums = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
+        if not unit:
+            return sums.astype(np.float32)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         return np.divide(sums, length, out=sums, where=length > 0).astype(np.float32)
 
@@ -269,5 +288,6 @@ def onnx_factory(path: str, feed: Callable[[list], dict], output: str | None = N
 
 
 register_backend("hash", _hash_encoder,
-                 {f"hash-{d}": d for d in (8, 32, 64, 128, 256, 384, 512, 1024)}, takes_arrow=True)
+                 {f"hash-{d}": d for d in (8, 32, 64, 128, 256, 384, 512, 1024)}, takes_arrow=True,
+                 raw=_raw_hash_encoder)
 register_backend("byte_histogram", _byte_histogram, {"bytes-256": 256})

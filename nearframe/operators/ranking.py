@@ -7,33 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..context import cut_lineage
+# Bands of the value that a key is cut into.
+BANDS = 256
 
-# Rows of one key that a single aggregation buffer may hold.
-BUFFER_ROWS = 2_000_000
 
-
-def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out: str, total: str,
-               buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out: str, total: str) -> DataFrame:
     """Running sum of ``weight`` in order of ``value`` within the keys, and the sum per key.
 
-    A key with more rows than a task should order is cut into bands of the
-    value, summed apart and put together through band totals.
+    Keys are cut into bands of the value, summed apart and put together through
+    band totals, so no key is ordered in one task.
     """
     key = Window.partitionBy(*keys)
-    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
-    if largest <= buffer_rows:
-        upto = key.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.withColumn(out, F.sum(weight).over(upto)).withColumn(total, F.sum(weight).over(key))
-
-    bands = 256
     bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, F.lit([i / bands for i in range(1, bands)]), F.lit(10 * bands))
+        F.percentile_approx(value, F.lit([i / BANDS for i in range(1, BANDS)]), F.lit(10 * BANDS))
         .alias("_bounds"))
-    banded = cut_lineage(
-        counts.join(bounds, keys)
-        .withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
-        .drop("_bounds"))
+    banded = (counts.join(bounds, keys)
+              .withColumn("_band", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+              .drop("_bounds"))
     earlier = key.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     before = (banded.groupBy(*keys, "_band").agg(F.sum(weight).alias("_sum"))
               .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
@@ -48,27 +38,19 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str, out:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float],
-              out: str = "quantiles", others: Sequence[Column] = (),
-              buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+              out: str = "quantiles", others: Sequence[Column] = ()) -> DataFrame:
     """Exact quantiles per key with linear interpolation, as one array per key,
     next to the ``others`` aggregates of the key. Nulls are not counted; a key
     without values has no array.
 
-    Spark's ``percentile`` keeps all distinct values of a key in one buffer. It
-    is used, in one pass with the others, when the largest key is counted to be
-    small; otherwise the two order statistics around each quantile are found
-    from running counts.
+    Spark's ``percentile`` keeps all distinct values of a key in one buffer;
+    here the two order statistics around each quantile are found from running
+    counts, for keys of any size.
     """
-    rows = df.groupBy(*keys).agg(F.count(value).alias("_rows"))
-    largest = rows.agg(F.max("_rows")).first()[0] or 0
-    if largest <= buffer_rows:
-        wanted = F.percentile(value, [float(p) for p in probs])
-        return df.groupBy(*keys).agg(*others, wanted.alias(out))
-
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     # The value at zero-based position r is the one with _from <= r < _upto. Each
     # quantile needs the positions below and above its exact place.
-    ranked = cumulative(counts, keys, value, "_w", "_upto", "_n", buffer_rows).withColumn(
+    ranked = cumulative(counts, keys, value, "_w", "_upto", "_n").withColumn(
         "_from", F.col("_upto") - F.col("_w"))
     parts = []
     for i, p in enumerate(probs):

@@ -75,11 +75,23 @@ def _(t):
     len AS (SELECT id, h, sqrt(list_dot_product(h, h)) AS n FROM head),
     out AS (SELECT id, list_transform(h, lambda x: x / n) AS v FROM len WHERE n > 0)""") + S.long_form("out"))
 def _(t):
-    cut = docs(t).withColumn("text", with_options(F.col("text"), 12, "left", "query: "))
+    cut = docs(t).withColumn("text", with_options(F.col("text"), 12, "left", prompt_name="query"))
     v = E.embed_column(cut, "text").withColumn("v", reduce_dims(F.col("embedding"), 32))
     return views.long_form(v, "id", "v")
 
 
+@query("embed_raw", S.with_("""
+    tok AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS t FROM documents),
+    part AS (SELECT id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 32 AS dim,
+                    SUM(CASE WHEN CAST('0x' || substr(md5(t), 9, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s
+             FROM tok WHERE t <> '' GROUP BY 1, 2)""") + """
+    SELECT d.doc_id AS id, CAST(r.b AS BIGINT) AS dim, CAST(coalesce(s, 0) AS DOUBLE) AS value
+    FROM documents d CROSS JOIN range(32) AS r(b) LEFT JOIN part ON part.id = d.doc_id AND part.dim = r.b""")
+def _(t):
+    """Vectors as they are counted, without unit length."""
+    return views.long_form(E.embed_column(docs(t), "text", "hash", "hash-32", normalize=False), "id", "embedding")
+
+
 @query("embed_metadata", """
     SELECT lang, count(text) AS inputs, CAST(sum(length(text)) AS BIGINT) AS chars,
            CAST(sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))) AS BIGINT) AS tokens

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,9 @@ def read_runs(spark: SparkSession, folder: str, runs: bool = True) -> DataFrame:
 
     ``runs`` takes the files of single runs (``benchmark_*_run*.csv``), otherwise
     the joined files without them. Either may be a file or a folder that Spark
-    wrote under that name. Copies below ``correct_output`` are left out. The
-    header of the first file, by path, names the columns of all of them.
+    wrote under that name. Copies below ``correct_output`` are left out. Files
+    are read by the names in their own headers: columns may come in any order,
+    and one that a file does not have is null for its rows.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     name = F.regexp_extract("path", r"/(benchmark_[^/]*\.csv)(/part-[^/]*)?$", 1)
@@ -50,9 +52,18 @@ def read_runs(spark: SparkSession, folder: str, runs: bool = True) -> DataFrame:
     paths = [r["path"] for r in wanted.orderBy("path").toLocalIterator()]
     if not paths:
         raise FileNotFoundError(f"no run files below {folder}")
-    header = spark.read.text(paths[0]).first()[0].split(",")
-    schema = ", ".join(f"`{c}` {'int' if c == 'size' else 'double'}" for c in header)
-    return spark.read.csv(paths, schema=schema, header=True, enforceSchema=True)
+    # One header line per file, read in one job.
+    lines = (spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"))
+             .groupBy("path").agg(F.min_by("value", "line").alias("header")))
+    by_header: dict[str, list[str]] = {}
+    for r in lines.orderBy("path").toLocalIterator():
+        by_header.setdefault(r["header"], []).append(r["path"])
+    parts = []
+    for header, files in by_header.items():
+        schema = ", ".join(f"`{c}` {'int' if c == 'size' else 'double'}" for c in header.split(","))
+        parts.append(spark.read.csv(files, schema=schema, header=True, enforceSchema=False))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearframe.functions.text import register_prompt, with_options
 from nearframe.operators import embedding as E
 from nearframe.operators import loading as L
 
@@ -65,18 +66,54 @@ def test_own_backend_and_width_check(spark):
         E.embed_column(frame(spark), "text", "lengths", "three").collect()
 
 
-def test_factory_runs_once_per_task(spark, tmp_path):
-    log = str(tmp_path / "calls")
+def test_factory_runs_once_per_worker(spark, tmp_path):
+    """Worker processes are reused by later tasks, and columns and SQL calls share their encoders."""
+    log = tmp_path / "calls"
 
     def factory(model):
         with open(log, "a") as f:
-            f.write("x")
+            f.write(f"{os.getpid()}\n")
         return lambda texts: [[1.0] for _ in texts]
 
     E.register_backend("counted", factory, {"m": 1})
-    df = spark.range(0, 1000, 1, 2).select("id", F.col("id").cast("string").alias("text"))
-    assert E.embed_column(df, "text", "counted", "m", batch_size=10).where("embedding is not null").count() == 1000
-    assert os.path.getsize(log) == 2
+    E.register_sql(spark)
+    df = spark.range(0, 1000, 1, 6).select("id", F.col("id").cast("string").alias("text"))
+    for _ in range(2):
+        assert E.embed_column(df, "text", "counted", "m", batch_size=10).where("embedding is not null").count() == 1000
+    df.createOrReplaceTempView("counted_texts")
+    for call in ("embed_text('counted', 'm', text)", "embed_texts('counted', 'm', array(text, text))"):
+        assert spark.sql(f"select {call} as v from counted_texts").where("v is not null").count() == 1000
+    pids = log.read_text().split()
+    assert len(pids) == len(set(pids))
+
+
+def test_a_backend_registered_anew_is_made_again(spark):
+    for value in (1.0, 2.0):
+        E.register_backend("changing", lambda model, value=value: lambda texts: [[value] for _ in texts], {"m": 1})
+        got = E.embed_column(frame(spark), "text", "changing", "m").where("text is not null").select("embedding").distinct()
+        assert [r["embedding"] for r in got.collect()] == [[value]]
+
+
+def test_normalize_and_named_prompts(spark):
+    raw = E.embed_column(frame(spark), "text", model="hash-8", normalize=False).collect()
+    unit = E.embed_column(frame(spark), "text", model="hash-8", normalize=True).collect()
+    for a, b in zip(raw, unit):
+        if a["text"] is None:
+            assert a["embedding"] is None
+            continue
+        v = np.array(a["embedding"])
+        assert np.array_equal(v, v.round()) and np.allclose(b["embedding"], by_hand(a["text"], 8), atol=1e-6)
+    E.register_backend("long", lambda model: lambda texts: [[3.0, 4.0] for _ in texts], {"m": 2})
+    assert np.allclose(E.embed_column(frame(spark), "text", "long", "m", normalize=True).first()["embedding"], [0.6, 0.8])
+    with pytest.raises(ValueError, match="unit vectors only"):
+        E.embed_column(frame(spark), "text", "long", "m", normalize=False)
+    register_prompt("mine", "m: ")
+    asked = frame(spark).select(with_options(F.col("text"), prompt_name="mine").alias("t"),
+                                with_options(F.col("text"), prompt_name="query").alias("q")).first()
+    assert (asked["t"], asked["q"]) == ("m: the cat sat", "query: the cat sat")
+    for options in ({"prompt_name": "none"}, {"prompt": "a", "prompt_name": "mine"}):
+        with pytest.raises(ValueError):
+            with_options(F.col("text"), **options)
 
 
 def test_vector_is_computed_once(spark):

@@ -151,3 +151,13 @@ def test_generated_shop_keeps_its_promises(spark):
     good = shop["reviews"].join(shop["customers"].where("tier in ('gold', 'platinum')"), "customer_id")
     assert good.agg(F.min("rating")).first()[0] == 3
     assert "reviews" not in G.generate_commerce(spark.range(3).toDF("customer_id"), with_reviews=False)
+
+
+def test_split_keeps_every_row_and_null_keys_in_the_rest(spark, monkeypatch):
+    df = spark.createDataFrame([(3, "c"), (None, "n"), (1, "a"), (2, "b")], "k int, v string")
+    for limit in (100, 0):
+        monkeypatch.setattr(L, "TOP_ROWS", limit)
+        for n, first in ((2, "ab"), (3, "abc"), (9, "abc")):
+            head, rest = L.split_corpus(df, "k", n)
+            assert sorted(r["v"] for r in head.collect()) == list(first)
+            assert sorted(r["v"] for r in rest.collect()) == sorted(set("abcn") - set(first))

@@ -98,7 +98,7 @@ def test_documents_are_appended(spark, tmp_path):
     assert len(out) == 2 and out[0]["id"] == "1" and out[0]["metadata"] == {"spam": "true"}
 
 
-def test_run_files_are_joined_by_position(spark, tmp_path):
+def test_run_files_are_joined(spark, tmp_path):
     (tmp_path / "correct_output").mkdir()
     (tmp_path / "benchmark_1_run1.csv").write_text("size,a_time_s,b_time_s\n32,1.0,2.0\n")
     (tmp_path / "benchmark_1_run2.csv").write_text("size,a_time_s,b_time_s\n32,3.0,\n64,5.0,6.0\n")
@@ -112,6 +112,15 @@ def test_run_files_are_joined_by_position(spark, tmp_path):
         U.read_runs(spark, str(tmp_path / "correct_output"))
 
 
+def test_run_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "benchmark_1_run1.csv").write_text("size,a_time_s,b_time_s\n32,1.0,2.0\n")
+    (tmp_path / "benchmark_1_run2.csv").write_text("size,b_time_s,a_time_s\n64,4.0,3.0\n")
+    (tmp_path / "benchmark_1_run3.csv").write_text("size,b_time_s,c_time_s\n128,5.0,6.0\n")
+    out = U.read_runs(spark, str(tmp_path))
+    assert out.columns == ["size", "a_time_s", "b_time_s", "c_time_s"]
+    assert sorted(map(tuple, out.collect())) == [(32, 1.0, 2.0, None), (64, 3.0, 4.0, None), (128, None, 5.0, 6.0)]
+
+
 def test_wide_file_has_columns_for_reported_metrics_only(spark, tmp_path):
     long = spark.createDataFrame([(1, "a", "time_s", 2.0), (1, "b", "time_s", 3.0), (2, "a", "qd_cpu", 4.0)],
                                  "size int, method string, metric string, value double")

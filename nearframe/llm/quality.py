@@ -37,7 +37,7 @@ from .words import Words, mix, slices
 # Bound of the training sample: labelled rows per class.
 SAMPLE_ROWS = 1024
 BUCKET_BITS = 17
-WIDTH, EPOCHS, BATCH, RATE = 8, 8, 16, 4.0
+WIDTH, STEPS, BATCH, RATE = 8, 1024, 16, 4.0
 _REPEAT, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -109,8 +109,10 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
     random = np.random.default_rng(7)
     vectors = (random.random((1 << BUCKET_BITS, WIDTH), np.float32) - 0.5) / WIDTH
     layer, bias = (random.random((2, WIDTH)) - 0.5).astype(np.float32), np.zeros(2)
-    steps, step = EPOCHS * -(-len(labels) // BATCH), 0
-    for _ in range(EPOCHS):
+    # As many steps for a small sample as for a large one.
+    epochs = -(-STEPS // -(-len(labels) // BATCH))
+    steps, step = epochs * -(-len(labels) // BATCH), 0
+    for _ in range(epochs):
         order = random.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]

@@ -3,7 +3,7 @@ import corpus_pipeline
 from nearframe.llm import exact_dedup
 from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages_one_by_one(spark):

@@ -8,8 +8,6 @@ it reads. Parts without Spark's success marker are not seen.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +66,10 @@ def read_points(spark: SparkSession, path: str, key: str) -> DataFrame:
     stored = spark.read.parquet(f"{path}/{base[1]}") if base else None
     if not later:
         return stored
-    changes = [spark.read.parquet(f"{path}/{name}").withColumn("_part", F.lit(n)) for n, name in later]
-    new = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes)
-    new = latest(new, key, "_part") if len(changes) > 1 else new.drop("_part")
+    # One scan of all changes, however many upserts there were; the folder's number tells which is newer.
+    changes = (spark.read.option("mergeSchema", True).parquet(*[f"{path}/{name}" for _, name in later])
+               .withColumn("_part", F.regexp_extract("_metadata.file_path", r"/upsert-(\d+)/[^/]*$", 1).cast("bigint")))
+    new = latest(changes, key, "_part")
     return merge_points(stored, new, key) if stored is not None else new
 
 

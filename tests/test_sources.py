@@ -98,6 +98,22 @@ def test_documents_are_appended(spark, tmp_path):
     assert len(out) == 2 and out[0]["id"] == "1" and out[0]["metadata"] == {"spam": "true"}
 
 
+def test_many_upserts_are_one_scan(spark, tmp_path):
+    path, schema = str(tmp_path / "c"), "id int, x string"
+    P.create_points(path, spark.createDataFrame([(1, "a"), (2, "b")], schema))
+
+    def scans():
+        plan = P.read_points(spark, path, "id")._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation [")
+
+    seen = set()
+    for i in range(12):
+        P.upsert_points(spark, path, spark.createDataFrame([(i % 3, f"v{i}")], schema), "id")
+        seen.add(scans())
+    assert len(seen) == 1
+    assert {r["id"]: r["x"] for r in P.read_points(spark, path, "id").collect()} == {0: "v9", 1: "v10", 2: "v11"}
+
+
 def test_run_files_are_joined(spark, tmp_path):
     (tmp_path / "correct_output").mkdir()
     (tmp_path / "benchmark_1_run1.csv").write_text("size,a_time_s,b_time_s\n32,1.0,2.0\n")

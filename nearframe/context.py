@@ -37,9 +37,23 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+# Scratch paths that this driver has handed out.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/nearframe/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_root(spark).rstrip('/')}/nearframe/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables of this driver; to be called once their results have been written or read."""
+    gone = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

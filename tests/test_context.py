@@ -28,6 +28,13 @@ def test_a_plain_local_session_works(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
 
 
+def test_scratch_tables_are_dropped(spark):
+    context.drop_scratch(spark)
+    kept = context.store(spark.range(3), "kept")
+    assert kept.count() == 3 and context.scratch_path(spark, "unused")
+    assert context.drop_scratch(spark) == 1 and context.drop_scratch(spark) == 0
+
+
 def test_a_cluster_needs_a_uri():
     class Conf:
         def __init__(self, value):

@@ -44,11 +44,14 @@ REGIONS = frozenset("nav header footer aside form dialog menu".split())
 REGION_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 # Words of class and id names that mark such regions.
 REGION_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar "
-    "navigation menu breadcrumb breadcrumbs sidebar aside comment comments disqus reply replies respond cookie "
-    "cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing "
+    "ad ads advert adverts advertisement advertising adsense adbox adslot adunit adbanner banner alert announcement sponsor sponsored promo promotion nav navbar "
+    "navigation menu breadcrumb breadcrumbs sidebar side rail aside comment comments discussion disqus feedback reply "
+    "replies respond cookie "
+    "cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin share sharing "
     "social related recommended recommendations footer header masthead toolbar widget widgets login search "
     "disclaimer copyright legal pagination pager teaser".split())
+# Words that mark the element with the main text on pages without an article or main element.
+CONTENT_WORDS = frozenset("content article post entry story main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -161,18 +164,26 @@ def _is_region(tag: str, marks: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
-    """Text blocks in page order: text, regions, links' words, heading, article depth, main depth."""
+def _is_content(tag: str, marks: str) -> bool:
+    return bool(marks) and tag in ("div", "section", "td") and any(
+        name.lower() in ("class", "id") and any(w.lower() in CONTENT_WORDS for w in _NAME.findall("".join(values)))
+        or name.lower() == "role" and "".join(values).lower() == "main" for name, *values in _MARKS.findall(marks))
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int]]:
+    """Text blocks in page order: text, regions, links' words, heading, and how many article, main and other
+    content elements they lie in."""
     out: list[tuple] = []
-    # Open elements: tag, whether it is a region.
-    stack: list[tuple[str, bool]] = []
-    counts = {"region": 0, "article": 0, "main": 0, "a": 0, "unseen": 0, "heading": 0}
+    # Open elements: tag, whether it is a region, whether it is marked as content.
+    stack: list[tuple[str, bool, bool]] = []
+    counts = {"region": 0, "article": 0, "main": 0, "content": 0, "a": 0, "unseen": 0, "heading": 0}
     parts: list[str] = []
     linked: list[str] = []
 
-    def count(tag: str, region: bool, by: int) -> None:
+    def count(tag: str, region: bool, content: bool, by: int) -> None:
         counts["region"] += by * region
-        if tag in counts:
+        counts["content"] += by * content
+        if tag in ("article", "main", "a"):
             counts[tag] += by
         counts["unseen"] += by * (tag in UNSEEN)
         counts["heading"] += by * (tag in HEADINGS)
@@ -181,7 +192,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
         text = " ".join("".join(parts).split())
         if text:
             out.append((text, counts["region"], len("".join(linked).split()), counts["heading"] > 0,
-                        counts["article"], counts["main"]))
+                        counts["article"], counts["main"], counts["content"]))
         parts.clear()
         linked.clear()
 
@@ -193,8 +204,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
                 linked.append(text + " ")
 
     def pop() -> None:
-        tag, region = stack.pop()
-        count(tag, region, -1)
+        count(*stack.pop(), -1)
 
     at = 0
     while True:
@@ -225,7 +235,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
             continue
         if tag not in INLINE:
             # A paragraph ends where another block starts, a list item at the next item.
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and any(t == "p" for t, _ in stack)):
+            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and any(t == "p" for t, *_ in stack)):
                 pop()
             if tag in ("li", "dt", "dd") and stack and stack[-1][0] in ("li", "dt", "dd"):
                 pop()
@@ -233,13 +243,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
             pop()
         if tag in ("article", "main"):
             # A form around the article is the page's own, not a form in it.
-            for i, (other, flagged) in enumerate(stack):
+            for i, (other, flagged, content) in enumerate(stack):
                 if other == "form" and flagged:
-                    stack[i] = other, False
+                    stack[i] = other, False, content
                     counts["region"] -= 1
         region = _is_region(tag, token[3], counts["article"] > 0)
-        stack.append((tag, region))
-        count(tag, region, 1)
+        stack.append((tag, region, not region and _is_content(tag, token[3])))
+        count(*stack[-1], 1)
         if token[3].endswith("/") and tag in ("svg", "math"):
             pop()
     close()
@@ -249,8 +259,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     found = blocks(page or "")
-    # The article elements hold the main text, or else the main element, or else the page has neither.
-    depth = 4 if any(b[4] and not b[1] for b in found) else 5 if any(b[5] for b in found) else None
+    # The article elements hold the main text, or else the main element, or else one marked as content, or none does.
+    depth = next((d for d in (4, 5, 6) if any(b[d] and not b[1] for b in found)), None)
     sizes = [(len(b[0].split()),) for b in found]
     shape = [(n, min(1.0, b[2] / n)) for (n,), b in zip(sizes, found)]
     kept = []

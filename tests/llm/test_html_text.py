@@ -15,6 +15,9 @@ CASES = [
     ("<form id=page><article><p>in a form page</p></article></form>", "in a form page"),
     (f"<div><a href=1>Home</a> <a href=2>News</a></div><h1>Head</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
      "<ul><li><a href=3>x y</a></li><li><a href=4>z</a></li></ul>", f"Head {LONG} Short one. {LONG}"),
+    ("<div id=top>hello</div><div class='post-content'><h1>H</h1><p>Short.</p><div class=alert>x</div><p>Also.</p></div>"
+     "<div class=commentList><div class=content>me too</div></div>", "H Short. Also."),
+    ("<div class=wrap><div role=main><p>One.</p></div><p>out</p></div>", "One."),
     ("<article><p>broken off &am", "broken off &am"), ("<article><p>broken <a href='x", "broken"),
     ("<article><p title='a>b' class=x>quoted</p></article>", "quoted"), ("</p></div><article>x</article></b>", "x"),
     ("<article><p hidden>no</p><p style='display: none'>no</p><p>a&nbsp;b c</p></article>", "a b c"),

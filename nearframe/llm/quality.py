@@ -96,16 +96,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.offset, -500, 500)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Train vectors and layer; returns weights per bucket and offset for the given mixture of labels."""
-    buckets, shares, bounds = [], [], [0]
-    for i in range(len(texts)):
-        own = np.concatenate([b for b, _ in features(texts.slice(i, 1))])
+def shares_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text: its distinct buckets and the share of its features in each."""
+    for i in range(len(column)):
+        own = np.concatenate([b for b, _ in features(column.slice(i, 1))])
         which, count = np.unique(own, return_counts=True)
-        buckets.append(which)
-        shares.append((count / max(1, len(own))).astype(np.float32))
-        bounds.append(bounds[-1] + len(which))
-    bounds = np.array(bounds)
+        yield which, (count / max(1, len(own))).astype(np.float32)
+
+
+def fit(buckets: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Train vectors and layer; returns weights per bucket and offset for the given mixture of labels."""
     random = np.random.default_rng(7)
     vectors = (random.random((1 << BUCKET_BITS, WIDTH), np.float32) - 0.5) / WIDTH
     layer, bias = (random.random((2, WIDTH)) - 0.5).astype(np.float32), np.zeros(2)
@@ -152,19 +152,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text
     sample = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * sample_rows ids
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sample, "id")
 
-    def fit_rows(batches):
-        # One task, on the bounded sample only.
-        got = [b for b in batches if b.num_rows]
+    def counted(batches: Iterator[pa.RecordBatch]):
+        for batch in (part for whole in batches for part in slices(whole)):
+            made = list(shares_of(batch.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("label"), pa.array([w.astype("<u4").tobytes() for w, _ in made]),
+                 pa.array([s.astype("<f4").tobytes() for _, s in made])], names=["id", "label", "buckets", "shares"])
+
+    def fit_rows(batches: Iterator[pa.RecordBatch]):
+        # One task, on the counted features of the bounded sample only.
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         if not got:
             return
-        whole = pa.Table.from_batches(got).sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
-        target = whole.column("label").to_numpy()
-        weights, offset = fit(whole.column("text").combine_chunks(), target)
+        got.sort()
+        target = np.array([label for _, label, *_ in got])
+        weights, offset = fit([np.frombuffer(b, "<u4") for *_, b, _ in got], [np.frombuffer(s, "<f4") for *_, s in got],
+                              target)
         yield pa.RecordBatch.from_arrays(
             [pa.array([weights.astype("<f4").tobytes()]), pa.array([offset]),
              pa.array([int((target == 0).sum())]), pa.array([int((target == 1).sum())])],
             names=["weights", "offset", "n0", "n1"])
 
+    rows = rows.select(F.col("id").cast("string").alias("id"), "label", "text").mapInArrow(
+        counted, "id string, label int, buckets binary, shares binary")
     made = rows.repartition(1).mapInArrow(fit_rows, "weights binary, offset double, n0 long, n1 long").collect()
     if not made or not made[0]["n0"] or not made[0]["n1"]:
         return Model(None, float(np.log((n1 + 1) / (n0 + 1))))

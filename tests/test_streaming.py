@@ -1,10 +1,9 @@
-from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearframe.operators.cells import build_index
+from nearframe.operators.cells import train_index
 from nearframe.operators.embedding import embed_column
 from nearframe.operators.retrieval import knn_vote
 from nearframe.sources.points import read_points
@@ -32,8 +31,7 @@ def test_embed_append_equals_batch_and_survives_a_replay(spark, texts, tmp_path,
     out = str(tmp_path / "out")
     index = None
     if indexed:
-        trained = build_index(embed_column(table, "text"), str(tmp_path / "ix"), cells=3, item_id="id")
-        index = replace(trained, path=out)
+        index = train_index(embed_column(table, "text"), out, cells=3, item_id="id")
     want = as_set(embed_column(table, "text"), "id", "embedding")
     for checkpoint in ("c1", "c2"):  # a lost checkpoint repeats every batch
         jobs.stream_embed_append(stream, out, str(tmp_path / checkpoint), index=index, item_id="id").awaitTermination()

@@ -15,8 +15,9 @@ Neighbouring matches are put together into maximal repeats at the end.
 
 Before anything is shuffled, each task drops windows that a smaller document of
 its own input settles, so a passage that very many documents share leaves a task
-once. Two windows count as equal when a 64-bit hash of the anchor and a further
-32-bit hash of the window agree.
+once. Two windows count as equal when two 64-bit hashes agree: one of the anchor,
+and one, from other hashes of the words, of the whole window and the anchor's
+place in it. Windows that share an anchor are told apart by all 64 bits of the latter.
 
 Defined results
 ---------------
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, inside, slices, spans
+from .words import Words, inside, mix, slices, spans
 
 ANCHOR = 5
 # Windows of a task's input that are settled together before the shuffle.
@@ -80,13 +81,13 @@ class _Slab:
         where, bounds = inside(words, self.length)
         if not len(where):
             return
-        hashes = words.hashes()
-        window, small = spans(hashes, self.length)[where], spans(hashes, ANCHOR)
+        window, small = spans(words.hashes(1), self.length)[where], spans(words.hashes(), ANCHOR)
         seed, offset = small[where], np.zeros(len(where), np.int64)
         for i in range(1, self.length - ANCHOR + 1):
             other = small[where + i]
             less = other < seed
             seed, offset = np.where(less, other, seed), np.where(less, i, offset)
+        window = mix(window ^ offset.view(np.uint64))
         data, ends = words.data, words.offsets
         marks = np.array([zlib.crc32(data[a:b]) & 0xFFFFFF for a, b in zip(ends[:-1], ends[1:])], np.int64)
         text = np.repeat(np.arange(len(ids)), np.diff(bounds))
@@ -122,15 +123,14 @@ class _Slab:
         head = _runs(doc[open_], step[open_], anchor[open_])
         if len(head):
             n = np.diff(np.append(head, len(open_)))
-            checks = window[open_].astype(np.uint32)
-            yield _seed_rows(seed[open_][head].view(np.int64), doc[open_][head], place[open_][head], n, checks, head)
+            yield _seed_rows(seed[open_][head].view(np.int64), doc[open_][head], place[open_][head], n, window[open_], head)
 
 
 def _seed_rows(seed, doc, place, n, checks, head) -> pa.RecordBatch:
     if checks is None:
         binary = pa.nulls(len(seed), pa.binary())
     else:
-        ends = np.append(head, len(checks)).astype(np.int32) * 4
+        ends = np.append(head, len(checks)).astype(np.int32) * 8
         binary = pa.BinaryArray.from_buffers(pa.binary(), len(seed), [None, pa.py_buffer(ends), pa.py_buffer(checks)])
     return pa.RecordBatch.from_arrays(
         [pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()),
@@ -168,7 +168,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, doc, place, n = (np.asarray(batch.column(c)) for c in ("seed", "doc_id", "place", "n"))
         joined = batch.column("extensions")
         ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset:joined.offset + len(joined) + 1]
-        checks = np.frombuffer(joined.buffers()[2], np.uint32)[ends[0] // 4:ends[-1] // 4]
+        checks = np.frombuffer(joined.buffers()[2], np.uint64)[ends[0] // 8:ends[-1] // 8]
         alone = np.ones(len(seed), bool)
         same = seed[1:] == seed[:-1]
         alone[1:] &= ~same

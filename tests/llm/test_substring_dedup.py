@@ -1,8 +1,11 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from nearframe.llm.substring_dedup import remove_repeats
+from nearframe.llm.substring_dedup import ANCHOR, remove_repeats
+from nearframe.llm.words import Words, spans
 
 
 def words(text):
@@ -42,3 +45,16 @@ def test_empty_table_and_short_length(documents):
     assert remove_repeats(documents.limit(0)).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(documents, 4)
+
+
+def test_a_phrase_in_very_many_documents(spark):
+    """Different windows around one anchor are told apart, however many there are, across slabs too."""
+    phrases = [" ".join(f"p{i}x{j}" for j in range(ANCHOR)) for i in range(20_000)]
+    small = [spans(Words(pa.array([p])).hashes(), ANCHOR)[0] for p in phrases]
+    phrase, n = phrases[int(np.argmin(small))], 300_000
+    rows = spark.range(n, numPartitions=8).selectExpr(
+        "id doc_id", "concat_ws(' ', 'a', hex(xxhash64(id, 1)), 'b', hex(xxhash64(id, 2)), '%s', 'c', "
+                     "hex(xxhash64(id, 3)), 'd', hex(xxhash64(id, 4))) text" % phrase)
+    got = remove_repeats(rows.unionAll(rows.where("doc_id < 10").selectExpr("doc_id + %d" % n, "text")), 13, slab=1)
+    removed = {r.doc_id: r.n_removed for r in got.where("n_removed > 0").select("doc_id", "n_removed").collect()}
+    assert removed == {n + i: 13 for i in range(10)}

@@ -6,6 +6,11 @@ whether it is a heading, whether it lies in the page's article, and in how many
 boilerplate regions (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments) it is nested. The tree is grown from the labelled table below.
 
+Class and id names mark regions too, but a wrapper around the whole page may carry
+such a name. Names of a state ('has-sidebar', 'nav-open') mark none. Where no text of
+an article, main or content element is outside regions, the names around those
+elements that lie in the fewest named ones count for nothing.
+
 Character references are decoded per text node, white space inside a block
 becomes one space, blocks are trimmed and joined in page order by one space.
 
@@ -13,7 +18,8 @@ Defined results
 ---------------
 * Null or empty html, and pages without any content block, have the empty text.
 * Scripts, styles, head, comments and other markup are no text. A tag that the
-  page breaks off in is dropped; end tags without a start are ignored.
+  page breaks off in is dropped; end tags without a start are ignored. A head
+  without an end tag ends at the first text or element that cannot be in one.
 * Pages of any length are read whole, one at a time. Repeated rows give repeated
   results; other columns may have any name; an empty table gives an empty result.
 """
@@ -36,6 +42,7 @@ from .words import slices
 # Element names by the role that HTML gives them.
 UNSEEN = frozenset("head script style noscript template svg math iframe object canvas audio video select button "
                    "textarea title datalist".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark "
                    "q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -50,6 +57,9 @@ REGION_WORDS = frozenset(
     "cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin share sharing "
     "social related recommended recommendations footer header masthead toolbar widget widgets login search "
     "disclaimer copyright legal pagination pager teaser".split())
+# With one of these words before or after it, such a name tells how a page is laid out.
+STATES_BEFORE = frozenset("has no with without".split())
+STATES_AFTER = frozenset("open opened closed collapsed expanded enabled disabled".split())
 # Words that mark the element with the main text on pages without an article or main element.
 CONTENT_WORDS = frozenset("content article post entry story main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -145,23 +155,35 @@ def is_main(block: tuple) -> bool:
 ARTICLE_WORDS = frozenset("ad ads advert advertisement promo sponsored comment comments related teaser".split())
 
 
-def _is_region(tag: str, marks: str, in_article: bool) -> bool:
+def _names(value: str, marked: frozenset[str]) -> bool:
+    """Whether one of the names has a marked word and is not that of a state."""
+    for name in value.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if any(w in marked and not STATES_BEFORE & set(words[:i]) and not STATES_AFTER & set(words[i + 1:])
+               for i, w in enumerate(words)):
+            return True
+    return False
+
+
+def _is_region(tag: str, marks: str, in_article: bool) -> int:
+    """1 for a region, 2 for one by its class or id only, 0 for none."""
     if tag in REGIONS and not (tag == "header" and in_article):
-        return True
+        return 1
     if not marks or tag in ("html", "body", "main"):
-        return False
+        return 0
+    named = 0
     marked = ARTICLE_WORDS if tag == "article" else REGION_WORDS - {"header"} if in_article else REGION_WORDS
     for name, *values in _MARKS.findall(marks):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 1
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return 1
         if name == "role" and value.lower() in REGION_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in marked for w in _NAME.findall(value)):
-            return True
-    return False
+            return 1
+        if name in ("class", "id") and _names(value, marked):
+            named = 2
+    return named
 
 
 def _is_content(tag: str, marks: str) -> bool:
@@ -174,14 +196,27 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int]]:
     """Text blocks in page order: text, regions, links' words, heading, and how many article, main and other
     content elements they lie in."""
     out: list[tuple] = []
-    # Open elements: tag, whether it is a region, whether it is marked as content.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: tag, whether it is a region (2: by name), whether it is marked as content.
+    stack: list[tuple[str, int, bool]] = []
+    # Open regions by name, by number; how many of them are around each open element that may hold the main text.
+    named: list[int] = []
+    around: list[int] = []
+    numbers = 0
+    places: list[tuple[tuple[int, ...], int]] = []
     counts = {"region": 0, "article": 0, "main": 0, "content": 0, "a": 0, "unseen": 0, "heading": 0}
     parts: list[str] = []
     linked: list[str] = []
 
-    def count(tag: str, region: bool, content: bool, by: int) -> None:
-        counts["region"] += by * region
+    def count(tag: str, region: int, content: bool, by: int) -> None:
+        nonlocal numbers
+        counts["region"] += by * (region == 1)
+        if region == 2 and by > 0:
+            numbers += 1
+            named.append(numbers)
+        elif region == 2:
+            named.pop()
+        elif not region and (content or tag in ("article", "main")):
+            around.append(len(named)) if by > 0 else around.pop()
         counts["content"] += by * content
         if tag in ("article", "main", "a"):
             counts[tag] += by
@@ -193,10 +228,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int]]:
         if text:
             out.append((text, counts["region"], len("".join(linked).split()), counts["heading"] > 0,
                         counts["article"], counts["main"], counts["content"]))
+            places.append((tuple(named), around[-1] if around else 0))
         parts.clear()
         linked.clear()
 
     def words(raw: str) -> None:
+        if stack and stack[-1][0] == "head" and not raw.isspace() and raw:
+            pop()
         if raw and not counts["unseen"]:
             text = html.unescape(raw)
             parts.append(text)
@@ -227,6 +265,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int]]:
                         pop()
                     break
             continue
+        # A head ends with what cannot be in one; what is in a template stays there.
+        if tag not in IN_HEAD and stack and (stack[-1][0] == "head" or tag == "body"):
+            open_ = [t for t, *_ in stack]
+            if "head" in open_ and "template" not in open_:
+                while len(stack) > open_.index("head"):
+                    pop()
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -245,7 +289,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int]]:
             # A form around the article is the page's own, not a form in it.
             for i, (other, flagged, content) in enumerate(stack):
                 if other == "form" and flagged:
-                    stack[i] = other, False, content
+                    stack[i] = other, 0, content
                     counts["region"] -= 1
         region = _is_region(tag, token[3], counts["article"] > 0)
         stack.append((tag, region, not region and _is_content(tag, token[3])))
@@ -253,7 +297,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int]]:
         if token[3].endswith("/") and tag in ("svg", "math"):
             pop()
     close()
-    return out
+    # Unless main text is outside of them, named regions around the least enclosed main text are wrappers.
+    holders = [(block, *place) for block, place in zip(out, places) if any(block[4:]) and not block[1]]
+    wrappers: set[int] = set()
+    if not any(not names for _, names, _ in holders):
+        inside = [names for _, names, outer in holders if len(names) == outer]
+        least = min(map(len, inside), default=0)
+        wrappers.update(*(names for names in inside if len(names) == least))
+    return [(text, region + sum(n not in wrappers for n in names), *rest)
+            for (text, region, *rest), (names, _) in zip(out, places)]
 
 
 def main_text(page: str | None) -> str:

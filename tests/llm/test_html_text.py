@@ -45,3 +45,36 @@ def test_extract(spark):
         want = " ".join(["w"] * 20_000) if r.page_id == 99 else CASES[r.page_id][1]
         assert (r.text_, r.n_chars) == (want, len(want))
     assert extract(got.limit(0)).count() == 0
+
+
+BAR = "<div class=sidebar><p>bar</p></div>"
+HEADS = ["<title>no</title><meta charset=x><body>", "<script>no</script><body class=x>", "<link rel=x><div>",
+         "<noscript><p>no</p></noscript><div>", "<title>no</title>", "<template><p>no</p></template><body>", "<style>no</style>", ""]
+WRAPPERS = [f'<{tag} {mark}="{name}">' for tag in ("div", "section") for mark in ("class", "id")
+            for name in ("layout has-sidebar", "no-sidebar", "nav-open", "with-header", "sidebar-right", "page widgets",
+                         "hasComments", "header layout")]
+
+
+@pytest.mark.parametrize("start", HEADS)
+def test_head_without_end(start):
+    assert main_text(f"<html><head>{start}<article><p>One.</p><p>Two.</p></article>") == "One. Two."
+    assert main_text(f"<html><head>{start}<p>{LONG}</p></html>") == LONG
+    assert main_text(f"<head><title>no</title>{LONG}<p>{LONG}</p>") == f"{LONG} {LONG}"
+    assert main_text("<head><noscript><img src=x><p>no</p></noscript><meta name=x></head><main>yes</main>") == "yes"
+
+
+@pytest.mark.parametrize("start", WRAPPERS)
+@pytest.mark.parametrize("inner", ["article", "main", "div role=main", "div class=post-content"])
+def test_wrapper_named_like_a_region(start, inner):
+    page = f"{start}{BAR}<{inner}><h1>T</h1><p>One.</p>{BAR}<p>Two.</p></{inner.split()[0]}>{BAR}"
+    rest = "<div class=comments><article><p>me too</p></article></div></div></section><footer>foot</footer>"
+    assert main_text(page + rest) == main_text(f"<div class='menu nav'>{page}{rest}") == "T One. Two."
+
+
+def test_regions_around_other_articles():
+    """Articles in regions stay out where the main text is outside of them."""
+    for box in ("related", "sidebar", "comments"):
+        other = f"<div class={box}><article><p>other</p></article></div>"
+        assert main_text(f"<main><p>text</p>{other}</main>") == main_text(f"<article>text</article>{other}") == "text"
+        assert main_text(f"<div class='post-content'>text</div>{other}") == "text"
+    assert main_text(f"<div class=nav-open hidden><article>{LONG}</article></div>") == ""

@@ -24,14 +24,14 @@ Defined results
 * Null and empty texts have no words, lose none and keep the empty text.
 * A null id is above every number and below no other null.
 * Rows with equal ids never remove words of each other; repeats inside one
-  document stay. Rows with an id in common are told apart by a checksum of their text.
+  document stay. Rows with an id in common are told apart by a 64-bit hash of
+  their text; those with equal texts too have one result.
 * Texts of fewer words than a window are left as they are, but for white space.
 * An empty table gives an empty result. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -46,8 +46,8 @@ ANCHOR = 5
 # Windows of a task's input that are settled together before the shuffle.
 SLAB = 2 << 20
 _NULL_ID = (1 << 63) - 1
-SEEDS = "seed long, doc_id long, place long, n int, extensions binary"
-MARKS = "doc_id long, place long, n int"
+SEEDS = "seed long, doc_id long, text_id long, place long, n int, extensions binary"
+MARKS = "doc_id long, text_id long, place long, n int"
 KEPT = "n_words long, n_removed long, kept_text string, repeats array<struct<start:long,stop:long>>"
 
 
@@ -60,14 +60,11 @@ def _starts(*changes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray, anchor: np.ndarray | None = None) -> np.ndarray:
-    """First elements of runs of neighbouring windows of one document (and one anchor)."""
-    if not len(doc):
+def _runs(pos: np.ndarray, *owners: np.ndarray) -> np.ndarray:
+    """First elements of runs of neighbouring windows of one owner (a text, an anchor)."""
+    if not len(pos):
         return np.zeros(0, np.int64)
-    same = [doc[1:] != doc[:-1], pos[1:] != pos[:-1] + 1]
-    if anchor is not None:
-        same.append(anchor[1:] != anchor[:-1])
-    return _starts(*same)
+    return _starts(pos[1:] != pos[:-1] + 1, *(o[1:] != o[:-1] for o in owners))
 
 
 class _Slab:
@@ -76,7 +73,7 @@ class _Slab:
     def __init__(self, length: int):
         self.length, self.parts, self.size = length, [], 0
 
-    def add(self, ids: np.ndarray, column: pa.Array) -> None:
+    def add(self, ids: np.ndarray, text_ids: np.ndarray, column: pa.Array) -> None:
         words = Words(column)
         where, bounds = inside(words, self.length)
         if not len(where):
@@ -88,18 +85,16 @@ class _Slab:
             less = other < seed
             seed, offset = np.where(less, other, seed), np.where(less, i, offset)
         window = mix(window ^ offset.view(np.uint64))
-        data, ends = words.data, words.offsets
-        marks = np.array([zlib.crc32(data[a:b]) & 0xFFFFFF for a, b in zip(ends[:-1], ends[1:])], np.int64)
         text = np.repeat(np.arange(len(ids)), np.diff(bounds))
         pos = where - words.first[text]
-        self.parts.append((window, seed, where + offset + (self.size << 32), ids[text], (pos << 24) | marks[text]))
+        self.parts.append((window, seed, where + offset + (self.size << 32), ids[text], text_ids[text], pos))
         self.size += len(where)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """What the slab settles as marks, the rest as seeds."""
         if not self.parts:
             return
-        window, seed, anchor, doc, place = (np.concatenate(c) for c in zip(*self.parts))
+        window, seed, anchor, doc, text, place = (np.concatenate(c) for c in zip(*self.parts))
         self.parts, self.size = [], 0
         # Only windows that occur twice in the slab are sorted.
         ordered = np.sort(window)
@@ -113,36 +108,35 @@ class _Slab:
             head = _starts((window[some][1:] != window[some][:-1]) | (seed[some][1:] != seed[some][:-1]))
             least = np.repeat(doc[some][head], np.diff(np.append(head, len(some))))
             settled[some[doc[some] > least]] = True
-        step = place >> 24
         done = np.flatnonzero(settled)
-        head = _runs(doc[done], step[done])
+        head = _runs(place[done], doc[done], text[done])
         if len(head):
             n = np.diff(np.append(head, len(done)))
-            yield _seed_rows(doc[done][head], doc[done][head], place[done][head], n, None, None)
+            yield _seed_rows(doc[done][head], doc[done][head], text[done][head], place[done][head], n, None, None)
         open_ = np.flatnonzero(~settled)
-        head = _runs(doc[open_], step[open_], anchor[open_])
+        head = _runs(place[open_], doc[open_], anchor[open_])
         if len(head):
             n = np.diff(np.append(head, len(open_)))
-            yield _seed_rows(seed[open_][head].view(np.int64), doc[open_][head], place[open_][head], n, window[open_], head)
+            yield _seed_rows(seed[open_][head].view(np.int64), doc[open_][head], text[open_][head],
+                             place[open_][head], n, window[open_], head)
 
 
-def _seed_rows(seed, doc, place, n, checks, head) -> pa.RecordBatch:
+def _seed_rows(seed, doc, text, place, n, checks, head) -> pa.RecordBatch:
     if checks is None:
         binary = pa.nulls(len(seed), pa.binary())
     else:
         ends = np.append(head, len(checks)).astype(np.int32) * 8
         binary = pa.BinaryArray.from_buffers(pa.binary(), len(seed), [None, pa.py_buffer(ends), pa.py_buffer(checks)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()),
-         pa.array(n.astype(np.int32), pa.int32()), binary],
-        names=["seed", "doc_id", "place", "n", "extensions"])
+        [*(pa.array(c, pa.int64()) for c in (seed, doc, text, place)), pa.array(n.astype(np.int32), pa.int32()), binary],
+        names=["seed", "doc_id", "text_id", "place", "n", "extensions"])
 
 
 def _seeds(length: int, slab_windows: int):
     def make(batches: Iterator[pa.RecordBatch]):
         slab = _Slab(length)
         for batch in (part for whole in batches for part in slices(whole)):
-            slab.add(np.asarray(batch.column("key")), batch.column("text"))
+            slab.add(*(np.asarray(batch.column(c)) for c in ("key", "text_id")), batch.column("text"))
             if slab.size >= slab_windows:
                 yield from slab.rows()
         yield from slab.rows()
@@ -161,11 +155,11 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = pa.compute.is_null(batch.column("extensions"))
         settled = batch.filter(marks)
         if settled.num_rows:
-            yield settled.select(["doc_id", "place", "n"])
+            yield settled.select(["doc_id", "text_id", "place", "n"])
         batch = batch.filter(pa.compute.invert(marks))
         if not batch.num_rows:
             continue
-        seed, doc, place, n = (np.asarray(batch.column(c)) for c in ("seed", "doc_id", "place", "n"))
+        seed, doc, text, place, n = (np.asarray(batch.column(c)) for c in ("seed", "doc_id", "text_id", "place", "n"))
         joined = batch.column("extensions")
         ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset:joined.offset + len(joined) + 1]
         checks = np.frombuffer(joined.buffers()[2], np.uint64)[ends[0] // 8:ends[-1] // 8]
@@ -195,12 +189,12 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = hit[hit >= extra] - extra
         # Runs of settled windows inside a row.
         r, a = row[hit], at[hit]
-        begin = _runs(r, a)
+        begin = _runs(a, r)
         if len(begin):
             size = np.diff(np.append(begin, len(hit)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[r[begin]], pa.int64()), pa.array(place[r[begin]] + (a[begin] << 24), pa.int64()),
-                 pa.array(size.astype(np.int32), pa.int32())], names=["doc_id", "place", "n"])
+                [*(pa.array(c[r[begin]], pa.int64()) for c in (doc, text)), pa.array(place[r[begin]] + a[begin], pa.int64()),
+                 pa.array(size.astype(np.int32), pa.int32())], names=["doc_id", "text_id", "place", "n"])
         last = seeds[order][head] == seed[-1] if len(rows) else np.zeros(0, bool)
         carried = (seed[-1], check[order][head][last], docs[order][head][last])
 
@@ -220,14 +214,11 @@ def _remove(length: int, names: list[str]):
                 words, covered = text.split(), []
                 own = slice(offsets[i], offsets[i + 1])
                 if own.stop > own.start:
-                    mine = (places[own] & 0xFFFFFF) == (zlib.crc32(text) & 0xFFFFFF)
-                    starts = places[own][mine] >> 24
-                    order = np.argsort(starts)
-                    starts, stops = starts[order], (starts + sizes[own][mine] + length - 1)[order]
-                    if len(starts):
-                        reach = np.maximum.accumulate(stops)
-                        head = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
-                        covered = list(zip(starts[head].tolist(), reach[np.append(head[1:] - 1, len(reach) - 1)].tolist()))
+                    order = np.argsort(places[own])
+                    starts, stops = places[own][order], (places[own] + sizes[own] + length - 1)[order]
+                    reach = np.maximum.accumulate(stops)
+                    head = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
+                    covered = list(zip(starts[head].tolist(), reach[np.append(head[1:] - 1, len(reach) - 1)].tolist()))
                 keep = bytearray(b"\1") * len(words)
                 for a, b in covered:
                     keep[a:b] = bytes(b - a)
@@ -249,11 +240,13 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
     if length < ANCHOR:
         raise ValueError(f"length has to be {ANCHOR} words at least")
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = narrow.withColumn("key", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    seeds = keyed.select("key", "text").mapInArrow(_seeds(length, slab), SEEDS)
+    keyed = narrow.select("*", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"), F.xxhash64("text").alias("text_id"))
+    seeds = keyed.select("key", "text_id", "text").mapInArrow(_seeds(length, slab), SEEDS)
     marks = seeds.repartition("seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_extend, MARKS)
-    marks = marks.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "n")).alias("marks"))
-    rows = keyed.join(marks, "key", "left").select(
+    # Rows with equal ids and texts have equal marks, of which one set is kept.
+    marks = marks.groupBy(F.col("doc_id").alias("key"), "text_id").agg(
+        F.collect_set(F.struct("place", "n")).alias("marks"))
+    rows = keyed.join(marks, ["key", "text_id"], "left").select(
         "doc_id", "text", F.coalesce("marks", F.array().cast("array<struct<place:long,n:int>>")).alias("marks"))
     schema = f"doc_id long, {KEPT}"
     return rows.mapInArrow(_remove(length, ["doc_id", *(c.split()[0] for c in KEPT.split(", "))]), schema)

@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,7 @@ import pytest
 
 from nearframe.llm.substring_dedup import ANCHOR, remove_repeats
 from nearframe.llm.words import Words, spans
+from made_texts import prose
 
 
 def words(text):
@@ -58,3 +60,19 @@ def test_a_phrase_in_very_many_documents(spark):
     got = remove_repeats(rows.unionAll(rows.where("doc_id < 10").selectExpr("doc_id + %d" % n, "text")), 13, slab=1)
     removed = {r.doc_id: r.n_removed for r in got.where("n_removed > 0").select("doc_id", "n_removed").collect()}
     assert removed == {n + i: 13 for i in range(10)}
+
+
+@pytest.mark.parametrize("slab", [1 << 20, 1])
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_with_one_id(spark, small_batches, shared, slab):
+    """Rows that share an id (or have none) keep their own marks, whatever stands beside them."""
+    p, q = prose(1, 20), prose(2, 20)
+    # Texts with one checksum of 24 bits, of which one repeats the first document.
+    plain = {zlib.crc32(t.encode()) & 0xFFFFFF: t for t in (prose(100 + i, 30) for i in range(10_000))}
+    tails = (f"{p} {prose(-i, 4)}" for i in range(100, 30_000))
+    alike = next((t, plain[c]) for t in tails if (c := zlib.crc32(t.encode()) & 0xFFFFFF) in plain)
+    # The repeated windows of one row end where those of the next begin.
+    texts = [p, f"{prose(4, 8)} {q}", *alike, *[f"{prose(5, 3)} {p}"] * 20, None]
+    rows = [(1, f"{p} {q}"), *((shared, t) for t in texts)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 13, slab=slab).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute(rows, 13)

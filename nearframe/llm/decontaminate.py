@@ -10,8 +10,9 @@ every containing document, however long, and a partition is only searched for
 documents that have enough shingles for its smallest item. What is found is
 verified with the words of the shingles themselves.
 
-Items are sent to the tasks in blocks of about ``BLOCK_BYTES``; a larger
-benchmark takes more passes over the documents, not more memory.
+Items are sent to the tasks in blocks of about ``BLOCK_BYTES``. With more than one
+block, what a block finds is written to the shared folder before the next one is
+collected, so a larger benchmark takes more passes over the documents, not more memory.
 
 Defined results
 ---------------
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import free_names, stored
 from .words import Words, mix, runs, slices, whole_run
 
 # Bytes of item texts in the tasks' memory at a time.
@@ -129,14 +131,17 @@ def _words(words: Words, first: int, n: int) -> bytes:
     return b" ".join(words.data[words.starts[i]:words.ends[i]].tobytes() for i in range(first, first + n))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, size: int, threshold: float) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size."""
+def _blocks(items: DataFrame, item_id: str, text: str, size: int, threshold: float) -> tuple[int, Iterator[Items]]:
+    """The benchmark in blocks of bounded size, each collected when it is asked for, and their number."""
     rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // BLOCK_BYTES))
-    for block in range(count):
+
+    def collect(block: int) -> Items:
         got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == block).orderBy("id", "text").collect()
-        yield Items([r["id"] for r in got], [r["text"] for r in got], size, threshold)
+        return Items([r["id"] for r in got], [r["text"] for r in got], size, threshold)
+
+    return count, map(collect, range(count))
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, doc_id: str = "doc_id",
@@ -144,7 +149,8 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
     """Pairs of a document and an item that it contains."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for block in _blocks(items, item_id, item_text, size, threshold):
+    count, blocks = _blocks(items, item_id, item_text, size, threshold)
+    for block in blocks:
         def search(batches, block=block):
             for batch in (part for whole in batches for part in slices(whole, "text")):
                 ids = batch.column("doc_id").to_pylist()
@@ -155,20 +161,44 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
                     names=["doc_id", "item_id", "item_shingles", "found", "containment"])
 
         part = narrow.mapInArrow(search, FOUND)
+        if count > 1:
+            part = stored(part, "found")
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, text: str = "text",
                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Documents that contain no item, with all their columns; one pass, nothing is shuffled."""
-    for block in _blocks(items, item_id, item_text, size, threshold):
-        def keep(batches, block=block):
+    """Documents that contain no item, with all their columns.
+
+    With one block of items this is one pass and nothing is shuffled. With more, digests of the
+    texts found are stored block by block and their documents are left out by a join.
+    """
+    count, blocks = _blocks(items, item_id, item_text, size, threshold)
+
+    def dirty(block: Items, batch: pa.RecordBatch) -> pa.Array:
+        found = np.zeros(batch.num_rows, bool)
+        for row, *_ in block.find(batch.column(batch.schema.get_field_index(text))):
+            found[row] = True
+        return pa.array(found)
+
+    if count == 1:
+        block = next(blocks)
+
+        def keep(batches):
+            for batch in (part for whole in batches for part in slices(whole, text)):
+                yield batch.filter(pa.compute.invert(dirty(block, batch)))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+    gone, (name,) = None, free_names(docs, "digest")
+    for block in blocks:
+        def drop(batches, block=block):
             for batch in (part for whole in batches for part in slices(whole, text)):
-                clean = np.ones(batch.num_rows, bool)
-                for row, *_ in block.find(batch.column(batch.schema.get_field_index(text))):
-                    clean[row] = False
-                yield batch.filter(pa.array(clean))
+                yield batch.filter(dirty(block, batch)).select([name])
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        digests = docs.select(F.col(text), F.md5(F.col(text).cast("binary")).alias(name))
+        part = stored(digests.mapInArrow(drop, f"{name} string"), "contaminated")
+        gone = part if gone is None else gone.unionAll(part)
+    gone = gone.distinct()
+    return docs.join(gone, F.md5(docs[text].cast("binary")) == gone[name], "left_anti")

@@ -53,3 +53,16 @@ def test_many_blocks_and_empty_tables(spark, documents, texts, monkeypatch):
     assert find_items(documents.limit(0), items).count() == 0
     assert find_items(documents, items.limit(0)).count() == 0
     assert drop_contaminated(documents, items.limit(0)).count() == documents.count()
+
+
+def test_blocks_do_not_pile_up(spark, documents, texts, small_batches, monkeypatch):
+    """With many blocks no task and no plan holds more than one of them."""
+    from nearframe.llm import decontaminate
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = sorted(drop_contaminated(documents, items).collect(), key=repr)
+    assert 0 < len(whole) < len(texts)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10_000)
+    pieces = drop_contaminated(documents, items)
+    assert pieces.columns == documents.columns and sorted(pieces.collect(), key=repr) == whole
+    for df in (pieces, find_items(documents, items)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1

@@ -1,5 +1,10 @@
+from collections import defaultdict
+
 import __spark_entry__ as entry
 import corpus_pipeline
+import test_mixing as mixed
+import test_near_dedup as near
+from made_texts import mutate, prose
 from nearframe.llm import exact_dedup
 from pyspark.sql import functions as F
 
@@ -32,3 +37,53 @@ def test_queries_are_registered():
         assert any(name.startswith(f"op{n}_") for name in names)
     assert "pipeline" in names and exact_dedup
     assert set(entry.oracle_sql()) <= names
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """All rows of run() on planted copies, near copies and benchmark passages, given the classifier's decisions."""
+    good = [prose(i, 60 + i) for i in range(40)]
+    rows = list(enumerate(good)) + [(100 + i, " ".join(f"${j * i % 97} !!" for j in range(40))) for i in range(40)]
+    rows += [(200 + i, t.upper()) for i, t in enumerate(good[:5])] + [(300 + i, mutate(good[6], i, 1)) for i in range(6)]
+    passage = prose(999, 25)
+    rows += [(400 + i, f"{prose(700 + i, 50)} {passage} {prose(800 + i, 30)}") for i in range(4)]
+    names = ["web", "books", "code", None]
+    source = {i: names[i % 4] for i, _ in rows}
+    for name, made, schema in (
+            ("documents", [(i, t, "en", source[i], len(t)) for i, t in rows],
+             "doc_id long, text string, lang string, source string, n_chars long"),
+            ("labels", [(i, int(not 100 <= i < 200), 0) for i, _ in rows], "doc_id long, quality int, toxic int"),
+            ("benchmark", [(1, passage), (2, prose(5000, 20)), (3, good[30][:80])], "item_id long, text string")):
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path)).collect()]
+    assert {i for i, _ in rows if i < 100 or i >= 200} & {i for i, _ in kept}
+
+    def runs(text):
+        return near.shingles(text, 5)
+
+    exact = {}
+    for i, t in kept:
+        exact[t.lower()] = max(exact.get(t.lower(), (-1, "")), (i, t))
+    single = sorted(exact.values())
+    component = {i: least for i, _, least in near.brute(single, 5, 80)[0]}
+    apart = [(i, t) for i, t in single if component[i] == i]
+    items = [runs(t) for t in (passage, prose(5000, 20), good[30][:80])]
+    clean = [(i, t) for i, t in apart if not any(len(s & runs(t)) >= 0.8 * len(s) - 1e-9 for s in items)]
+    assert len(kept) > len(single) > len(apart) > len(clean) > 20
+
+    sizes = defaultdict(int)
+    for i, t in clean:
+        sizes[source[i]] += mixed.words(t)
+    want = []
+    for name, target in mixed.targets(sizes).items():
+        own = [(i, t) for i, t in clean if source[i] == name]
+        whole, p = divmod(min(target / sizes[name], 3), 1)
+        running, left = 0, target - whole * sizes[name]
+        for i, t in sorted(own, key=lambda r: mixed.u(r[0])):
+            size = mixed.words(t)
+            copies = int(whole) + (p > 0 and 2 * running + size <= 2 * left)
+            running += size
+            if copies:
+                want.append((i, t, source[i], copies))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "source", "copies").collect()
+    assert sorted(map(tuple, got)) == sorted(want, key=lambda r: r[0])

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from . import chat, decontaminate, exact_dedup, html_text, lm_score, mixing, near_dedup, quality, substring_dedup, warc
+from . import (chat, decontaminate, exact_dedup, html_text, line_dedup, lm_score, mixing, near_dedup, quality,
+               substring_dedup, warc)
 from .tables import query, remainder, table
 
 # A-Z to a-z and nothing else, unlike lower().
@@ -169,3 +170,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target",
                                    (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op11_line_dedup", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+         x AS (SELECT r, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+         k AS (SELECT *, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+               FROM x),
+         f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+         g AS (SELECT r, count(f.key) AS n_dropped,
+                      string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL) AS kept
+               FROM k LEFT JOIN f USING (key) GROUP BY r)
+    SELECT doc_id, len(l)::BIGINT AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d JOIN g USING (r)""")
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs, min_docs=10).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

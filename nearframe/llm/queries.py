@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from ..context import scratch_path
 from . import (chat, decontaminate, exact_dedup, html_text, line_dedup, lm_score, mixing, near_dedup, quality,
-               substring_dedup, warc)
+               spelling, substring_dedup, warc)
 from .tables import query, remainder, table
 
 # A-Z to a-z and nothing else, unlike lower().
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+# crc32 of a text, bit by bit.
+CRC32 = """xor(list_reduce([4294967295] || [('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT
+                                            FOR i IN range(octet_length(encode({0})))],
+                           lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)),
+               4294967295)"""
+
 
 @query("op1_quality")
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,3 +194,33 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.drop_lines(docs, min_docs=10).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op12_spelling", f"""
+    WITH RECURSIVE
+         t AS (SELECT doc_id, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run
+               FROM documents),
+         d AS (SELECT doc_id, run, count(*) AS times, {CRC32.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+               FROM t GROUP BY doc_id, run),
+         w AS (SELECT CASE WHEN h % 199 = 0
+                           THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+                      sum(times)::BIGINT AS n FROM d GROUP BY ALL),
+         v AS (SELECT * FROM w WHERE length(word) >= 6 AND n >= 5),
+         c AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS less
+               FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+         p AS (SELECT a.word, b.word AS other FROM c AS a JOIN c AS b USING (i, less) WHERE a.word <> b.word
+               UNION SELECT v.word, c.word FROM v JOIN c ON c.less = v.word
+               UNION SELECT c.word, v.word FROM v JOIN c ON c.less = v.word),
+         b AS (SELECT p.word, count(*) AS n_near, max(o.n) AS best_n,
+                      arg_min(other, (-o.n, other)) AS best
+               FROM p JOIN v AS o ON o.word = p.other GROUP BY p.word),
+         f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form,
+                      CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n
+               FROM v LEFT JOIN b USING (word)),
+         r AS (SELECT word, word AS root, form AS next FROM f
+               UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL""")
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, folder, "documents"))
+    words = runs.select(spelling.drop_point(F.col("doc_id"), F.col("word"), every=199).alias("word"))
+    return spelling.variants(spelling.vocabulary(words, min_chars=6, min_count=5), ratio=5)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
-from . import (chat, decontaminate, exact_dedup, html_text, line_dedup, lm_score, mixing, near_dedup, quality,
-               spelling, substring_dedup, warc)
-from .tables import query, remainder, table
+from . import (chat, decontaminate, exact_dedup, html_text, line_dedup, lm_score, mixing, near_dedup,
+               prefix_trie, quality, spelling, substring_dedup, warc)
+from .tables import query, remainder, stored, table
 
 # A-Z to a-z and nothing else, unlike lower().
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -224,3 +224,39 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     runs = spelling.letter_runs(table(spark, folder, "documents"))
     words = runs.select(spelling.drop_point(F.col("doc_id"), F.col("word"), every=199).alias("word"))
     return spelling.variants(spelling.vocabulary(words, min_chars=6, min_count=5), ratio=5)
+
+
+HEADS = 6
+
+
+@query("op13_prefix_trie", f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+               FROM conversations WHERE conv_id IS NOT NULL),
+         c AS (SELECT DISTINCT conv_id, {CRC32.format("conv_id::VARCHAR")} % {HEADS} AS h FROM t),
+         b AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100
+               WHERE place < h
+               UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t USING (conv_id) WHERE place >= h),
+         r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth,
+                      string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY part, place) AS path,
+                      length(text) AS chars FROM b),
+         m AS (SELECT conv_id, depth, sha256(path) AS node, chars FROM r
+               UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+         e AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+         n AS (SELECT m.depth, node, min(m.conv_id) AS least, count(*) AS n_convs, any_value(chars) AS chars,
+                      string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (e.depth = m.depth) AS ends
+               FROM m JOIN e USING (conv_id) GROUP BY m.depth, node),
+         p AS (SELECT n.*, u.node AS parent FROM n LEFT JOIN m AS u ON u.conv_id = least AND u.depth = n.depth - 1),
+         k AS (SELECT parent, count(*) AS n_children FROM p WHERE parent IS NOT NULL GROUP BY parent),
+         q AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN k ON k.parent = p.node),
+         s AS (SELECT a.node, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * q.chars) AS saved_tokens
+               FROM q JOIN m AS a ON a.conv_id = q.least AND a.depth <= q.depth GROUP BY a.node)
+    SELECT q.least AS conv_id, q.depth, up.least AS parent_conv_id, q.n_convs, q.n_children, n_leaves::BIGINT AS n_leaves,
+           saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(q.ends, '')) AS ends_sha256
+    FROM q JOIN s USING (node) LEFT JOIN n AS up ON up.node = q.parent""")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = stored(prefix_trie.hashed_turns(table(spark, folder, "conversations")), "hashed-turns")
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.with_heads(turns, conv - conv % 100, remainder(conv, HEADS), HEADS - 1)
+    return prefix_trie.build_trie(rebuilt).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
+                                                  "n_leaves", "saved_tokens", "ends_sha256")

@@ -113,6 +113,9 @@ def fit_centroids(items: DataFrame, vector: str, cells: int, metric: str = "l2",
     every = items.where(F.col(vector).isNotNull())
     if metric == "cosine":
         every = every.withColumn(vector, l2_normalize(F.col(vector))).where(F.col(vector).isNotNull())
+    if cells == 1:
+        mean = every.agg(Summarizer.mean(array_to_vector(vector)).alias("center")).first()["center"]
+        return mean.toArray()[None, :]
     train, wanted = every, cells * TRAIN_PER_CELL
     if rows > wanted:
         share = int(2**32 * wanted / rows)
@@ -292,6 +295,12 @@ def _probe(queries: DataFrame, index: CellIndex, cells: list, nprobe: int | None
     return queries.mapInArrow(visit, schema)
 
 
+def probe(queries: DataFrame, centroids: np.ndarray, metric: str, nprobe: int) -> DataFrame:
+    """(query_id, vector, cell) of the ``nprobe`` nearest cells of every query."""
+    cells = [{"cell": i, "radius": 0.0} for i in range(len(centroids))]
+    return _probe(queries, CellIndex("", metric, centroids), cells, nprobe)
+
+
 def _search(probes: DataFrame, index: CellIndex, cells: list, k: int, block_rows: int) -> DataFrame:
     """Search the probed cells; cells and query crowds beyond a block are cut up."""
     spark = probes.sparkSession

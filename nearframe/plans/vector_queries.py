@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import retrieval as R
 from ..operators.cells import ann_search, build_index, ingest, open_index, train_index, upsert_index
 from ..operators.embedding import embed_column
+from ..operators.graph import build_graph, graph_search, open_graph
 from ..operators.neighbours import knn_join, knn_single
 from . import sql as S
 from . import views
@@ -273,6 +274,16 @@ def _(t):
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), first.alias("self_first"))
 
 
+@query("graph_search", "SELECT vec_id AS query_id, CAST(5 AS BIGINT) AS found, true AS self_first FROM embeddings")
+def _(t):
+    """Which other neighbours a walk meets depends on the graph; recall is held against the full search in the tests."""
+    v = views.vectors(t)
+    index = build_graph(v, scratch_path(t.spark, "graph"), m=16, ef_construction=100, item_id="id")
+    near = graph_search(open_graph(t.spark, index.path), v, 5, query_id="id")
+    first = F.max((F.col("rank") == 1) & (F.col("item_id") == F.col("query_id")))
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), first.alias("self_first"))
+
+
 STORED = S.with_(S.VECTORS) + """
     SELECT id AS item_id, label, CAST(b AS BIGINT) AS dim, round(x, 6) + 0.0 AS value
     FROM (SELECT id, label, unnest(v) AS x, unnest(range(len(v))) AS b FROM vec)"""

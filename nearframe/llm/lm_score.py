@@ -42,15 +42,18 @@ from .tables import stored
 from .words import Words, slices
 
 DEPTH = 5
-# Input bytes of a slab; larger ones repeat fewer words and grams. Small input splits share a task for that.
-SLAB_BYTES, SPLITS = 96 << 20, 4
+# A slab ends at this many text bytes or distinct grams; larger ones repeat fewer words and grams. Small input
+# splits share a task for that.
+SLAB_BYTES, SLAB_KEYS, SPLITS = 48 << 20, 1 << 20, 4
+# Keys in a batch that leaves a task.
+ROWS_OUT = 1 << 16
 # Distinct keys of a slab's parts that are held before they are put together.
-HELD_KEYS = 1 << 19
+HELD_KEYS = 1 << 18
 MARK = 0xFF  # before and after every text; no byte of UTF-8
 WORD_KEY, GRAM_KEY, TEXT = 0, 1, 2
 # Entries of a direct table that a slab's grams are looked up in; above, they are searched.
 TABLE_SIZE = 8 << 20
-SLABS = "chunk long, kind int, key long, count double, doc_id long, train boolean, text string"
+SLABS = "chunk long, kind int, key long, count double, body binary"
 SCORES = "doc_id long, train boolean, n_words long, known long, log_words double, n_bytes long, score double"
 
 
@@ -105,6 +108,7 @@ def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in packed pieces, whose key is the number of training texts, and after them the slab's words and grams."""
     part, slab, size = TaskContext.get().partitionId() << 24, 0, 0
     held: dict[int, list] = {WORD_KEY: [], GRAM_KEY: []}
 
@@ -112,10 +116,12 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, parts in held.items():
             if parts:
                 key, count = _counted(*(np.concatenate(c) for c in zip(*parts)))
-                yield _slab_rows(chunk, kind, len(key), key=pa.array(key.view(np.int64)), count=pa.array(count))
-            parts.clear()
+                parts.clear()
+                for at in range(0, len(key), ROWS_OUT):
+                    own = slice(at, at + ROWS_OUT)
+                    yield _slab_rows(chunk, kind, key[own].view(np.int64), count[own])
 
-    for batch in (piece for whole in batches for piece in slices(whole, limit=2 << 20)):
+    for batch in (piece for whole in batches for piece in slices(whole, limit=1 << 20)):
         words = Words(batch.column("text"), lower=True)
         train = np.asarray(batch.column("train").fill_null(False).cast(pa.int8())).astype(bool)
         text, starts = padded(words)
@@ -127,20 +133,29 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[kind].append(_distinct(found, flag))
             if sum(len(key) for key, _ in held[kind][1:]) > HELD_KEYS:
                 held[kind] = [_counted(*(np.concatenate(c) for c in zip(*held[kind])))]
-        yield _slab_rows(part + slab, TEXT, batch.num_rows, doc_id=batch.column("doc_id"),
-                         train=pa.array(train), text=batch.column("text").cast(pa.string()))
+        yield _slab_rows(part + slab, TEXT, np.array([train.sum()]), np.zeros(1), [_packed(batch)])
         size += len(words.data)
-        if size >= SLAB_BYTES:
+        if size >= SLAB_BYTES or len(held[GRAM_KEY][0][0]) >= SLAB_KEYS:
             yield from keys(part + slab)
             slab, size = slab + 1, 0
     yield from keys(part + slab)
 
 
-def _slab_rows(chunk: int, kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    types = {"key": pa.int64(), "count": pa.float64(), "doc_id": pa.int64(), "train": pa.bool_(), "text": pa.string()}
+def _slab_rows(chunk: int, kind: int, key: np.ndarray, count: np.ndarray, body: list | None = None) -> pa.RecordBatch:
+    n = len(key)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, chunk)), pa.array(np.full(n, kind, np.int32)),
-         *(columns.get(c, pa.nulls(n, t)) for c, t in types.items())], names=["chunk", "kind", *types])
+        [pa.array(np.full(n, chunk)), pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(count),
+         pa.nulls(n, pa.binary()) if body is None else pa.array(body, pa.binary())],
+        names=["chunk", "kind", "key", "count", "body"])
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """A batch of texts as one compressed value, so that they are sorted and shuffled small."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        # Only the rows of the batch, not all of the buffers that it is a slice of.
+        stream.write_batch(batch.take(pa.array(np.arange(batch.num_rows))))
+    return out.getvalue().to_pybytes()
 
 
 # ---- the context tree
@@ -224,21 +239,28 @@ def _levels(code: np.ndarray, count: np.ndarray, top: int) -> list[Level]:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Grams in order, in pieces that hold all grams of their two newest context bytes."""
-    rest = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        code, count = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        return code, count
+
     for batch in batches:
         if not batch.num_rows:
             continue
         code = np.asarray(batch.column("key")).view(np.uint64)
         count = np.asarray(batch.column("count"))
-        if rest is not None:
-            code, count = np.concatenate([rest[0], code]), np.concatenate([rest[1], count])
         pair = code >> np.uint64(8 * (DEPTH - 1))
+        if held and held[-1][0][-1] >> np.uint64(8 * (DEPTH - 1)) != pair[0]:
+            yield whole()
         cut = int(np.searchsorted(pair, pair[-1]))
         if cut:
-            yield code[:cut], count[:cut]
-        rest = code[cut:], count[cut:]
-    if rest is not None:
-        yield rest
+            held.append((code[:cut], count[:cut]))
+            yield whole()
+        held.append((code[cut:], count[cut:]))
+    if held:
+        yield whole()
 
 
 def _lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +356,7 @@ class _Lookup:
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Score texts; per slab the numbers of its words and grams come first."""
     chunk, parts, ready = None, {WORD_KEY: [], GRAM_KEY: []}, None
-    for batch in (piece for whole in batches for piece in slices(whole, limit=2 << 20)):
+    for batch in batches:
         chunks, kinds = np.asarray(batch.column("chunk")), np.asarray(batch.column("kind"))
         cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -344,15 +366,18 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if chunk != chunks[a]:
                 chunk, parts, ready = chunks[a], {WORD_KEY: [], GRAM_KEY: []}, None
             if kind != TEXT:
-                parts[kind].append((np.asarray(piece.column("key")).view(np.uint64), np.asarray(piece.column("count"))))
+                value = np.asarray(piece.column("count"), np.float32 if kind == GRAM_KEY else np.float64)
+                parts[kind].append((np.array(piece.column("key")).view(np.uint64), value))
                 continue
             if ready is None:
-                key, count = ([np.concatenate(c) for c in zip(*parts[WORD_KEY])] if parts[WORD_KEY]
+                key, count = ([np.concatenate(c) for c in zip(*parts.pop(WORD_KEY))] if parts[WORD_KEY]
                               else [np.zeros(0, np.uint64), np.zeros(0)])
                 order = np.argsort(key)
-                ready = key[order], count[order], _Lookup(*(np.concatenate(c) for c in zip(*parts[GRAM_KEY])))
+                ready = key[order], count[order], _Lookup(*(np.concatenate(c) for c in zip(*parts.pop(GRAM_KEY))))
                 parts = {WORD_KEY: [], GRAM_KEY: []}
-            yield _scored(piece, *ready)
+            for body in piece.column("body"):
+                for texts in pa.ipc.open_stream(body.as_buffer()):
+                    yield _scored(texts, *ready)
 
 
 def _scored(piece: pa.RecordBatch, key: np.ndarray, count: np.ndarray, lookup: _Lookup) -> pa.RecordBatch:
@@ -390,7 +415,9 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", doc_id: str
         return stored(slabs.where(F.col("kind") == kind).groupBy("key").agg(F.sum("count").alias("count")), "counts")
 
     words, found = summed(WORD_KEY), summed(GRAM_KEY)
-    values = [(WORD_KEY, words.withColumnRenamed("count", "value")), (GRAM_KEY, gram_scores(found))]
+    # Numbers of grams are used as floats, and as such are shuffled in half the bytes.
+    values = [(WORD_KEY, words.withColumnRenamed("count", "value")),
+              (GRAM_KEY, gram_scores(found).withColumn("value", F.col("value").cast("float").cast("double")))]
     rows = slabs.where(F.col("kind") == TEXT)
     for kind, value in values:
         back = (slabs.where(F.col("kind") == kind).select("chunk", "kind", "key").join(value, "key")
@@ -400,7 +427,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", doc_id: str
 
     total = words.agg(F.coalesce(F.sum("count"), F.lit(0.0)).alias("tokens"),
                       F.count_if(F.col("count") > 0).alias("distinct")).first()
-    ends = slabs.where((F.col("kind") == TEXT) & F.col("train")).count()
+    ends = slabs.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("key"), F.lit(0))).first()[0]
     tokens, distinct = int(total["tokens"]) + ends, total["distinct"] + (ends > 0)
     n_tokens = F.col("n_words") + 1
     share = F.lit(math.log10(tokens + 0.1 * (distinct + 1)))

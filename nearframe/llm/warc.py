@@ -65,6 +65,8 @@ def gzip_member(plain: bytes, level: int = 6) -> bytes:
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(plain) + deflate.flush()
     size = _FIXED + len(body) + 8
+    if max(size, len(plain)) >> 32:
+        raise ValueError("a record of 4 GiB or more does not fit the length field of its member")
     return (_MAGIC + b"\0\0\0\0\0\xff" + struct.pack(_EXTRA, 12, b"sl", 8, size & 0xFFFFFFFF, len(plain) & 0xFFFFFFFF)
             + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF))
 
@@ -98,7 +100,11 @@ class Wanted:
 
 
 def read_members(source, start: int, end: int, wanted: Wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
-    """Records whose member starts in ``start``..``end`` of a gzip file with lengths."""
+    """Records whose member starts in ``start``..``end`` of a gzip file with lengths.
+
+    A header that does not end, and a block that is cut off, broken or shorter
+    than its ``Content-Length``, raise a ValueError.
+    """
     at = _first_member(source, start, end)
     while at is not None and at < end:
         source.seek(at)
@@ -109,7 +115,9 @@ def read_members(source, start: int, end: int, wanted: Wanted, payload: bool) ->
         inflate = zlib.decompressobj(31)
         plain, fed = inflate.decompress(head[:length], 4 * _HEAD_BYTES), min(length, len(head))
         while b"\r\n\r\n" not in plain:
-            more = inflate.unconsumed_tail or source.read(min(_HEAD_BYTES, length - fed))
+            more = inflate.unconsumed_tail or source.read(min(_HEAD_BYTES, max(length - fed, 0)))
+            if not more or inflate.eof:
+                raise ValueError(f"the header of the record at byte {at} does not end")
             fed += 0 if inflate.unconsumed_tail else len(more)
             plain += inflate.decompress(more, 4 * _HEAD_BYTES)
         top, _, block = plain.partition(b"\r\n\r\n")
@@ -118,7 +126,10 @@ def read_members(source, start: int, end: int, wanted: Wanted, payload: bool) ->
             if payload:
                 rest = inflate.unconsumed_tail + source.read(length - fed)
                 block += inflate.decompress(rest) + inflate.flush()
-                yield headers, payload_of(headers, block[:int(headers.get("Content-Length", 0))])
+                declared = int(headers.get("Content-Length", 0))
+                if not inflate.eof or len(block) < declared:
+                    raise ValueError(f"the record at byte {at} has {len(block)} of {declared} bytes of its block")
+                yield headers, payload_of(headers, block[:declared])
             else:
                 yield headers, None
         at += length

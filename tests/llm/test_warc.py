@@ -1,6 +1,9 @@
 import gzip
 import hashlib
 import io
+import random
+
+import pytest
 
 from nearframe.llm import warc
 
@@ -40,7 +43,7 @@ def test_filters_reach_the_reader(spark, tmp_path):
     assert "revisit" not in revisits._jdf.queryExecution().executedPlan().toString()  # left to the reader
     assert revisits.count() == 5 and {r.record_type for r in revisits.collect()} == {"revisit"}
     one = warc.read_warc(spark, path, headers={"X-Page-Id": ["17", "20"]}).collect()
-    assert sorted(len(r.payload) for r in one) == [100, len(PAGES[-1][2])]
+    assert sorted(len(r.payload) for r in one) == [100, len(PAGES[-1][2].encode())]
     bare = warc.read_warc(spark, path, ["response"], payload=False).collect()
     assert bare and all(r.payload is None for r in bare)
     assert warc.read_warc(spark, path).where("target_uri = 'http://s'").count() == 2
@@ -77,3 +80,33 @@ def test_archives_of_other_writers():
     for source, gz in ((plain, False), (members, True), (gzip.compress(plain), True)):
         got = list(warc.read_stream(io.BytesIO(source), warc.Wanted({"response"}, {"X-N": {"7", "59"}}), True, gz))
         assert [(h["X-N"], p) for h, p in got] == [("7", bytes([7]) * 259), ("59", bytes([59]) * 2183)]
+
+
+def members(data):
+    return list(warc.read_members(io.BytesIO(data), 0, len(data), warc.Wanted(), True))
+
+
+def test_broken_members_raise():
+    noise = random.Random(1).randbytes(100_000)
+    whole = warc.gzip_member(warc.record("response", {"A": "b"}, noise))
+    assert members(whole * 2) == [({"WARC-Type": "response", "A": "b", "Content-Length": "100000"}, noise)] * 2
+    for cut in (len(whole) - 1, len(whole) // 2, 40):
+        with pytest.raises(ValueError):
+            members(whole[:cut])
+    endless = warc.gzip_member(b"WARC/1.1\r\nA: b\r\n" + noise.replace(b"\r\n\r\n", b""))
+    with pytest.raises(ValueError, match="does not end"):
+        members(endless)
+    with pytest.raises(ValueError, match="does not end"):
+        members(endless[:5000])
+    short = warc.record("response", {}, b"abc").replace(b"Content-Length: 3", b"Content-Length: 300")
+    with pytest.raises(ValueError, match="of 300 bytes"):
+        members(warc.gzip_member(short))
+
+
+def test_a_broken_file_fails_the_query(spark, tmp_path):
+    path = tmp_path / "warc"
+    warc.archive_pages(frame(spark, PAGES).coalesce(1), f"file://{path}")
+    name, = path.glob("*.warc.gz")
+    name.write_bytes(name.read_bytes()[:-20])
+    with pytest.raises(Exception, match="bytes of its block"):
+        warc.read_warc(spark, f"file://{path}").count()

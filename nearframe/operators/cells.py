@@ -8,6 +8,13 @@ row that is already there.
 A batch counts once its rows and radii are written, which happens last; until then
 readers pass over its items. An upsert also writes which (item, batch) pairs it
 replaces; readers leave those out, whatever cell they lie in.
+
+Upkeep (:func:`maintain`) works the same way. Small batches are written again as one,
+which replaces their rows, and are deleted after that. A cell that has grown too large
+is split: two centroids are added, its own takes no more rows, and its rows, with
+those of neighbouring cells that lie nearer to a new centroid, are written as a batch
+that replaces them. The centroid of a cell never changes, so at every moment each item
+lies within the radius of its cell and an exact search stays exact.
 """
 
 from __future__ import annotations
@@ -30,6 +37,12 @@ from ..context import BROADCAST_BYTES, cut_lineage, store
 from ..functions.text import stable_number
 from .neighbours import BLOCK_ROWS, MATRIX_ENTRIES, block_of, cell_search, keep_top, matrix
 
+# Batches an index may have before the smaller ones are put together, and how many it keeps apart then.
+MOST_BATCHES, KEPT_BATCHES = 8, 4
+# A cell is split beyond this many times the rows that cells had when the index was trained.
+SPLIT_GROWTH = 4
+# Cells around a split one whose rows may move to the new cells.
+NEIGHBOUR_CELLS = 8
 # Bound of the k-means sample: rows per centroid. All rows then take part in a full update of the centroids.
 TRAIN_PER_CELL = 256
 STATS = "cell int, rows bigint, radius double"
@@ -41,6 +54,12 @@ class CellIndex:
     path: str
     metric: str
     centroids: np.ndarray
+    retired: tuple[int, ...] = ()
+
+    @property
+    def active(self) -> np.ndarray:
+        """Cells that take rows."""
+        return np.setdiff1d(np.arange(len(self.centroids)), self.retired)
 
     def batches(self, spark: SparkSession) -> list[str]:
         """Names of the batches that are complete; one short string per load."""
@@ -63,8 +82,14 @@ class CellIndex:
 
     def cells(self, spark: SparkSession) -> DataFrame:
         """Rows and radius of every cell that holds items; replaced items still count."""
-        return spark.read.parquet(f"{self.path}/stats").groupBy("cell").agg(
+        cells = spark.read.parquet(f"{self.path}/stats").where("cell IS NOT NULL").groupBy("cell").agg(
             F.sum("rows").alias("rows"), F.max("radius").alias("radius"))
+        if not self.retired:
+            return cells
+        # A split cell is passed over unless a writer that did not know of the split has added to it.
+        split = F.col("cell").isin([int(c) for c in self.retired])
+        used = self.live(spark).where(split).select("cell").distinct()
+        return cells.where(~split).unionByName(cells.join(used, "cell", "left_semi"))
 
     def needs_training(self, spark: SparkSession) -> bool:
         """Whether the rows have doubled since the centroids were fitted."""
@@ -130,18 +155,20 @@ def fit_centroids(items: DataFrame, vector: str, cells: int, metric: str = "l2",
     return centroids
 
 
-def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
-    """Add the nearest centroid as ``cell`` and the distance to it as ``gap``."""
-    shared = _share(items.sparkSession, centroids)
+def assign_cells(items: DataFrame, vector: str, centroids: np.ndarray, metric: str = "l2",
+                 cells: np.ndarray | None = None) -> DataFrame:
+    """Add the nearest centroid (of those named by ``cells``) as ``cell`` and the distance to it as ``gap``."""
+    cells = np.arange(len(centroids)) if cells is None else cells
+    shared = _share(items.sparkSession, centroids[cells], cells.astype(np.int32))
 
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        centers, = shared.value
+        centers, names = shared.value
         for batch in batches:
             cell, gap = np.empty(len(batch), np.int32), np.empty(len(batch))
             for at, part in _slices(batch, len(centers)):
                 gaps = _gaps(_unit(matrix(part), metric), centers)
                 rows = slice(at, at + len(part))
-                cell[rows], gap[rows] = gaps.argmin(axis=1), gaps.min(axis=1)
+                cell[rows], gap[rows] = names[gaps.argmin(axis=1)], gaps.min(axis=1)
             yield pa.StructArray.from_arrays([pa.array(cell), pa.array(gap)], ["cell", "gap"])
 
     place = F.arrow_udf(nearest, "cell int, gap double").asNondeterministic()
@@ -161,9 +188,11 @@ def _write_batch(placed: DataFrame, path: str, batch: str, replaced: DataFrame |
     items = f"{path}/items/batch={BATCH}{batch}"
     placed.hint("rebalance", F.col("cell")).write.mode("overwrite").partitionBy("cell").parquet(items)
     # Reads two narrow columns of this batch only.
-    stats = spark.read.parquet(items).groupBy("cell").agg(
+    stats = spark.read.schema("gap double, cell int").parquet(items).groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.max("gap").alias("radius"))
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={BATCH}{batch}")
+    # A row without a cell says that the batch is complete, also if it only takes rows away.
+    complete = spark.createDataFrame([(None, 0, None)], STATS)
+    stats.unionByName(complete).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={BATCH}{batch}")
 
 
 def _renamed(items: DataFrame, item_id: str, vector: str) -> DataFrame:
@@ -190,6 +219,7 @@ def train_index(items: DataFrame, path: str, cells: int | None = None, metric: s
     nothing = table.select("item_id", F.lit("").alias("old")).limit(0)
     nothing.write.parquet(f"{path}/replaced/batch={BATCH}")
     spark.createDataFrame([], STATS).coalesce(1).write.parquet(f"{path}/stats/batch={BATCH}")
+    spark.createDataFrame([], "cell int").coalesce(1).write.parquet(f"{path}/retired")
     return CellIndex(path, metric, centroids)
 
 
@@ -203,8 +233,9 @@ def build_index(items: DataFrame, path: str, cells: int | None = None, metric: s
 
 
 def open_index(spark: SparkSession, path: str) -> CellIndex:
+    retired = tuple(r["cell"] for r in spark.read.parquet(f"{path}/retired").distinct().orderBy("cell").collect())
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    return CellIndex(path, rows[0]["metric"], np.array([r["center"] for r in rows]))
+    return CellIndex(path, rows[0]["metric"], np.array([r["center"] for r in rows]), retired)
 
 
 def append_to_index(index: CellIndex, rows: DataFrame, item_id: str = "item_id",
@@ -213,7 +244,7 @@ def append_to_index(index: CellIndex, rows: DataFrame, item_id: str = "item_id",
 
     A batch with a name can be repeated without adding its rows twice.
     """
-    placed = assign_cells(_renamed(rows, item_id, vector), "embedding", index.centroids, index.metric)
+    placed = assign_cells(_renamed(rows, item_id, vector), "embedding", index.centroids, index.metric, index.active)
     _write_batch(placed, index.path, batch or uuid.uuid4().hex)
 
 
@@ -231,7 +262,105 @@ def upsert_index(index: CellIndex, rows: DataFrame, batch: str, item_id: str = "
     else:
         replaced = table.select("item_id", F.lit("").alias("old")).limit(0)
     replaced = store(replaced, "replaced")
-    _write_batch(assign_cells(table, "embedding", index.centroids, index.metric), index.path, batch, replaced)
+    placed = assign_cells(table, "embedding", index.centroids, index.metric, index.active)
+    _write_batch(placed, index.path, batch, replaced)
+
+
+def merge_batches(index: CellIndex, spark: SparkSession, most: int = MOST_BATCHES, kept: int = KEPT_BATCHES) -> int:
+    """Write the smaller batches as one if there are more than ``most``; returns how many went.
+
+    All but the ``kept`` largest are put together, so a row is written again about as
+    often as the index doubles. Nobody else may write or merge meanwhile, and readers
+    that are at work on the old batches have to start again.
+    """
+    sizes = spark.read.parquet(f"{index.path}/stats").groupBy("batch").agg(F.sum("rows").alias("rows")).collect()
+    if len(sizes) <= most:
+        return 0
+    small = sorted((r["rows"], r["batch"]) for r in sizes)[:len(sizes) - kept]
+    names = [name for _, name in small]
+    known = [r["batch"] for r in sizes if r["batch"] not in names]
+    rows = store(index.live(spark).where(F.col("batch").isin(names)), "merged")
+    # What the small batches had replaced in those that stay is replaced still.
+    older = (spark.read.parquet(f"{index.path}/replaced")
+             .where(F.col("batch").isin(names) & F.col("old").isin(known)).select("item_id", "old"))
+    replaced = store(rows.select("item_id", F.col("batch").alias("old")).unionByName(older), "replaced")
+    _write_batch(rows.drop("batch"), index.path, f"merged-{uuid.uuid4().hex}", replaced)
+    for name in names:
+        # The statistics go first: without them the rest does not count.
+        for table in ("stats", "items", "replaced"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/{table}/batch={name}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(names)
+
+
+def _halves(x: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Two centers of some rows, from the row farthest from the mean and the one farthest from that."""
+    first = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
+    centers = np.stack([first, x[((x - first) ** 2).sum(1).argmax()]])
+    for _ in range(rounds):
+        side = _gaps(x, centers).argmin(1)
+        if side.min() == side.max():
+            break
+        centers = np.stack([x[side == 0].mean(0), x[side == 1].mean(0)])
+    return centers
+
+
+def split_cells(index: CellIndex, spark: SparkSession, most_rows: int, seed: int = 7) -> CellIndex:
+    """Split every cell of more than ``most_rows`` live rows in two, unless its rows are copies of one vector.
+
+    The two centers come from a sample of the cell, bounded as that of k-means.
+    """
+    live = index.live(spark)
+    full = {r["cell"]: r["n"] for r in live.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > most_rows).collect()}
+    if not full:
+        return index
+    metric = index.metric
+    share = F.create_map(*[F.lit(v) for c, n in full.items() for v in (int(c), int(2**32 * min(1, 2 * TRAIN_PER_CELL / n)))])
+    sample = (live.where(F.col("cell").isin(list(full))).select("cell", "item_id", "embedding")
+              .where(stable_number(str(seed), F.col("item_id")) < share[F.col("cell")]))
+
+    def halve(rows: pa.Table) -> pa.Table:
+        centers = _halves(_unit(matrix(rows["embedding"]), metric))
+        return pa.table({"cell": rows["cell"].slice(0, 1).combine_chunks(), "centers": [centers.tolist()]})
+
+    made = {r["cell"]: np.array(r["centers"]) for r in
+            sample.groupBy("cell").applyInArrow(halve, "cell int, centers array<array<double>>").collect()}
+    made = {c: pair for c, pair in made.items() if np.linalg.norm(pair[0] - pair[1]) > 0}
+    if not made:
+        return index
+    start = len(index.centroids)
+    centroids = np.concatenate([index.centroids, *made.values()])
+    after = CellIndex(index.path, metric, centroids, tuple(sorted({*index.retired, *map(int, made)})))
+    around = {c for old in made for c in index.active[_gaps(index.centroids[[old]], index.centroids[index.active])[0]
+                                                      .argsort()[:NEIGHBOUR_CELLS + 1]]}
+    spark.createDataFrame([(start + i, [float(v) for v in centroids[start + i]], metric, 0) for i in range(2 * len(made))],
+                          "cell int, center array<double>, metric string, trained_on bigint"
+                          ).coalesce(1).write.mode("append").parquet(f"{index.path}/centroids")
+    spark.createDataFrame([(int(c),) for c in made], "cell int").coalesce(1).write.mode("append").parquet(f"{index.path}/retired")
+    old = live.where(F.col("cell").isin([int(c) for c in around | set(made)])).withColumnRenamed("cell", "_cell").drop("gap")
+    moved = store(assign_cells(old, "embedding", centroids, metric, after.active).where("cell <> _cell").drop("_cell"), "moved")
+    replaced = moved.select("item_id", F.col("batch").alias("old"))
+    _write_batch(moved.drop("batch"), index.path, f"split-{uuid.uuid4().hex}", replaced)
+    return after
+
+
+def maintain(index: CellIndex, spark: SparkSession, most_batches: int = MOST_BATCHES, most_rows: int | None = None) -> CellIndex:
+    """Merge small batches and split large cells until neither is left to do; to be called between writes.
+
+    By default a cell is split beyond ``SPLIT_GROWTH`` times the rows that cells had when the
+    index was trained, so the number of cells grows with the items.
+    """
+    if most_rows is None:
+        trained = spark.read.parquet(f"{index.path}/centroids").where("trained_on > 0").agg(
+            F.max("trained_on").alias("rows"), F.count(F.lit(1)).alias("cells")).first()
+        most_rows = max(1, SPLIT_GROWTH * -(-(trained["rows"] or 1) // max(trained["cells"], 1)))
+    while True:
+        merge_batches(index, spark, most_batches, min(KEPT_BATCHES, most_batches))
+        after = split_cells(index, spark, most_rows)
+        if after is index:
+            return index
+        index = after
 
 
 def ingest(items: DataFrame, path: str, index: str = "deferred", cells: int | None = None,

@@ -160,3 +160,52 @@ def test_exact_search_far_from_the_origin(spark, tmp_path):
     for i in (0, 7, 299):
         d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 9)
         assert [t for q_, _, t in want if q_ == i] == list(np.lexsort((np.arange(300), d))[:4])
+
+
+def test_upkeep_bounds_batches_and_cells(spark, tmp_path):
+    """Small upserts with merges and splits between them: bounded batches, cells and files, exact neighbours."""
+    rng = np.random.default_rng(8)
+    vectors = {i: [float(v) for v in rng.normal(size=4)] for i in range(120)}
+
+    def frame(ids):
+        return spark.createDataFrame([(i, vectors[i]) for i in ids], "item_id int, embedding array<double>")
+
+    index = C.build_index(frame(range(120)), str(tmp_path / "ix"), cells=4)
+    for n in range(14):
+        # Old ids under new vectors and new ids, all in one corner, so that its cell outgrows the others.
+        ids = [*range(n * 5, n * 5 + 5), *range(1000 + 20 * n, 1020 + 20 * n)]
+        vectors |= {i: [float(v) for v in 3 + rng.normal(size=4) / 4] for i in ids}
+        C.upsert_index(index, frame(ids), f"n{n}")
+        if n % 3 == 2:
+            index = C.maintain(index, spark, most_batches=5, most_rows=60)
+            assert len(index.batches(spark)) <= 6
+    index = C.maintain(C.open_index(spark, index.path), spark, most_batches=5, most_rows=60)
+    sizes = [r["count"] for r in index.live(spark).groupBy("cell").count().collect()]
+    assert max(sizes) <= 60 and len(index.retired) >= 3 and len(index.active) == 4 + len(index.retired)
+    assert sorted((r.item_id, r.embedding) for r in index.items(spark).collect()) == sorted(vectors.items())
+    q = frame(range(0, 120, 3)).withColumnRenamed("item_id", "query_id")
+    want = rows(N.knn_join(q, frame(vectors), 5))
+    for ix in (index, C.open_index(spark, index.path)):
+        assert rows(C.ann_search(ix, q, 5, nprobe=2, exact=True)) == want
+    # Every item lies in its nearest active cell or, beyond the neighbours of a split, within its radius.
+    radius = {r["cell"]: r["radius"] for r in index.cells(spark).collect()}
+    for r in index.items(spark).collect():
+        gaps = np.linalg.norm(index.centroids - np.array(r.embedding), axis=1)
+        assert gaps[r.cell] <= radius[r.cell] + 1e-9 and r.cell not in index.retired
+
+
+def test_a_writer_that_missed_a_split(spark, items, tmp_path):
+    old = C.build_index(items, str(tmp_path / "ix"), cells=3, item_id="id", vector="v")
+    index = C.split_cells(old, spark, 150)
+    assert index.retired and C.split_cells(index, spark, 10_000) is index
+    late = items.where("v is not null").withColumn("id", F.col("id") + 10_000)
+    C.upsert_index(old, late, "late", item_id="id", vector="v")
+    q = items.where("id % 50 = 0 and v is not null").selectExpr("id as query_id", "v as embedding")
+    want = rows(N.knn_join(q, items.unionByName(late), 5, item_id="id", item_vector="v"))
+    assert rows(C.ann_search(C.open_index(spark, index.path), q, 5, nprobe=1, exact=True)) == want
+
+
+def test_copies_are_not_split(spark, tmp_path):
+    same = spark.range(300).selectExpr("id AS item_id", "array(1.0D, 2.0D) AS embedding")
+    index = C.build_index(same, str(tmp_path / "ix"), cells=1)
+    assert C.maintain(index, spark, most_rows=10) is index

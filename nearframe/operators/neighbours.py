@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..context import BROADCAST_BYTES, at_most, scratch_path, store
+from ..context import BROADCAST_BYTES, at_most
 from ..functions.vectors import check_width, cosine_distance, l2_distance
 
 DECIMALS = 9
@@ -228,30 +228,6 @@ def block_of(key: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
-def _in_blocks(q: DataFrame, x: DataFrame, k: int, metric: str, width: int | None, block_rows: int | None) -> DataFrame:
-    """Stream the items past one block of queries after the other.
-
-    Both sides are stored first, so every vector is computed once. A block fits
-    the broadcast limit; per block, query and task k rows are shuffled. Each
-    block's result is written before the next one is sent.
-    """
-    spark = q.sparkSession
-    q, x = store(q, "queries"), store(x, "items")
-    if width is None:
-        first = q.select(F.size("vector").alias("width")).first()
-        width = first["width"] if first else 1
-    blocks = max(1, -(-q.count() // (block_rows or max(1, BROADCAST_BYTES // (8 * width + 64)))))
-    parts, found = scratch_path(spark, "query-blocks"), scratch_path(spark, "neighbours")
-    cut = q.withColumn("_block", block_of("query_id", F.lit(blocks)))
-    cut.repartition(blocks, "_block").write.partitionBy("_block").parquet(parts)
-    q = spark.read.schema(cut.schema).parquet(parts)
-    for block in range(blocks):
-        part = q.where(F.col("_block") == block).select("query_id", "vector")
-        near = _with_broadcast_queries(part, x, k, metric)
-        near.write.mode("append").parquet(found)
-    return spark.read.schema(near.schema).parquet(found)
-
-
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2",
              query_id: str = "query_id", item_id: str = "item_id",
              query_vector: str = "embedding", item_vector: str = "embedding",
@@ -260,8 +236,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
     """The k nearest items of every query: ``(query_id, item_id, dist, rank)``.
 
     A side that is counted to fit the broadcast limit is sent to the tasks and
-    the other is streamed past it where it lies. When neither fits, the queries
-    are taken in blocks that do. Null vectors take no part. Ids identify a row on
+    the other is streamed past it where it lies. When neither fits, both are cut
+    into partitions with distance bounds. Null vectors take no part. Ids identify a row on
     their side. ``width`` is the vector length where the caller knows it. A
     strategy asked for by name is held to the same limit.
     """
@@ -283,7 +259,9 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
         return _with_broadcast_items(q, x, k, metric)
     if strategy == "queries":
         return _with_broadcast_queries(q, x, k, metric)
-    return _in_blocks(q, x, k, metric, width, block_rows)
+    from .partitioned import partition_join
+
+    return partition_join(q, x, k, metric, block_rows)
 
 
 def knn_single(items: DataFrame, vector: list[float], k: int = 5, metric: str = "l2",

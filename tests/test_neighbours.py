@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from nearframe.operators import neighbours as N
+from nearframe.operators import partitioned
 
 
 def brute(q, x, ids, k, metric):
@@ -92,15 +93,14 @@ def test_all_strategies_agree_with_brute_force(sides, metric):
 def test_choice_of_strategy_follows_the_size(sides, monkeypatch):
     q, x = sides
     chosen = []
-    for name in ("_with_broadcast_items", "_with_broadcast_queries", "_in_blocks"):
-        real = getattr(N, name)
-        monkeypatch.setattr(N, name, lambda *a, _n=name, _r=real: chosen.append(_n) or _r(*a))
+    for module, name in ((N, "_with_broadcast_items"), (N, "_with_broadcast_queries"), (partitioned, "partition_join")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _n=name, _r=real: chosen.append(_n) or _r(*a))
     want = rows(N.knn_join(q, x, 3))
     for limit in (112 * 60, 112 * 10):
         monkeypatch.setattr(N, "BROADCAST_BYTES", limit)
         assert rows(N.knn_join(q, x, 3)) == want
-    # The last one sends its blocks in turn.
-    assert chosen[:3] == ["_with_broadcast_items", "_with_broadcast_queries", "_in_blocks"]
+    assert chosen == ["_with_broadcast_items", "_with_broadcast_queries", "partition_join"]
 
 
 def test_a_strategy_by_name_is_held_to_the_limit(sides, monkeypatch):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..context import with_position
 from .ranking import quantiles
 
-# The metric suffixes of a wide run file, longest match first.
+# The metric suffixes of a wide run file.
 METRICS = ("throughput", "time_s", "py_cpu", "py_mem_delta", "py_mem_peak", "pg_cpu", "pg_mem_delta",
            "pg_mem_peak", "qd_cpu", "qd_mem_delta", "qd_mem_peak", "sys_cpu", "sys_mem")
 STATISTICS = ("std", "median", "q1", "q3")

@@ -38,6 +38,34 @@ def test_counted_quantiles_equal_buffered_ones(spark, pairs):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_quantiles_of_keys_beyond_a_sketch(spark):
+    """Keys with far more values than a sketch keeps, ties, infinities and values that are no numbers."""
+    df = spark.range(60_000).selectExpr(
+        "id % 3 k", "CASE id % 3 WHEN 0 THEN CAST(xxhash64(id) AS DOUBLE) WHEN 1 THEN CAST(id % 7 AS DOUBLE) "
+        "ELSE CASE WHEN id % 90 = 2 THEN double('NaN') WHEN id % 90 = 5 THEN NULL ELSE sqrt(id) END END v")
+    probs = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = {r["k"]: r["q"] for r in quantiles(df, ["k"], "v", probs, "q").collect()}
+    plain = df.withColumn("v", F.expr("CASE WHEN isnan(v) THEN double('inf') ELSE v END"))
+    for k in (0, 1, 2):
+        values = sorted(r["v"] for r in plain.where(F.col("k") == k).where("v IS NOT NULL").collect())
+        for p, q in zip(probs, got[k]):
+            at = p * (len(values) - 1)
+            low, high = values[int(at)], values[min(len(values) - 1, int(at) + (at % 1 > 0))]
+            assert q == (low if low == high else pytest.approx(low + at % 1 * (high - low), rel=1e-12))
+
+
+def test_null_is_a_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0), (2, None)], "k int, v double")
+    assert {r.k: r.q for r in quantiles(df, ["k"], "v", (0.5,), "q").collect()} == {None: [2.0], 1: [5.0], 2: None}
+
+
+def test_a_sketch_that_misses_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr("nearframe.operators.ranking.SKETCH_ERROR", -0.1)
+    df = spark.range(5000).selectExpr("1 k", "CAST(id AS DOUBLE) v")
+    with pytest.raises(Exception, match="outside the bounds"):
+        quantiles(df, ["k"], "v", (0.5,)).collect()
+
+
 def test_throughput_of_no_time_is_zero(spark):
     df = spark.createDataFrame([(10, 2.0), (10, 0.0)], "size int, t double")
     assert [r[0] for r in df.select(M.throughput(F.col("size"), F.col("t"))).collect()] == [5.0, 0.0]

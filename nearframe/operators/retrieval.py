@@ -7,15 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..context import cut_lineage
+from ..context import store
 from .neighbours import knn_join
 from .ranking import cumulative
+from .skew import frequent_keys, join_hubs
+
+
+def _with_items(neighbours: DataFrame, items: DataFrame) -> DataFrame:
+    """Neighbour rows joined with what belongs to their items. An item that is near to very
+    many queries is found by a sketch and its rows are dealt over many tasks.
+
+    The neighbours are read twice, so they are written first: k rows per query.
+    """
+    near = store(neighbours, "near")
+    return join_hubs(near, items, "item_id", frequent_keys(near, "item_id"), by=["query_id"])
 
 
 def vote(neighbours: DataFrame, queries: DataFrame, labels: DataFrame, query_id: str = "query_id",
          item_id: str = "item_id", label: str = "label", min_votes: int = 3) -> DataFrame:
     """Count positive neighbours per query; a query without neighbours is negative."""
-    marked = neighbours.join(labels.select(F.col(item_id).alias("item_id"), F.col(label)), "item_id")
+    marked = _with_items(neighbours.select("query_id", "item_id"), labels.select(F.col(item_id).alias("item_id"), F.col(label)))
     votes = marked.groupBy("query_id").agg(F.count_if(F.col(label)).alias("votes"))
     found = F.coalesce(F.col("votes"), F.lit(0).cast("bigint"))
     return (queries.select(F.col(query_id).alias("query_id")).join(votes, "query_id", "left")
@@ -34,7 +45,7 @@ def attach_payload(neighbours: DataFrame, items: DataFrame, item_id: str,
                    payload: Sequence[str]) -> DataFrame:
     """Fetch columns of the neighbours late, so the search reads only ids and vectors."""
     thin = items.select(F.col(item_id).alias("item_id"), *payload)
-    return neighbours.join(thin, "item_id")
+    return _with_items(neighbours, thin)
 
 
 def knn_payload(queries: DataFrame, items: DataFrame, payload: Sequence[str], k: int = 5,
@@ -67,10 +78,11 @@ def _bought(neighbours: DataFrame, purchases: DataFrame, per_query: bool) -> Dat
     pairs = purchases.select("customer_id", "product_id")
     if not per_query:
         return semi_join_ids(pairs, neighbours, "customer_id", "item_id").select("product_id").distinct()
-    # Used twice; k rows per query are written so that the search runs once.
-    matched = cut_lineage(neighbours.select("query_id", F.col("item_id").alias("customer_id")))
+    # Read three times; k rows per query are written so that the search runs once.
+    matched = store(neighbours.select("query_id", F.col("item_id").alias("customer_id")), "matched")
     pairs = semi_join_ids(pairs, matched, "customer_id").distinct()
-    return matched.join(pairs, "customer_id").select("query_id", "product_id").distinct()
+    found = join_hubs(matched, pairs, "customer_id", frequent_keys(matched, "customer_id"), by=["query_id"])
+    return found.select("query_id", "product_id").distinct()
 
 
 def knn_purchases(neighbours: DataFrame, purchases: DataFrame, products: DataFrame,

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..context import scratch_path
 from ..functions import vectors as V
 from ..operators import retrieval as R
-from ..operators.cells import ann_search, build_index, ingest, open_index, train_index, upsert_index
+from ..operators.cells import ann_search, build_index, ingest, maintain, open_index, train_index, upsert_index
 from ..operators.embedding import embed_column
 from ..operators.graph import build_graph, graph_search, open_graph
 from ..operators.neighbours import knn_join, knn_single
+from ..operators.tree import build_tree, open_tree, tree_search
 from . import sql as S
 from . import views
 from .registry import query
@@ -263,6 +264,13 @@ def _(t):
     return shown(ann_search(index, views.profiles(t), 5, nprobe=1, exact=True, query_id="id"))
 
 
+@query("tree_search", S.with_(S.VECTORS, S.nearest("near", "vec", "vec")) + NEIGHBOURS)
+def _(t):
+    v = views.vectors(t)
+    index = build_tree(v, scratch_path(t.spark, "tree"), item_id="id")
+    return shown(tree_search(open_tree(t.spark, index.path), v, 5, exact=True, query_id="id"))
+
+
 @query("ann_search_probes", "SELECT vec_id AS query_id, CAST(5 AS BIGINT) AS found, true AS self_first FROM embeddings")
 def _(t):
     """Which other neighbours the probed cells hold depends on the cells; that a
@@ -347,6 +355,21 @@ def _(t):
     return stored(upserted(t).items(t.spark))
 
 
+@query("index_maintained", S.with_(S.VECTORS, UPSERTED, S.nearest("near", "vec", "now")) + NEIGHBOURS)
+def _(t):
+    """The same rows after many small upserts, with merges and splits between them."""
+    v = views.vectors(t)
+    index = build_index(v, scratch_path(t.spark, "index"), item_id="id")
+    turned = v.where("label = 3").withColumn("embedding", F.reverse("embedding"))
+    changes = turned.unionByName(v.where("label = 4").withColumn("id", F.col("id") + 1_000_000))
+    for n in range(4):
+        upsert_index(index, changes.where(F.pmod(F.xxhash64("id"), F.lit(4)) == n), f"part-{n}", item_id="id")
+        if n % 2:
+            rows = index.items(t.spark).count()
+            index = maintain(index, t.spark, most_batches=3, most_rows=max(8, rows // 16))
+    return shown(ann_search(open_index(t.spark, index.path), v, 5, nprobe=2, exact=True, query_id="id"))
+
+
 @query("ann_vote", S.with_(S.VECTORS, S.nearest("near", "vec", "vec")) + """
     SELECT query_id, CAST(SUM(CAST(label >= 5 AS INT)) AS BIGINT) AS votes, SUM(CAST(label >= 5 AS INT)) >= 3 AS predicted
     FROM near JOIN vec ON item_id = vec.id GROUP BY query_id""")

@@ -95,3 +95,24 @@ def test_payload_is_fetched_for_every_match(spark):
     queries = frame(spark, [(1, [0.0]), (2, [0.1])], QUERY)
     out = R.knn_payload(queries, items, ["path"], 1).collect()
     assert sorted((r["query_id"], r["path"]) for r in out) == [(1, "p1"), (2, "p1")]
+
+
+def test_one_item_near_to_all_queries(spark):
+    """A hub among the neighbours: the same votes and payloads, and no task has its rows alone."""
+    near = spark.range(3000, numPartitions=3).selectExpr("id AS query_id", "explode(array(7L, 100 + id % 1000)) AS item_id")
+    labels = spark.range(1100).selectExpr("id AS item_id", "id % 2 = 1 AS label", "concat('p', id) AS path")
+    votes = R.vote(near, near.select("query_id").distinct(), labels, min_votes=2)
+    want = {i: 1 + (100 + i % 1000) % 2 for i in range(3000)}
+    assert {r.query_id: r.votes for r in votes.collect()} == want
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = R.attach_payload(near, labels, "item_id", ["path"])
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) < 1500
+        assert found.where("path <> concat('p', item_id)").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -57,16 +57,21 @@ REGION_WORDS = frozenset(
     "cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin share sharing "
     "social related recommended recommendations footer header masthead toolbar widget widgets login search "
     "disclaimer copyright legal pagination pager teaser".split())
-# With one of these words before or after it, such a name tells how a page is laid out.
+# With one of these words before it, such a name tells how a page is laid out.
 STATES_BEFORE = frozenset("has no with without".split())
-STATES_AFTER = frozenset("open opened closed collapsed expanded enabled disabled".split())
+# Words that may stand behind the word of such a region in a name: where it is, or what it holds.
+PARTS = frozenset(
+    "left right top bottom primary secondary inner outer box bar block blocks list lists container wrapper wrap section "
+    "area panel pane slot unit link links item items content contents text title button buttons icon icons form field "
+    "image images post posts article articles story stories news page pages column col row group body".split())
 # Words that mark the element with the main text on pages without an article or main element.
 CONTENT_WORDS = frozenset("content article post entry story main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>"
+    # A quote opens a value only directly after an equals sign.
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>"
     r"|<[!?][^>]*+>"
     r"|<[a-zA-Z/!?][^>]*+\Z", re.S)
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?",
@@ -156,10 +161,10 @@ ARTICLE_WORDS = frozenset("ad ads advert advertisement promo sponsored comment c
 
 
 def _names(value: str, marked: frozenset[str]) -> bool:
-    """Whether one of the names has a marked word and is not that of a state."""
+    """Whether one of the names ends in a marked word, but for words of place and kind, and is not that of a state."""
     for name in value.split():
         words = [w.lower() for w in _NAME.findall(name)]
-        if any(w in marked and not STATES_BEFORE & set(words[:i]) and not STATES_AFTER & set(words[i + 1:])
+        if any(w in marked and not STATES_BEFORE & set(words[:i]) and all(v in PARTS or v in marked for v in words[i + 1:])
                for i, w in enumerate(words)):
             return True
     return False
@@ -181,7 +186,7 @@ def _is_region(tag: str, marks: str, in_article: bool) -> int:
             return 1
         if name == "role" and value.lower() in REGION_ROLES:
             return 1
-        if name in ("class", "id") and _names(value, marked):
+        if name in ("class", "id") and tag not in HEADINGS and _names(value, marked):
             named = 2
     return named
 
@@ -322,6 +327,10 @@ def main_text(page: str | None) -> str:
         after = shape[i + 1] if i + 1 < len(found) else (0, 0.0)
         if is_main((regions, inside, int(heading), *shape[i], *before, *after)):
             kept.append(text)
+    if not kept and depth is None:
+        # Neither an article nor a block that is long enough: a short page is all there is.
+        kept = [text for (text, regions, *_), (_, links) in zip(found, shape)
+                if not regions and links <= 0.5 and any(map(str.isalnum, text))]
     return " ".join(kept)
 
 

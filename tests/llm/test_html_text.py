@@ -1,6 +1,9 @@
+import os
+from html.parser import HTMLParser
+
 import pytest
 
-from nearframe.llm.html_text import COLUMNS, LABELLED, extract, is_main, main_text
+from nearframe.llm.html_text import COLUMNS, INLINE, LABELLED, RAW, UNSEEN, VOID, blocks, extract, is_main, main_text
 
 LONG = "This paragraph has quite a number of words so that nobody takes it for a menu or a title of some kind."
 
@@ -78,3 +81,64 @@ def test_regions_around_other_articles():
         assert main_text(f"<main><p>text</p>{other}</main>") == main_text(f"<article>text</article>{other}") == "text"
         assert main_text(f"<div class='post-content'>text</div>{other}") == "text"
     assert main_text(f"<div class=nav-open hidden><article>{LONG}</article></div>") == ""
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p title='it's'>kept</p><p>too</p></article>", "kept too"),
+    ('<article><p><a href="x"" class="y">one</a> two</p></article>', "one two"),
+    ("<article><p title = 'a > b' class=x'>c</p><p data-x=a\"b>d</p></article>", "c d"),
+    (f'<article><section id="related-work"><h2>Related</h2><p>{LONG}</p></section></article>', f"Related {LONG}"),
+    (f'<main><section id="search-algorithms"><h2 id="copyright-law">S</h2><p>{LONG}</p></section></main>', f"S {LONG}"),
+    ("<p>Hi there</p>", "Hi there"), ("<div><p>One line.</p><p>And one.</p></div><nav><a href=1>Home</a></nav>", "One line. And one."),
+    ("<p><a href=1>only</a></p><p>said <a href=2>so</a></p>", "said so"),
+    ("<article><p>a</p><div class='related-posts'><p>no</p></div><div id=share_buttons>no</div></article>", "a"),
+    ("<article><p>a</p><div class=article-comments-list><p>no</p></div><h2 class=promo>h</h2></article>", "a h"),
+])
+def test_broken_quotes_names_and_short_pages(page, text):
+    assert main_text(page) == text
+
+
+class Blocks(HTMLParser):
+    """The texts between the tags of block elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.parts, self.unseen = [], [], []
+
+    def close_block(self):
+        text = " ".join("".join(self.parts).split())
+        self.out += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in INLINE:
+            self.close_block()
+        elif tag == "br":
+            self.parts.append(" ")
+        if tag in UNSEEN | RAW and tag not in VOID:
+            self.unseen.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in INLINE:
+            self.close_block()
+        if tag in self.unseen:
+            del self.unseen[self.unseen.index(tag):]
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.parts.append(data)
+
+
+FOLDER = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(FOLDER), reason="no pages here")
+def test_blocks_equal_those_of_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet(FOLDER).select("html").where("html IS NOT NULL").collect()]
+    assert len(pages) > 100
+    for page in pages:
+        other = Blocks()
+        other.feed(page)
+        other.close()
+        other.close_block()
+        assert [b[0] for b in blocks(page)] == other.out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import store
+from .bitmaps import bitmaps, common, sizes, within
 from .neighbours import knn_join
 from .ranking import cumulative
 from .skew import frequent_keys, join_hubs
@@ -134,19 +135,24 @@ def fraction_sweep(neighbours: DataFrame, purchases: DataFrame, products: DataFr
     """For every category and fraction: products within the price range and how many
     of them the matched customers bought. Equal prices at the upper bound count.
     """
-    ranges = price_range(products, fractions)
-    bought = _bought(neighbours, purchases, False).withColumn("bought", F.lit(1))
-    # Low is the category minimum, so the range test is an upper bound: a
-    # product belongs to every fraction whose high is not below its price.
-    highs = ranges.groupBy("category").agg(
-        F.collect_list(F.struct("fraction", "low", "high")).alias("ranges"))
-    hit = (products.select("product_id", "category", "price").join(bought, "product_id", "left")
-           .join(highs, "category")
-           .withColumn("range", F.explode(F.filter("ranges", lambda r: F.col("price").between(r["low"], r["high"])))))
-    return hit.groupBy("category", F.col("range.fraction").alias("fraction")).agg(
-        F.max("range.low").alias("low"), F.max("range.high").alias("high"),
-        F.count(F.lit(1)).alias("eligible"),
-        F.coalesce(F.sum("bought"), F.lit(0)).alias("matched"))
+    # A product is in the bitmap of the smallest fraction whose range holds it, and counts for the larger ones.
+    # Low is the category minimum, so the range test is an upper bound.
+    order = {float(f): n for n, f in enumerate(sorted(fractions))}
+    place = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])
+    ranges = price_range(products, fractions).withColumn("band", place[F.col("fraction")])
+    highs = ranges.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("band", "high"))).alias("highs"))
+    first = F.get(F.filter("highs", lambda r: F.col("price") <= r["high"]), F.lit(0))["band"]
+    placed = (products.select("product_id", "category", "price").join(highs, "category")
+              .withColumn("band", first).where("band IS NOT NULL"))
+    by = ["category", "band"]
+    sets = store(bitmaps(placed, "product_id", *by), "bands")
+    bought = bitmaps(_bought(neighbours, purchases, False), "product_id")
+    counted = sizes(sets, *by, out="eligible").join(sizes(within(sets, bought, *by), *by, out="matched"), by, "left")
+    own = ranges.select("category", "fraction", "low", "high", F.col("band").alias("upto"))
+    return (own.join(counted, (own["category"] == counted["category"]) & (own["upto"] >= counted["band"]))
+            .groupBy(own["category"], "fraction").agg(
+                F.max("low").alias("low"), F.max("high").alias("high"), F.sum("eligible").alias("eligible"),
+                F.coalesce(F.sum("matched"), F.lit(0)).alias("matched")))
 
 
 def eligible_products(purchases: DataFrame, reviews: DataFrame, min_rating: int = 4) -> DataFrame:
@@ -162,3 +168,12 @@ def eligible_share(eligible: DataFrame, products: DataFrame) -> DataFrame:
     return marked.agg(
         F.count("_hit").alias("eligible"), F.count(F.lit(1)).alias("products"),
         (F.count("_hit") / F.count(F.lit(1))).alias("share"))
+
+
+def eligible_counts(purchases: DataFrame, reviews: DataFrame, products: DataFrame, min_rating: int = 4) -> DataFrame:
+    """Number of products that were bought and rated highly, and their share of all products, from bitmaps."""
+    rated = reviews.where(F.col("rating") >= min_rating)
+    every = bitmaps(products, "product_id")
+    both = common(*(bitmaps(side, "product_id") for side in (purchases, rated, products)))
+    return sizes(both, out="eligible").join(sizes(every, out="products")).withColumn(
+        "share", F.col("eligible") / F.col("products"))

@@ -227,8 +227,8 @@ def _(t):
     FROM prod LEFT JOIN (SELECT product_id FROM bought INTERSECT SELECT product_id FROM review WHERE rating >= 4) e
     ON prod.product_id = e.product_id""")
 def _(t):
-    eligible = R.eligible_products(views.purchases(t), views.reviews(t))
-    return R.eligible_share(eligible, views.products(t)).withColumn("share", F.round("share", 6))
+    share = R.eligible_counts(views.purchases(t), views.reviews(t), views.products(t))
+    return share.withColumn("share", F.round("share", 6))
 
 
 @query("membership_filter", S.with_(S.VECTORS, S.PROFILES, S.CUSTOMERS, S.nearest("near", "profile", "cust")) +

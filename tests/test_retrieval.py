@@ -69,6 +69,7 @@ def test_eligible_products_and_share(shop):
     eligible = R.eligible_products(purchases, reviews)
     assert sorted(r["product_id"] for r in eligible.collect()) == [1, 3, 4]
     assert R.eligible_share(eligible, products).first()["share"] == 0.75
+    assert tuple(R.eligible_counts(purchases, reviews, products).first()) == (3, 4, 0.75)
 
 
 def test_price_range_rounds_half_to_even_and_keeps_one(spark):

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..context import scratch_path
 from ..operators.cells import train_index
 from ..operators.embedding import embed_column
+from ..sources.telemetry_tail import tail_telemetry
 from ..streaming import jobs
+from ..streaming.calls import stream_call_gaps
 from . import sql as S
 from . import views
 from .registry import query
+from .run_queries import LAST, SPEC, STAMPED, stamped
 from .text_queries import EMBEDDED
 from .vector_queries import VOTE
 
@@ -71,6 +74,29 @@ def _(t):
                       F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("stream_telemetry_gaps", S.with_(STAMPED, LAST, """
+    wide AS (SELECT user_id, max(CASE WHEN label = 'signup' THEN epoch_us END) AS s, max(CASE WHEN label = 'purchase' THEN epoch_us END) AS p,
+                    max(CASE WHEN label = 'view' THEN epoch_us END) AS v, max(CASE WHEN label = 'error' THEN epoch_us END) AS e FROM last GROUP BY 1)""", """
+    over AS (SELECT user_id FROM stamped GROUP BY 1
+             HAVING max(epoch_us) // 1000 + 86400000 <= (SELECT max(epoch_us) // 1000 - 3600000 FROM stamped))""") + """
+    SELECT user_id, p - s AS to_purchase_us, e - v AS to_error_us, CAST(NULL AS BIGINT) AS to_none_us FROM wide JOIN over USING (user_id)""")
+def _(t):
+    """Log files are tailed; a call is over a day after its last line."""
+    log = scratch_path(t.spark, "log")
+    lines = stamped(t).repartitionByRange("line_no").sortWithinPartitions("line_no")
+    lines.select(F.concat_ws("\t", F.col("epoch_us").cast("string"), "label", F.col("user_id").cast("string"))).write.text(log)
+    path, checkpoint = scratch_path(t.spark, "gaps"), scratch_path(t.spark, "progress")
+    # Names of the files, and the place within one, give the order of the lines.
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    arrived = tail_telemetry(t.spark, log).withColumn("line_no", F.shiftleft(part, 40) + F.col("line_no"))
+    calls = arrived.withColumn("user_id", F.col("n").cast("bigint"))
+    stream = stream_call_gaps(calls, SPEC, "user_id", path, checkpoint, once=False, late="1 hour", idle="1 day")
+    # A run for what is there now would end before the watermark closes calls: sources in Python get one batch then.
+    stream.processAllAvailable()
+    stream.stop()
+    return t.spark.read.parquet(path).withColumnRenamed("call", "user_id")
+
+
 @query("stream_upsert", "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def _(t):
     from ..sources.points import read_points

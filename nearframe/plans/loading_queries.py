@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
@@ -162,16 +164,21 @@ def _(t):
     return views.long_form(P.read_points(t.spark, path, "id"), "id", "embedding")
 
 
-@query("vector_add", """
-    SELECT CAST(doc_id AS VARCHAR) AS id, text AS document, lang, source, label FROM (
-        SELECT doc_id, text, lang, source, CAST(label AS VARCHAR) AS label FROM documents JOIN embeddings ON doc_id = vec_id)""")
+@query("vector_add", S.with_(S.VECTORS, """
+    rows AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source, CAST(label AS VARCHAR) AS label, v
+             FROM documents JOIN vec ON doc_id = vec.id)""") + """
+    SELECT id, text AS document, lang, source, label, NULL::BIGINT AS dim, NULL::DOUBLE AS value FROM rows
+    UNION ALL SELECT id, NULL, NULL, NULL, NULL, CAST(b AS BIGINT), round(x, 6) + 0.0
+              FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS b FROM rows)""")
 def _(t):
+    """All that is stored of a point: its document and payload, and then its vector."""
     path = scratch_path(t.spark, "collection")
     rows = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"))
     for part in (rows.where("label < 5"), rows.where("label >= 5")):
         P.add_points(path, P.as_documents(part, "doc_id", "embedding", "text", ["lang", "source", "label"]))
     stored = t.spark.read.parquet(path)
-    return stored.select("id", "document", *[F.col("metadata")[m].alias(m) for m in ("lang", "source", "label")])
+    head = stored.select("id", "document", *[F.col("metadata")[m].alias(m) for m in ("lang", "source", "label")])
+    return head.unionByName(views.long_form(stored, "id", "embedding"), allowMissingColumns=True)
 
 
 TOP = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY review_id) AS rn FROM review) WHERE rn <= 5)"
@@ -279,14 +286,17 @@ def _(t):
         F.size("reviews").cast("bigint").alias("n_reviews"), F.size("categories").cast("bigint").alias("n_categories"))
 
 
-CHILDREN = """
-    SELECT '{0}' AS kind, {1} AS parent, CAST(pos AS BIGINT) AS pos, review_text AS child, CAST(rating AS BIGINT) AS rating FROM gen_review
-    UNION ALL SELECT '{2}', {1}, CAST(pos AS BIGINT), category_name, NULL FROM gen_cat"""
+NESTED = (*ASSEMBLED, """
+    told AS (SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY review_id) - 1 AS pos, rating, review_text
+             FROM review JOIN prod USING (product_id))""", """
+    named AS (SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY pos) - 1 AS pos, category_name FROM cat)""")
 
 
-@query("flatten_nested", S.with_(GENERATED) + CHILDREN.format("review", "ordinal", "category"))
+@query("flatten_nested", S.with_(*NESTED) + """
+    SELECT 'review' AS kind, product_id AS parent, CAST(pos AS BIGINT) AS pos, review_text AS child, CAST(rating AS BIGINT) AS rating FROM told
+    UNION ALL SELECT 'category', product_id, CAST(pos AS BIGINT), category_name, NULL FROM named""")
 def _(t):
-    _, review, category = L.flatten_products(generated(t), "ordinal")
+    _, review, category = L.flatten_products(views.nested_products(t), "ordinal")
     a = review.select(F.lit("review").alias("kind"), F.col("ordinal").alias("parent"), F.col("pos").cast("bigint").alias("pos"),
                       F.col("review_text").alias("child"), F.col("rating").cast("bigint").alias("rating"))
     b = category.select(F.lit("category").alias("kind"), F.col("ordinal").alias("parent"), F.col("pos").cast("bigint").alias("pos"),
@@ -307,25 +317,38 @@ def _(t):
     return L.assign_keys(rows, "o_orderpriority", "o_orderkey", start=100).drop("o_orderpriority")
 
 
-@query("load_product_family", S.with_(GENERATED, """
-    keyed AS (SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS product_id, name FROM gen)""", """
-    kr AS (SELECT product_id, row_number() OVER (ORDER BY product_id, pos) AS child, review_text AS text, CAST(rating AS BIGINT) AS rating
-           FROM gen_review JOIN keyed USING (ordinal))""") + """
-    SELECT 'product' AS kind, product_id, NULL::BIGINT AS child, name AS text, NULL::BIGINT AS rating FROM keyed
-    UNION ALL SELECT 'review', product_id, child, text, rating FROM kr
-    UNION ALL SELECT 'category', product_id, NULL, category_name, NULL FROM gen_cat JOIN keyed USING (ordinal)""")
+@query("load_product_family", S.with_(*NESTED, f"filled AS ({FILLED.format('itext')})", f"""
+    keyed AS (SELECT product_id AS ordinal, row_number() OVER (ORDER BY product_id) AS key, prod.* EXCLUDE (product_id) FROM prod)""", """
+    kr AS (SELECT key, row_number() OVER (ORDER BY key, pos) AS child, review_text, rating FROM told JOIN keyed ON ordinal = product_id)""",
+    f"whole AS (SELECT key AS id, {WHOLE} AS text FROM filled JOIN (SELECT ordinal, key FROM keyed) ON ordinal = product_id)",
+    S.hashed("wv", "whole", dims=32)) + """
+    SELECT 'name' AS kind, key AS product_id, NULL::BIGINT AS child, name AS text, NULL::DOUBLE AS number FROM keyed
+    UNION ALL SELECT 'description', key, NULL, description, NULL FROM keyed
+    UNION ALL SELECT 'price', key, NULL, NULL, price FROM keyed
+    UNION ALL SELECT 'stock', key, NULL, NULL, p_size FROM keyed JOIN part ON p_partkey = ordinal
+    UNION ALL SELECT 'review', key, child, review_text, rating FROM kr
+    UNION ALL SELECT 'category', key, NULL, category_name, NULL FROM named JOIN keyed ON ordinal = product_id
+    UNION ALL SELECT 'vector', id, CAST(b AS BIGINT), NULL, round(x, 6) + 0.0
+              FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS b FROM wv)""")
 def _(t):
+    """All columns of the three stored tables, one value per row."""
     path = scratch_path(t.spark, "family")
-    L.load_product_family(generated(t), path, backend="hash", model="hash-32")
-    none = F.lit(None).cast("bigint")
-
-    def rows(table, kind, child, text, rating):
-        return t.spark.read.parquet(f"{path}/{table}").select(
-            F.lit(kind).alias("kind"), "product_id", child.alias("child"), F.col(text).alias("text"), rating.alias("rating"))
-
-    return (rows("product", "product", none, "name", none)
-            .unionByName(rows("review", "review", F.col("review_id"), "review_text", F.col("rating").cast("bigint")))
-            .unionByName(rows("product_category", "category", none, "category_name", none)))
+    L.load_product_family(views.nested_products(t), path, backend="hash", model="hash-32")
+    tables = {n: t.spark.read.parquet(f"{path}/{n}") for n in ("product", "review", "product_category")}
+
+    def rows(table, kind, text=None, number=None, child=None):
+        return tables[table].select(
+            F.lit(kind).alias("kind"), "product_id", (F.col(child) if child else F.lit(None)).cast("bigint").alias("child"),
+            (F.col(text) if text else F.lit(None)).cast("string").alias("text"),
+            (F.col(number) if number else F.lit(None)).cast("double").alias("number"))
+
+    vector = views.long_form(tables["product"], "product_id", "embedding")
+    parts = [rows("product", "name", "name"), rows("product", "description", "description"), rows("product", "price", number="price"),
+             rows("product", "stock", number="stock"), rows("review", "review", "review_text", "rating", "review_id"),
+             rows("product_category", "category", "category_name"),
+             vector.select(F.lit("vector").alias("kind"), "product_id", F.col("dim").alias("child"),
+                           F.lit(None).cast("string").alias("text"), F.col("value").alias("number"))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _sql_between(low, high, *parts):

@@ -60,6 +60,22 @@ def categories(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("product_id"), F.inline(names))
 
 
+def nested_products(t: Tables) -> DataFrame:
+    """Parts as nested products: their documents as reviews (seven at most) and their categories (two at most)."""
+    review = F.struct("review_id", F.col("rating").cast("int").alias("rating"), F.col("review_text").alias("text"))
+    told = reviews(t).groupBy(F.col("product_id").alias("ordinal")).agg(F.sort_array(F.collect_list(review)).alias("told"))
+    named = categories(t).groupBy(F.col("product_id").alias("ordinal")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "category_name"))).alias("named"))
+    stock = t.part.select(F.col("p_partkey").alias("ordinal"), F.col("p_size").alias("stock"))
+    wide = (products(t).drop("category").withColumnRenamed("product_id", "ordinal").join(stock, "ordinal")
+            .join(told, "ordinal", "left").join(named, "ordinal", "left"))
+    return wide.select(
+        "ordinal", "name", "description", "price", "stock",
+        F.coalesce(F.transform("told", lambda r: F.struct(r["rating"].alias("rating"), r["text"].alias("text"))),
+                   F.array().cast("array<struct<rating:int,text:string>>")).alias("reviews"),
+        F.coalesce(F.transform("named", lambda c: c["category_name"]), F.array().cast("array<string>")).alias("categories"))
+
+
 def labelled_documents(t: Tables) -> DataFrame:
     """Labelled review texts: spam is a toxic document."""
     return (t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "toxic"), "doc_id")

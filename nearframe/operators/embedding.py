@@ -71,14 +71,30 @@ def resolve_backend(name: str, model: str) -> tuple[Backend, int]:
     return backend, backend.models[model]
 
 
-def embedding_function(backend: str = "hash", model: str = "hash-64",
-                       batch_size: int | None = None, normalize: bool | None = None):
+def packs(sizes: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Inputs in packs, longest first, so that a pack padded to its longest input stays within ``budget``
+    tokens; an input that is longer alone is a pack of its own."""
+    order = np.argsort(-sizes, kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        many = max(1, budget // max(int(sizes[order[at]]), 1))
+        out.append(order[at:at + many])
+        at += many
+    return out
+
+
+def embedding_function(backend: str = "hash", model: str = "hash-64", batch_size: int | None = None,
+                       normalize: bool | None = None, token_budget: int | None = None):
     """Column function from inputs to vectors. A null input stays null.
 
     ``normalize`` brings vectors to unit length or asks for them as counted;
     without it they are as the backend makes them. A backend without raw vectors
-    refuses ``normalize=False``.
+    refuses ``normalize=False``. With ``token_budget`` the texts of an Arrow batch
+    are handed to the encoder by length, as many at a time as fit the budget when
+    padded to the longest of them; vectors come back in the order of the rows.
     """
+    if token_budget is not None and (batch_size is not None or token_budget < 1):
+        raise ValueError("give a batch size or a token budget of at least 1")
     found, dims = resolve_backend(backend, model)
     if normalize is False:
         if found.raw is None:
@@ -89,10 +105,15 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
         encoder = _encoder(found, model)
         for batch in batches:
             present = batch.drop_null()
-            step = batch_size or max(len(present), 1)
+            if token_budget is None:
+                step = batch_size or max(len(present), 1)
+                parts = [np.arange(at, min(at + step, len(present))) for at in range(0, len(present), step)]
+            else:
+                words = pc.list_value_length(pc.utf8_split_whitespace(present))
+                parts = packs(np.asarray(words), token_budget)
             blocks = []
-            for at in range(0, len(present), step):
-                inputs = present.slice(at, step)
+            for part in parts:
+                inputs = present.take(pa.array(part)) if token_budget else present.slice(part[0], len(part))
                 block = np.asarray(encoder(inputs if found.takes_arrow else inputs.to_pylist()),
                                    dtype=np.float32)
                 if block.shape != (len(inputs), dims):
@@ -102,7 +123,8 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
                     length = np.linalg.norm(block, axis=1, keepdims=True)
                     block = np.divide(block, length, out=np.zeros_like(block), where=length > 0)
                 blocks.append(block)
-            flat = np.concatenate(blocks).ravel() if blocks else np.empty(0, np.float32)
+            made = np.concatenate(blocks) if blocks else np.empty((0, dims), np.float32)
+            flat = made[np.argsort(np.concatenate(parts))].ravel() if token_budget and parts else made.ravel()
             valid = np.asarray(batch.is_valid())
             yield _lists(pa.array(flat, pa.float32()), valid * dims, valid)
 
@@ -112,9 +134,10 @@ def embedding_function(backend: str = "hash", model: str = "hash-64",
 
 
 def embed_column(df: DataFrame, text: str, backend: str = "hash", model: str = "hash-64",
-                 batch_size: int | None = None, out: str = "embedding", normalize: bool | None = None) -> DataFrame:
+                 batch_size: int | None = None, out: str = "embedding", normalize: bool | None = None,
+                 token_budget: int | None = None) -> DataFrame:
     """Add the vector of ``text`` to each row."""
-    encode = embedding_function(backend, model, batch_size, normalize)
+    encode = embedding_function(backend, model, batch_size, normalize, token_budget)
     return df.withColumn(out, encode(F.col(text)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..context import scratch_path
+from ..functions import subwords
 from ..functions.text import text_counters, tokens, with_options
 from ..functions.vectors import reduce_dims
 from ..operators import embedding as E
@@ -191,3 +192,39 @@ def _(t):
         F.to_json(F.array("role", "text")).alias("texts"))
     out = E.embed_json_array(call, "id", "texts")
     return views.long_form(out.withColumn("id", F.concat("id", F.lit("/"), F.col("pos").cast("string"))), "id", "embedding")
+
+
+# A small vocabulary, each piece at the start of a word and, marked, inside one.
+PIECES = [*"abcdefghijklmnopqrstuvwxyz", "an", "at", "de", "en", "er", "es", "ha", "he", "in", "la", "le", "nd", "on", "or", "re",
+          "sch", "st", "th", "the", "ti", "tion", "un", "ver", "wh", ".", ","]
+TOKENS = ["[UNK]", *PIECES, *["##" + p for p in PIECES]]
+
+
+@query("subword_tokens", f"""
+    WITH RECURSIVE
+    voc AS (SELECT unnest(range({len(TOKENS)})) AS token, unnest({TOKENS}) AS piece),
+    w AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS word
+          FROM documents),
+    u AS (SELECT DISTINCT word FROM w),
+    fit AS (SELECT word, i, arg_max(token, n) AS token, max(n) AS n FROM (
+                SELECT word, i, n, CASE WHEN i > 1 THEN '##' ELSE '' END || substr(word, i, n) AS piece FROM (
+                    SELECT word, unnest(range(1, length(word) + 1)) AS i FROM u), range(1, 5) AS r(n) WHERE i + n - 1 <= length(word))
+            JOIN voc USING (piece) GROUP BY ALL),
+    walk(word, place, tokens, total) AS (
+        SELECT word, 1::BIGINT, 0::BIGINT, 0::BIGINT FROM u
+        UNION ALL SELECT walk.word, place + n, tokens + 1, total + token FROM walk JOIN fit ON fit.word = walk.word AND i = place),
+    cut AS (SELECT word, max(CASE WHEN place > length(word) THEN tokens END) AS tokens, max(CASE WHEN place > length(word) THEN total END) AS total
+            FROM walk GROUP BY word)
+    SELECT id, count(*) - count(tokens) AS n_unknown, sum(coalesce(tokens, 1))::BIGINT AS n_tokens, sum(coalesce(total, 0))::BIGINT AS id_sum
+    FROM w JOIN cut USING (word) GROUP BY id""")
+def _(t):
+    cut = subwords.subword_ids(t.spark, subwords.Vocabulary(TOKENS))
+    rows = docs(t).withColumn("ids", cut(F.col("text"))).where(F.size("ids") > 0)
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("id", F.size(F.filter("ids", lambda x: x == 0)).cast("bigint").alias("n_unknown"),
+                       F.size("ids").cast("bigint").alias("n_tokens"), total.alias("id_sum"))
+
+
+@query("embed_token_budget", EMBEDDED)
+def _(t):
+    return views.long_form(E.embed_column(docs(t), "text", token_budget=4096), "id", "embedding")

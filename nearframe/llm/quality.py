@@ -1,7 +1,7 @@
 """A quality classifier with learned subword vectors.
 
-A text's features are its byte trigrams and four-grams (white space of any kind
-is one character there), its words, and its pairs of adjacent words; a word that
+A text's features are its trigrams and four-grams of code points (white space of any
+kind is one character there), its words, and its pairs of adjacent words; a word that
 repeats its predecessor is one feature of its own, whatever the word. Features
 are hashed to a fixed number of buckets, each with a learned vector. The mean of
 a text's vectors goes through a linear layer and a softmax. Vectors and layer
@@ -38,20 +38,27 @@ from .words import Words, mix, slices
 SAMPLE_ROWS = 1024
 BUCKET_BITS = 17
 WIDTH, STEPS, BATCH, RATE = 8, 1024, 16, 4.0
+_POINT = np.uint32(0x01000193)
 _REPEAT, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts that lie one behind the other, and where each text begins among them."""
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), begins[offsets]
+
+
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets of all features of a column of texts, in groups, each with its bounds per text."""
     words = Words(column)
-    data, ends = words.data, words.offsets
-    plain = np.where((data >= 9) & (data <= 13), np.uint8(32), data).astype(np.uint32)
+    points, ends = characters(words.data, words.offsets)
+    plain = np.where((points >= 9) & (points <= 13), np.uint32(32), points)
     shift, out = np.uint32(32 - BUCKET_BITS), []
     for n, odd in ((3, np.uint32(0x9E3779B1)), (4, np.uint32(0x85EBCA6B))):
         size = max(0, len(plain) - n + 1)
-        gram = plain[:size].copy()
-        for i in range(1, n):
-            gram |= plain[i:size + i] << np.uint32(8 * i)
+        gram = np.zeros(size, np.uint32)
+        for i in range(n):
+            gram = (gram ^ plain[i:size + i]) * _POINT
         counts = np.maximum(np.diff(ends) - n + 1, 0)
         gram = ((gram ^ (gram >> np.uint32(15))) * odd) >> shift
         out.append(_inner(gram, ends, counts))

@@ -1,9 +1,14 @@
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from nearframe.llm import quality
+from nearframe.llm.words import Words, mix
 from made_texts import prose
 
 
@@ -59,12 +64,42 @@ def test_missing_labels_and_tables(spark, documents):
     assert quality.score(documents.limit(0), model, name="mine").count() == 0
 
 
+def plain_features(text):
+    """Buckets of one text, one feature after the other, with whole numbers only."""
+    out, points = [], [32 if 9 <= ord(c) <= 13 else ord(c) for c in text or ""]
+    for n, odd in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
+        for i in range(len(points) - n + 1):
+            gram = 0
+            for p in points[i:i + n]:
+                gram = (gram ^ p) * 0x01000193 % 2**32
+            out.append((gram ^ gram >> 15) * odd % 2**32 >> 32 - quality.BUCKET_BITS)
+    words = re.findall("[^ \t\n\x0b\f\r]+", text or "")
+    hashes = [int(Words(pa.array([w])).hashes()[0]) for w in words]
+    out += [h >> 64 - quality.BUCKET_BITS for h in hashes]
+    for a, b in zip(hashes, hashes[1:]):
+        pair = int(quality._REPEAT) if a == b else int(mix(np.array([(a * int(quality._PAIR) + b) % 2**64], np.uint64))[0])
+        out.append(pair >> 64 - quality.BUCKET_BITS)
+    return out
+
+
+ODD = ["ab  ab ab\tc", "", None, "x", "é Ü é é", "\U0001F600\U0001F600 ßé\nß", "日本語 日本語 文字", "a" * 500, " \t ", "ab"]
+
+
 def test_features_against_brute_force():
-    texts = ["ab  ab ab\tc", "", None, "x", "é Ü é é"]
-    import pyarrow as pa
-    counts = [sum(int(b[i + 1] - b[i]) for _, b in quality.features(pa.array(texts))) for i in range(len(texts))]
-    want = []
-    for t in texts:
-        data, words = (t or "").encode(), (t or "").encode().split()
-        want.append(max(0, len(data) - 2) + max(0, len(data) - 3) + len(words) + max(0, len(words) - 1))
-    assert counts == want
+    groups = quality.features(pa.array(ODD))
+    for i, text in enumerate(ODD):
+        got = sorted(int(v) for values, bounds in groups for v in values[bounds[i]:bounds[i + 1]])
+        assert got == sorted(plain_features(text))
+
+
+def test_score_against_a_plain_forward_pass():
+    """Mean of the learned vectors, linear layer and softmax, one number at a time."""
+    texts = [t for _, t, _ in corpus(40)]
+    made = list(quality.shares_of(pa.array(texts)))
+    weights, offset = quality.fit([b for b, _ in made], [s for _, s in made], np.array([q for *_, q in corpus(40)]))
+    scores = quality.Model(weights, offset).score(pa.array([*texts, *ODD]))
+    for text, score in zip([*texts, *ODD], scores):
+        own = plain_features(text)
+        logit = sum(float(weights[b]) for b in own) / max(1, len(own)) + offset
+        odds = [1.0, math.exp(logit)]
+        assert score == pytest.approx(odds[1] / sum(odds), abs=1e-6)

@@ -200,14 +200,16 @@ def _renamed(items: DataFrame, item_id: str, vector: str) -> DataFrame:
 
 
 def train_index(items: DataFrame, path: str, cells: int | None = None, metric: str = "l2", item_id: str = "item_id",
-                vector: str = "embedding", seed: int = 7) -> CellIndex:
-    """Fit centroids on ``items`` and write an index without items to a new path.
+                vector: str = "embedding", seed: int = 7, stored: bool = False) -> CellIndex:
+    """Fit centroids on ``items``, which are written first unless they are ``stored``, and write an index
+    without items to a new path.
 
     By default there are as many cells as a cell has rows, unless their
     centroids would not fit the broadcast limit.
     """
     spark = items.sparkSession
-    table = store(_renamed(items, item_id, vector).where("embedding is not null").select("item_id", "embedding"), "train")
+    table = _renamed(items, item_id, vector).where("embedding is not null").select("item_id", "embedding")
+    table = table if stored else store(table, "train")
     rows = table.count()
     width = table.select(F.size("embedding").alias("n")).first()["n"] if rows else 1
     cells = cells or int(min(BROADCAST_BYTES // (8 * width), max(1, rows ** 0.5)))
@@ -227,7 +229,7 @@ def build_index(items: DataFrame, path: str, cells: int | None = None, metric: s
                 item_id: str = "item_id", vector: str = "embedding", seed: int = 7) -> CellIndex:
     """Fit centroids, assign all items and write the index tables to a new path."""
     table = store(_renamed(items, item_id, vector).where("embedding is not null"), "items")
-    index = train_index(table, path, cells, metric, seed=seed)
+    index = train_index(table, path, cells, metric, seed=seed, stored=True)
     _write_batch(assign_cells(table, "embedding", index.centroids, metric), path, "first")
     return index
 

@@ -167,11 +167,20 @@ def _bounded(df: DataFrame, width: int | None) -> bool:
     return at_most(df, BROADCAST_BYTES // (8 * width + 64))
 
 
-def _with_broadcast_items(q: DataFrame, x: DataFrame, k: int, metric: str) -> DataFrame:
-    types, schema = id_types(q, x)
+def send_items(items: DataFrame, item_id: str = "item_id", item_vector: str = "embedding", width: int | None = None):
+    """Items sent to the tasks once, for many calls of :func:`knn_join` with ``sent``; None if they are too many."""
+    x = items.select(F.col(item_id).alias("item_id"), F.col(item_vector).alias("vector"))
+    return _sent(x.where("vector is not null")) if _bounded(x, width) else None
+
+
+def _sent(x: DataFrame):
     table = x.toArrow()
-    shared = q.sparkSession.sparkContext.broadcast(
-        (matrix(table["vector"]), ids_of(table["item_id"])))
+    return x.sparkSession.sparkContext.broadcast((matrix(table["vector"]), ids_of(table["item_id"])))
+
+
+def _with_broadcast_items(q: DataFrame, x: DataFrame, k: int, metric: str, sent=None) -> DataFrame:
+    types, schema = id_types(q, x)
+    shared = sent or _sent(x)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, ids = shared.value
@@ -232,14 +241,15 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
              query_id: str = "query_id", item_id: str = "item_id",
              query_vector: str = "embedding", item_vector: str = "embedding",
              strategy: str = "auto", width: int | None = None,
-             block_rows: int | None = None) -> DataFrame:
+             block_rows: int | None = None, sent=None) -> DataFrame:
     """The k nearest items of every query: ``(query_id, item_id, dist, rank)``.
 
     A side that is counted to fit the broadcast limit is sent to the tasks and
     the other is streamed past it where it lies. When neither fits, both are cut
     into partitions with distance bounds. Null vectors take no part. Ids identify a row on
     their side. ``width`` is the vector length where the caller knows it. A
-    strategy asked for by name is held to the same limit.
+    strategy asked for by name is held to the same limit. Items that have been
+    ``sent`` with :func:`send_items` are neither counted nor collected again.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -247,7 +257,9 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
         raise ValueError("strategy is 'auto', 'items', 'queries' or 'blocks'")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     x = items.select(F.col(item_id).alias("item_id"), F.col(item_vector).alias("vector"))
-    if strategy == "auto":
+    if sent is not None:
+        strategy = "items"
+    elif strategy == "auto":
         strategy = "items" if _bounded(x, width) else "queries" if _bounded(q, width) else "blocks"
     elif strategy != "blocks" and not _bounded(x if strategy == "items" else q, width):
         raise ValueError(f"the {strategy} are too many to send to every task")
@@ -256,7 +268,7 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "l2
         # The size check relied on it.
         q, x = (side.withColumn("vector", check_width(F.col("vector"), width)) for side in (q, x))
     if strategy == "items":
-        return _with_broadcast_items(q, x, k, metric)
+        return _with_broadcast_items(q, x, k, metric, sent)
     if strategy == "queries":
         return _with_broadcast_queries(q, x, k, metric)
     from .partitioned import partition_join

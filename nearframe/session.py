@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,15 @@ def local_session(cpus: str | None = None) -> SparkSession:
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the Python workers of a session that was started from another folder.
+
+    Does what ``--py-files`` does on the command line. Returns the archive's path.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="nearframe-"), "nearframe"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    return archive

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..context import store
 from ..operators.cells import CellIndex, append_to_index
 from ..operators.embedding import embed_column
+from ..operators.neighbours import send_items
 from ..operators.retrieval import knn_vote
 from ..sources.points import upsert_points
 
@@ -43,8 +44,10 @@ def stream_embed_append(stream: DataFrame, path: str, checkpoint: str, text: str
 def stream_knn_vote(stream: DataFrame, items: DataFrame, path: str, checkpoint: str, label: str = "label",
                     k: int = 5, min_votes: int = 3, query_id: str = "query_id", item_id: str = "item_id",
                     once: bool = True, name: str = "stream", **options) -> StreamingQuery:
-    """Classify arriving vectors against a static collection, which is stored once for all batches."""
+    """Classify arriving vectors against a static collection, which is stored once for all batches, and
+    counted, collected and sent to the tasks once if it is within the limit for that."""
     items = store(items, "collection")
+    options["sent"] = send_items(items, item_id, width=options.get("width"))
 
     def run(batch: DataFrame, number: int) -> None:
         votes = knn_vote(batch, items, label, k, min_votes, query_id, item_id, **options)

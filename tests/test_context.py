@@ -52,3 +52,26 @@ def test_a_cluster_needs_a_uri():
             context.shared_root(Session("spark://host:7077", root))
     assert context.shared_root(Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
     assert context.shared_root(Session("local[4]", "/tmp/x")) == "/tmp/x"
+
+
+def test_a_session_in_another_folder_gets_the_package(tmp_path):
+    """Workers of a session that was started elsewhere find the package once it has been shipped."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from nearframe.session import local_session, ship
+spark = local_session("1")
+archive = ship(spark)
+from nearframe.operators.embedding import embed_column
+rows = spark.createDataFrame([(1, "a b")], "id int, text string")
+print("width", len(embed_column(rows, "text").first()["embedding"]))
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "width 64" in done.stdout, done.stderr[-2000:]

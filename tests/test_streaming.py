@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearframe.operators import neighbours
 from nearframe.operators.cells import train_index
 from nearframe.operators.embedding import embed_column
 from nearframe.operators.retrieval import knn_vote
@@ -41,14 +42,18 @@ def test_embed_append_equals_batch_and_survives_a_replay(spark, texts, tmp_path,
         assert index.cells(spark).agg(F.sum("rows")).first()[0] == 30
 
 
-def test_vote_equals_batch(spark, texts, tmp_path):
+def test_vote_equals_batch(spark, texts, tmp_path, monkeypatch):
     table, stream = texts
     corpus = embed_column(spark.createDataFrame(
         [(i, f"word{i % 4} text", i % 4 < 2) for i in range(40)], "id int, text string, spam boolean"), "text")
     want = as_set(knn_vote(embed_column(table, "text"), corpus, "spam", query_id="id", item_id="id"),
                   "query_id", "votes", "predicted")
+    sent = []
+    real = neighbours._sent
+    monkeypatch.setattr(neighbours, "_sent", lambda x: sent.append(1) or real(x))
     jobs.stream_knn_vote(embed_column(stream, "text"), corpus, str(tmp_path / "v"), str(tmp_path / "c"), "spam",
                          query_id="id", item_id="id").awaitTermination()
+    assert sent == [1]  # for three batches
     assert as_set(spark.read.parquet(str(tmp_path / "v")), "query_id", "votes", "predicted") == want
     assert len({p for _, p in as_set(spark.read.parquet(str(tmp_path / "v")), "query_id", "predicted")}) == 2
 

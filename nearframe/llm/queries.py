@@ -134,13 +134,15 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_decontaminate", f"""
     WITH w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
          v AS (SELECT item_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
-         d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
-         b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-               FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM v)),
+         z AS (SELECT 5 AS k UNION SELECT len(w) FROM v WHERE len(w) BETWEEN 1 AND 4),
+         d AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+               FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, z)),
+         b AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+               FROM (SELECT item_id, least(len(w), 5) AS k, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i
+                     FROM v WHERE len(w) > 0)),
          n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
     SELECT doc_id, item_id, item_shingles, count(*) AS found, count(*)::DOUBLE / item_shingles AS containment
-    FROM d JOIN b USING (s) JOIN n USING (item_id)
+    FROM d JOIN b USING (k, s) JOIN n USING (item_id)
     GROUP BY doc_id, item_id, item_shingles HAVING 10 * count(*) >= 8 * item_shingles""")
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -33,7 +33,7 @@ def test_stages_one_by_one(spark):
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in names)
     assert "pipeline" in names and exact_dedup
     assert set(entry.oracle_sql()) <= names
@@ -87,3 +87,26 @@ def test_run_equals_brute_force(spark, tmp_path):
                 want.append((i, t, source[i], copies))
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "source", "copies").collect()
     assert sorted(map(tuple, got)) == sorted(want, key=lambda r: r[0])
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids, texts and sources, empty texts, repeated rows, a further column; then no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int"
+    rows = [(None, None, None, None, None, 1), (None, prose(1, 30), "en", "a", 1, 1), (3, "", "en", None, 0, 2),
+            (4, prose(1, 30).upper(), None, "a", 1, 1), (4, prose(1, 30).upper(), None, "a", 1, 1), (5, " \n ", "en", "a", 3, 1),
+            (6, prose(2, 4000), "en", "b", 9, 1)]
+    labels = [(3, 1, 0), (4, 1, None), (None, 0, 0), (77, 0, 1), (6, None, None)]
+    for name, some in (("odd", True), ("none", False)):
+        folder = f"{tmp_path}/{name}"
+        for table, made, columns in (("documents", rows, schema), ("labels", labels, "doc_id long, quality int, toxic int"),
+                                     ("benchmark", [(1, None), (2, ""), (None, prose(9, 20))], "item_id long, text string")):
+            spark.createDataFrame(made if some else [], columns).write.parquet(f"{folder}/{table}.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            kept = function(spark, kept, folder)
+            assert kept.columns == [c.split()[0] for c in schema.split(", ")], stage
+        # One null or empty text, one white text that differs from it, the larger id of the copies, the long text.
+        left = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+        assert [i for i, _ in left] == ([3, 4, 5, 6] if some else [])
+        mixed = corpus_pipeline.run(spark, folder)
+        assert mixed.columns[:6] == kept.columns and mixed.count() <= len(left)

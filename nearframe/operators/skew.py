@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import BinaryType, MapType
 
 def frequent_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     """(key) of every value that more than ``share`` of the rows have, and perhaps some rarer ones.
@@ -12,6 +12,8 @@ def frequent_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     A frequent-items sketch is merged from the tasks, so no row is moved. It keeps
     ``8 / share`` values apart, twice what its error needs, and no more come out of it.
     """
+    if isinstance(df.schema[key].dataType, BinaryType):  # a sketch does not take bytes
+        return df.select(key).limit(0)
     keep = max(1, round(8 / share))
     found = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {keep}, {keep})").alias("top"))
     return found.select(F.explode("top").alias("x")).select(F.col("x.item").alias(key))

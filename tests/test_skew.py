@@ -26,6 +26,7 @@ def test_frequent_keys(spark, facts):
     assert frequent_keys(facts.where("id < 0"), "k").count() == 0
     even = frequent_keys(spark.range(100_000).selectExpr("cast(id AS string) k"), "k", 0.01)
     assert even.count() <= 800
+    assert frequent_keys(facts.selectExpr("CAST(CAST(k AS STRING) AS BINARY) k"), "k").count() == 0
     with pytest.raises(ValueError):
         join_hubs(facts, facts, "k", even, "full")
 

@@ -14,28 +14,46 @@ from nearframe.llm.tables import free_names, remainder, stored, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from labels outside the held-out fold."""
+    """Documents that the classifier rejects go; it learns from labels outside the held-out fold.
+
+    Null and empty texts have the score of the share of label 1. Null labels, and labels of null or unknown ids,
+    teach nothing; without labels of both classes all documents have one score. Equal texts stay or go together.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     return quality.keep_good(docs, model, threshold=0.3)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays: that with the largest doc_id."""
+    """One row of each text stays: that with the largest doc_id.
+
+    Texts are compared with A-Z in lower case; null counts as empty. A null id is below every other; of rows
+    with equal ids and texts one stays.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: that with the smallest doc_id.
+
+    Texts without words are near to nothing and stay. Shingles have five words, a shorter text is one shingle.
+    """
     return near_dedup.drop_near_copies(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Items that are null or have no words are in no document; neither is anything in a text without words.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the mix with how often it takes them, ``copies``."""
+    """Rows of the mix with how often it takes them, ``copies``.
+
+    A null source is a source of its own, the last; documents without words have size 0. Ranks are a hash of
+    the id, so reruns agree; rows that agree in id, source and text are taken together. A table that already has ``copies`` gets ``copies_``.
+    """
     copies, = free_names(docs, "copies")
     return mixing.mix(docs).where(F.col(copies) > 0)
 

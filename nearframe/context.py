@@ -22,12 +22,14 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster.
 
     On a cluster the setting needs a scheme (``hdfs://``, ``s3a://``, ``file://``
-    for a mounted share), since a plain path is most often a local disk.
+    for a mounted share), since a plain path is most often a local disk. Executors
+    of ``local-cluster`` run on the driver's machine, where a plain path is shared;
+    without the setting they may have temporary folders of their own.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
-    one_machine = spark.sparkContext.master.split("[")[0] == "local"
-    if not one_machine and not (root and "://" in root):
+    kind = spark.sparkContext.master.split("[")[0]
+    if kind != "local" and not (root and (kind == "local-cluster" or "://" in root)):
         raise RuntimeError("set spark.checkpoint.dir to a URI of a folder shared by all executors")
     if root:
         return root

@@ -54,6 +54,33 @@ def test_a_cluster_needs_a_uri():
     assert context.shared_root(Session("local[4]", "/tmp/x")) == "/tmp/x"
 
 
+CLUSTER = """
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from nearframe import context
+from nearframe.operators.cells import ann_search, build_index
+spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {folder!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate())
+assert context.shared_root(spark) == {folder!r}
+rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, embedding array<float>")
+index = build_index(rows, context.scratch_path(spark, "index"), 4, item_id="id")
+near = ann_search(index, rows, 2, nprobe=1, exact=True, query_id="id")
+assert near.where("rank = 1 AND item_id = query_id").count() == 40
+assert context.drop_scratch(spark) > 1
+spark.stop()
+print("searched")
+"""
+
+
+def test_executors_on_the_same_machine_share_a_plain_path(tmp_path):
+    """local-cluster with spark.checkpoint.dir as a path without a scheme, as a preset often has it."""
+    repo = context.__file__.rsplit("/nearframe/", 1)[0]
+    done = subprocess.run([sys.executable, "-c", CLUSTER.format(repo=repo, folder=str(tmp_path / "shared"))],
+                          cwd=tmp_path, capture_output=True, text=True, timeout=300,
+                          env={**__import__("os").environ, "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable})
+    assert "searched" in done.stdout, done.stderr[-2000:]
+
+
 def test_a_session_in_another_folder_gets_the_package(tmp_path):
     """Workers of a session that was started elsewhere find the package once it has been shipped."""
     import os

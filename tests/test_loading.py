@@ -83,6 +83,18 @@ def test_constraints_report_every_kind_of_violation(spark):
         ("ck", "1|x", 2), ("fk", "9", 1), ("nn", None, 1), ("pk", "1", 2), ("range", "0", 1), ("range", "6", 1)]
 
 
+def test_keys_of_a_large_table_are_counted_in_many_tasks(spark, monkeypatch):
+    """Distinct keys are dealt by rows, so that no task has to hold those of many; a frequent key counts once."""
+    monkeypatch.setattr(K, "GROUP_ROWS", 100, raising=False)
+    keys = [*range(500), *range(450), *[7] * 400, None]
+    tables = {"t": frame(spark, [(k, 0) for k in keys], "id int, z int"), "p": frame(spark, [(k,) for k in range(400)], "id int")}
+    rules = [K.Unique("pk", "t", ["id", "z"]), K.ForeignKey("fk", "t", "id", "p", "id")]
+    wanted = [("pk", f"{k}|0", 2 + 400 * (k == 7)) for k in range(450)] + [("fk", str(k), 1 + (k < 450)) for k in range(400, 500)]
+    assert sorted(map(tuple, K.check_constraints(tables, rules).collect())) == sorted(wanted)
+    parts = K.check_constraints(tables, rules[:1]).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 150
+
+
 @pytest.fixture(scope="module")
 def catalogue(spark):
     product = frame(spark, [(1, "a", "A", 0.5), (2, "b", "B", 3.0), (3, "c", "C", None), (4, "d", None, 1.0)],

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import BROADCAST_BYTES
+from .text import pieces
 
 _WORD = re.compile(r"[^ \t\n\x0B\f\r]+")
 _POINTS = 0x110000
@@ -122,9 +123,11 @@ def subword_ids(spark: SparkSession, vocabulary: Vocabulary):
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield shared.value.ids(batch)
+            for part in pieces(batch):
+                yield shared.value.ids(part)
 
-    return F.arrow_udf(cut, "array<int>")
+    # Otherwise the optimizer copies the call into filters and texts are cut twice.
+    return F.arrow_udf(cut, "array<int>").asNondeterministic()
 
 
 def fitted(ids: Column, most: int, pad: int = 0, side: str = "right") -> Column:

@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Separators of the whitespace tokenizer, shared by all backends and checks.
 SPACES = r"[ \t\n\x0B\f\r]+"
 
+# Bytes of text that a task works on at a time.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """Cut a column between rows so that what is made of a part stays small; one longer text is a part of its own.
+
+    A batch is bounded in rows, not in bytes of text. Columns of neither text nor bytes are not cut.
+    """
+    kind = column.type
+    if not (pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind)):
+        yield column
+        return
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
+    start, done = 0, 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+        yield column.slice(start, stop - start)
+        start, done = stop, int(ends[min(stop, len(column)) - 1])
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda t: t != "")

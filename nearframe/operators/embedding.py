@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import pieces
+
 VECTOR = T.ArrayType(T.FloatType(), False)
 # Bytes of text turned into tokens at once; bounds the memory of a task.
 TOKEN_BLOCK = 8 * 1024 * 1024
@@ -89,8 +91,8 @@ def embedding_function(backend: str = "hash", model: str = "hash-64", batch_size
 
     ``normalize`` brings vectors to unit length or asks for them as counted;
     without it they are as the backend makes them. A backend without raw vectors
-    refuses ``normalize=False``. With ``token_budget`` the texts of an Arrow batch
-    are handed to the encoder by length, as many at a time as fit the budget when
+    refuses ``normalize=False``. An Arrow batch is worked on in pieces of bounded
+    bytes. With ``token_budget`` the texts of a piece are handed to the encoder by length, as many at a time as fit the budget when
     padded to the longest of them; vectors come back in the order of the rows.
     """
     if token_budget is not None and (batch_size is not None or token_budget < 1):
@@ -103,7 +105,7 @@ def embedding_function(backend: str = "hash", model: str = "hash-64", batch_size
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(found, model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             present = batch.drop_null()
             if token_budget is None:
                 step = batch_size or max(len(present), 1)

@@ -92,3 +92,29 @@ def test_budget_gives_the_same_vectors_with_less_padding(spark, tmp_path):
     assert packed == plain and used < padded / 2
     with pytest.raises(ValueError):
         E.embedding_function("padded", "two", batch_size=3, token_budget=5)
+
+
+def test_texts_are_cut_in_pieces_of_bounded_bytes(spark):
+    """A batch of 10,000 rows may hold any amount of text."""
+    from nearframe.functions import subwords
+    from nearframe.operators import embedding
+
+    rows = [(i, "ab ba " * 20_000 if i % 3 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    cut = subwords.subword_ids(spark, Vocabulary(["[UNK]", "a", "b", "##a", "##b"]))
+    got = {r.id: r.n for r in df.select("id", cut(F.col("text")).alias("ids")).selectExpr("id", "size(ids) AS n").collect()}
+    assert {i: n for i, n in got.items() if i % 3} == {i: 80_000 for i in range(150) if i % 3}
+    parts = list(cut.func(iter([pa.array([text for _, text in rows])])))
+    assert sum(map(len, parts)) == 150 and max(map(len, parts)) < 40
+
+    def factory(_model):
+        def encode(texts):
+            if sum(map(len, texts)) > 5_000_000:
+                raise ValueError("too much text at once")
+            return np.array([[len(t), 1] for t in texts], float)
+        return encode
+
+    embedding.register_backend("bounded", factory, {"two": 2})
+    for options in ({}, {"token_budget": 10**9}):
+        got = {r.id: r.embedding for r in embedding.embed_column(df, "text", "bounded", "two", **options).collect()}
+        assert got == {i: ([120_000.0, 1.0] if i % 3 else None) for i in range(150)}

@@ -15,9 +15,11 @@ Neighbouring matches are put together into maximal repeats at the end.
 
 Before anything is shuffled, each task drops windows that a smaller document of
 its own input settles, so a passage that very many documents share leaves a task
-once. Two windows count as equal when two 64-bit hashes agree: one of the anchor,
-and one, from other hashes of the words, of the whole window and the anchor's
-place in it. Windows that share an anchor are told apart by all 64 bits of the latter.
+once. Two windows count as equal when two hashes agree: 40 bits of the anchor, and 64
+bits, from other hashes of the words, of the whole window and the anchor's place in it.
+Windows that share an anchor are told apart by all 64 bits of the latter. The anchor's
+hash only brings rows together, so its other bits are not shuffled; whole texts are
+shuffled once, each compressed.
 
 Defined results
 ---------------
@@ -46,7 +48,11 @@ ANCHOR = 5
 # Windows of a task's input that are settled together before the shuffle.
 SLAB = 2 << 20
 _NULL_ID = (1 << 63) - 1
+# Bits of an anchor's hash that rows are joined on.
+ANCHOR_BITS = 40
+_UPPER = np.uint64(2**64 - 2**(64 - ANCHOR_BITS))
 SEEDS = "seed long, doc_id long, text_id long, place long, n int, extensions binary"
+PACKED = "key long, doc_id long, text_id long, size long, packed binary"
 MARKS = "doc_id long, text_id long, place long, n int"
 KEPT = "n_words long, n_removed long, kept_text string, repeats array<struct<start:long,stop:long>>"
 
@@ -117,7 +123,7 @@ class _Slab:
         head = _runs(place[open_], doc[open_], anchor[open_])
         if len(head):
             n = np.diff(np.append(head, len(open_)))
-            yield _seed_rows(seed[open_][head].view(np.int64), doc[open_][head], text[open_][head],
+            yield _seed_rows((seed[open_][head] & _UPPER).view(np.int64), doc[open_][head], text[open_][head],
                              place[open_][head], n, window[open_], head)
 
 
@@ -199,19 +205,30 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = (seed[-1], check[order][head][last], docs[order][head][last])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts, each compressed for the shuffle."""
+    codec = pa.Codec("zstd", compression_level=6)
+    for batch in (part for whole in batches for part in slices(whole)):
+        texts = [text or b"" for text in batch.column("text").cast(pa.large_binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("key", "doc_id", "text_id")), pa.array([len(text) for text in texts], pa.int64()),
+             pa.array([codec.compress(text, asbytes=True) for text in texts], pa.binary())],
+            names=["key", "doc_id", "text_id", "size", "packed"])
+
+
 def _remove(length: int, names: list[str]):
     """Cut the marked words out of whole texts."""
     def cut(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for whole in batches for part in slices(whole)):
+        codec = pa.Codec("zstd")
+        for batch in (part for whole in batches for part in slices(whole, size="size")):
             marks = batch.column("marks").combine_chunks() if isinstance(batch.column("marks"), pa.ChunkedArray) \
                 else batch.column("marks")
             offsets, flat = np.asarray(marks.offsets), marks.values
             places = np.asarray(flat.field("place")) if len(flat) else np.zeros(0, np.int64)
             sizes = np.asarray(flat.field("n")) if len(flat) else np.zeros(0, np.int32)
             out = ([], [], [], [])
-            for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                text = text or b""
-                words, covered = text.split(), []
+            for i, (packed, size) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist())):
+                words, covered = codec.decompress(packed, size, asbytes=True).split(), []
                 own = slice(offsets[i], offsets[i + 1])
                 if own.stop > own.start:
                     order = np.argsort(places[own])
@@ -246,7 +263,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
     # Rows with equal ids and texts have equal marks, of which one set is kept.
     marks = marks.groupBy(F.col("doc_id").alias("key"), "text_id").agg(
         F.collect_set(F.struct("place", "n")).alias("marks"))
-    rows = keyed.join(marks, ["key", "text_id"], "left").select(
-        "doc_id", "text", F.coalesce("marks", F.array().cast("array<struct<place:long,n:int>>")).alias("marks"))
+    packed = keyed.select("key", "doc_id", "text_id", "text").mapInArrow(_pack, PACKED)
+    rows = packed.join(marks, ["key", "text_id"], "left").select(
+        "doc_id", "size", "packed", F.coalesce("marks", F.array().cast("array<struct<place:long,n:int>>")).alias("marks"))
     schema = f"doc_id long, {KEPT}"
     return rows.mapInArrow(_remove(length, ["doc_id", *(c.split()[0] for c in KEPT.split(", "))]), schema)

@@ -33,11 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 0) -> Iterator[pa.RecordBatch]:
-    """Cut a batch between rows so that the texts of a part stay near ``limit`` bytes."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 0, size: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut a batch between rows so that the texts of a part stay near ``limit`` bytes.
+
+    ``size`` names the column with the bytes of texts that come compressed.
+    """
     limit = limit or SLICE_BYTES
-    column = batch.column(batch.schema.get_field_index(text))
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
+    column = batch.column(batch.schema.get_field_index(size or text))
+    ends = np.cumsum(np.asarray(column if size else pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
     start, done = 0, 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))

@@ -76,3 +76,21 @@ def test_rows_with_one_id(spark, small_batches, shared, slab):
     rows = [(1, f"{p} {q}"), *((shared, t) for t in texts)]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 13, slab=slab).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute(rows, 13)
+
+
+def test_what_is_shuffled_is_small():
+    """Texts come compressed and whole; an anchor's hash has zeros below the bits that rows are joined on."""
+    import numpy as np
+    import pyarrow as pa
+
+    from nearframe.llm import substring_dedup as S
+
+    texts = [" ".join(f"w{(i * k) % 97}" for i in range(400)) for k in range(1, 20)] + [None, ""]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], names=["key", "doc_id", "text_id", "text"])
+    rows = [r for part in S._pack(iter([batch])) for r in part.to_pylist()]
+    whole = [pa.Codec("zstd").decompress(r["packed"], r["size"], asbytes=True).decode() for r in rows]
+    assert whole == [t or "" for t in texts]
+    assert sum(len(r["packed"]) for r in rows) < sum(r["size"] for r in rows) / 2
+    seeds = [r for part in S._seeds(13, 1 << 20)(iter([batch])) for r in part.to_pylist() if r["extensions"]]
+    assert seeds and not any(np.array([r["seed"] for r in seeds]).view(np.uint64) & np.uint64((1 << 24) - 1))

@@ -12,6 +12,7 @@ import pytest
 # Rows that a query has to return for the tables below.
 ROWS = {
     "ann_purchases": 8,
+    "ann_search": 200,
 }
 
 RUN = """

@@ -13,6 +13,7 @@ import pytest
 ROWS = {
     "ann_purchases": 8,
     "ann_search": 200,
+    "ann_search_cosine": 50,
 }
 
 RUN = """

@@ -14,6 +14,7 @@ ROWS = {
     "ann_purchases": 8,
     "ann_search": 200,
     "ann_search_cosine": 50,
+    "ann_search_probes": 40,
 }
 
 RUN = """

@@ -15,6 +15,7 @@ ROWS = {
     "ann_search": 200,
     "ann_search_cosine": 50,
     "ann_search_probes": 40,
+    "ann_vote": 40,
 }
 
 RUN = """

@@ -16,6 +16,7 @@ ROWS = {
     "ann_search_cosine": 50,
     "ann_search_probes": 40,
     "ann_vote": 40,
+    "build_ann_index": 40,
 }
 
 RUN = """

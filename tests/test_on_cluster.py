@@ -17,6 +17,7 @@ ROWS = {
     "ann_search_probes": 40,
     "ann_vote": 40,
     "build_ann_index": 40,
+    "concat_runs": 10,
 }
 
 RUN = """

@@ -18,6 +18,7 @@ ROWS = {
     "ann_vote": 40,
     "build_ann_index": 40,
     "concat_runs": 10,
+    "embed_and_store": 3584,
 }
 
 RUN = """

@@ -19,6 +19,7 @@ ROWS = {
     "build_ann_index": 40,
     "concat_runs": 10,
     "embed_and_store": 3584,
+    "fraction_sweep": 10,
 }
 
 RUN = """

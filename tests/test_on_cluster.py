@@ -20,6 +20,7 @@ ROWS = {
     "concat_runs": 10,
     "embed_and_store": 3584,
     "fraction_sweep": 10,
+    "index_maintained": 200,
 }
 
 RUN = """

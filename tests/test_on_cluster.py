@@ -21,6 +21,7 @@ ROWS = {
     "embed_and_store": 3584,
     "fraction_sweep": 10,
     "index_maintained": 200,
+    "index_upsert": 200,
 }
 
 RUN = """

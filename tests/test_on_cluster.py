@@ -22,6 +22,7 @@ ROWS = {
     "fraction_sweep": 10,
     "index_maintained": 200,
     "index_upsert": 200,
+    "index_upsert_items": 352,
 }
 
 RUN = """

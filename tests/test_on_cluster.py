@@ -23,6 +23,7 @@ ROWS = {
     "index_maintained": 200,
     "index_upsert": 200,
     "index_upsert_items": 352,
+    "ingest_deferred": 320,
 }
 
 RUN = """

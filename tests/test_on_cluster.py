@@ -24,6 +24,7 @@ ROWS = {
     "index_upsert": 200,
     "index_upsert_items": 352,
     "ingest_deferred": 320,
+    "ingest_indexed": 320,
 }
 
 RUN = """

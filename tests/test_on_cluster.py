@@ -25,6 +25,7 @@ ROWS = {
     "index_upsert_items": 352,
     "ingest_deferred": 320,
     "ingest_indexed": 320,
+    "ingest_no_index": 320,
 }
 
 RUN = """

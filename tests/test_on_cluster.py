@@ -26,6 +26,7 @@ ROWS = {
     "ingest_deferred": 320,
     "ingest_indexed": 320,
     "ingest_no_index": 320,
+    "knn_batch_collection": 50,
 }
 
 RUN = """

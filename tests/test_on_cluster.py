@@ -27,6 +27,7 @@ ROWS = {
     "ingest_indexed": 320,
     "ingest_no_index": 320,
     "knn_batch_collection": 50,
+    "knn_blob": 200,
 }
 
 RUN = """

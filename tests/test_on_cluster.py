@@ -28,6 +28,7 @@ ROWS = {
     "ingest_no_index": 320,
     "knn_batch_collection": 50,
     "knn_blob": 200,
+    "knn_join_large": 200,
 }
 
 RUN = """

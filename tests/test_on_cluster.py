@@ -29,6 +29,7 @@ ROWS = {
     "knn_batch_collection": 50,
     "knn_blob": 200,
     "knn_join_large": 200,
+    "knn_payload": 200,
 }
 
 RUN = """

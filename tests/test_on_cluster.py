@@ -30,6 +30,7 @@ ROWS = {
     "knn_blob": 200,
     "knn_join_large": 200,
     "knn_payload": 200,
+    "knn_purchases_per_query": 159,
 }
 
 RUN = """

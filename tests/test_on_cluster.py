@@ -31,6 +31,7 @@ ROWS = {
     "knn_join_large": 200,
     "knn_payload": 200,
     "knn_purchases_per_query": 159,
+    "load_product_family": 354,
 }
 
 RUN = """

@@ -18,19 +18,62 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _local_root: str | None = None
 
 
+# Folders that were put to the test, by application: their full path, or none if they are not shared.
+_tried: dict[tuple[str, str], str | None] = {}
+
+
+def _if_shared(spark: SparkSession, root: str) -> str | None:
+    """Full path of ``root`` if the driver and other tasks find there what tasks write, else none.
+
+    One small job for each session and folder. A path without a scheme is one of the default file system.
+    """
+    key = spark.sparkContext.applicationId, root
+    if key not in _tried:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/nearframe/trial-{uuid.uuid4().hex}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        full, tasks = files.makeQualified(path).toString(), 2 * spark.sparkContext.defaultParallelism
+        try:
+            spark.range(0, tasks, 1, tasks).write.parquet(full)
+            found = spark.read.schema("id long").parquet(full).count()
+        finally:
+            files.delete(path, True)
+        _tried[key] = full.rsplit("/nearframe/", 1)[0] if found == tasks else None
+    return _tried[key]
+
+
+def _tried_root(spark: SparkSession, root: str | None) -> str:
+    """The first shared one of the folders that the session names: the one its checkpoints go to,
+    ``spark.checkpoint.dir`` and the warehouse."""
+    of_context = spark.sparkContext.getCheckpointDir()  # has a folder of its own below the one that was set
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    refused = None
+    for folder in (of_context and of_context.rsplit("/", 1)[0], root, warehouse and f"{warehouse.rstrip('/')}/_scratch"):
+        try:
+            if folder and (full := _if_shared(spark, folder)):
+                return full
+        except Exception as error:  # not writable, or read by tasks that do not see it
+            refused = error
+    raise RuntimeError("no folder that the session names is shared") from refused
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster.
 
-    On a cluster the setting needs a scheme (``hdfs://``, ``s3a://``, ``file://``
-    for a mounted share), since a plain path is most often a local disk. Executors
-    of ``local-cluster`` run on the driver's machine, where a plain path is shared;
-    without the setting they may have temporary folders of their own.
+    A URI (``hdfs://``, ``s3a://``, ``file://`` for a mounted share) is taken at its
+    word. A plain path on a cluster is most often a local disk, but may be a mounted
+    share or one of the default file system, and a folder may also be set by
+    ``setCheckpointDir`` only: such a folder is put to the test before it is used.
+    Executors of ``local-cluster`` run on the driver's machine, where a plain path is
+    shared; without the setting they may have temporary folders of their own.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     kind = spark.sparkContext.master.split("[")[0]
     if kind != "local" and not (root and (kind == "local-cluster" or "://" in root)):
-        raise RuntimeError("set spark.checkpoint.dir to a URI of a folder shared by all executors")
+        try:
+            return _tried_root(spark, root)
+        except Exception as error:
+            raise RuntimeError("set spark.checkpoint.dir to a URI of a folder shared by all executors") from error
     if root:
         return root
     if _local_root is None:

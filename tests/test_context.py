@@ -81,6 +81,53 @@ def test_executors_on_the_same_machine_share_a_plain_path(tmp_path):
     assert "searched" in done.stdout, done.stderr[-2000:]
 
 
+TRIED = """
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from nearframe import context
+from nearframe.operators.cells import ann_search, build_index
+spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false")
+         .config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.sql.legacy.setCommandRejectsSparkCoreConfs", "false")
+         .config("spark.sql.warehouse.dir", {warehouse!r}).getOrCreate())
+sc = spark.sparkContext
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+print("unset", context.shared_root(spark))
+assert context.store(spark.range(9), "t").count() == 9
+sc.master = "spark://host:7077"  # executors are processes of their own, as on any cluster
+print("own", context._if_shared(spark, "/proc/self/cwd/own"))  # another folder for each process
+spark.conf.set("spark.checkpoint.dir", {plain!r})
+print("plain", context.shared_root(spark))
+rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, embedding array<float>")
+index = build_index(rows, context.scratch_path(spark, "index"), 4, item_id="id")
+near = ann_search(index, rows, 2, nprobe=1, exact=True, query_id="id")
+print("found", near.where("rank = 1 AND item_id = query_id").count())
+spark.conf.unset("spark.checkpoint.dir")
+sc.setCheckpointDir({given!r})
+print("given", context.shared_root(spark))
+assert sorted(r.pos for r in context.with_position(context.store(spark.range(5), "t"), "id").collect()) == [1, 2, 3, 4, 5]
+assert context.drop_scratch(spark) > 2
+spark.stop()
+"""
+
+
+def test_a_folder_without_a_scheme_is_tried_by_the_executors(tmp_path):
+    """Found to be shared: it is used. Another one for each process: refused. Set in the context only: tried as well."""
+    folders = {name: str(tmp_path / name) for name in ("warehouse", "plain", "given")}
+    repo = context.__file__.rsplit("/nearframe/", 1)[0]
+    done = subprocess.run([sys.executable, "-c", TRIED.format(repo=repo, **folders)],
+                          cwd=tmp_path, capture_output=True, text=True, timeout=300,
+                          env={**__import__("os").environ, "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable,
+                               "SPARK_CONF_DIR": str(tmp_path)})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.splitlines() == [
+        f"unset file:{folders['warehouse']}/_scratch",
+        "own None",
+        f"plain file:{folders['plain']}",
+        "found 40",
+        f"given file:{folders['given']}"]
+
+
 def test_a_session_in_another_folder_gets_the_package(tmp_path):
     """Workers of a session that was started elsewhere find the package once it has been shipped."""
     import os

@@ -361,6 +361,12 @@ class WarcDataSource(DataSource):
         return WarcWriter({k.lower(): v for k, v in self.options.items()})
 
 
+def _register(spark: SparkSession) -> None:
+    """Make the format known. Spark looks it up in the session of the calling thread, which a new thread has none of."""
+    spark.dataSource.register(WarcDataSource)
+    SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
+
+
 def read_warc(spark: SparkSession, path: str, record_types: list[str] | None = None,
               headers: dict[str, list[str]] | None = None, payload: bool = True) -> DataFrame:
     """Records of a file or folder.
@@ -369,7 +375,7 @@ def read_warc(spark: SparkSession, path: str, record_types: list[str] | None = N
     that the session's push-down to Python sources is switched on. Values of any
     other header are given as ``headers``, since a map column is not pushed down.
     """
-    spark.dataSource.register(WarcDataSource)
+    _register(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     read = spark.read.format("warc").option("payload", str(payload).lower())
     if record_types is not None:
@@ -417,7 +423,7 @@ def page_records(pages: DataFrame, min_bytes: int = 100, salts: int = 16) -> Dat
 
 def archive_pages(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
     """Write one record per page below ``path``."""
-    pages.sparkSession.dataSource.register(WarcDataSource)
+    _register(pages.sparkSession)
     page_records(pages, min_bytes).write.format("warc").mode("append").save(path)
 
 

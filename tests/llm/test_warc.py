@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -110,3 +111,14 @@ def test_a_broken_file_fails_the_query(spark, tmp_path):
     name.write_bytes(name.read_bytes()[:-20])
     with pytest.raises(Exception, match="bytes of its block"):
         warc.read_warc(spark, f"file://{path}").count()
+
+
+def test_a_new_thread_finds_the_format(spark, tmp_path):
+    """Spark looks a registered format up in the session of the calling thread."""
+    path, pages = f"file://{tmp_path}/warc", frame(spark, PAGES)
+
+    def run():
+        warc.archive_pages(pages, path)
+        return warc.archived_pages(spark, path).count()
+
+    assert ThreadPoolExecutor(1).submit(run).result() == len(PAGES)
